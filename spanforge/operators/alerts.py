@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ COOLDOWN_NS = 60 * NANOS
 BODY_SHOWN = 100
 EPSILON = 2.220446049250313e-16  # distance from 1.0 to the next double
 MAX_BROADCAST_RULES = 10_000
+DIRECT_COOLDOWN_HITS = 500_000
 
 # --- the five conditions, one function each ---------------------------------------------------
 
@@ -303,84 +306,119 @@ def evaluate_rules(
 # --- cooldown ---------------------------------------------------------------------------------
 
 
-def cooldown(
-    hits: DataFrame,
-    cooldown_ns: int = COOLDOWN_NS,
-    last_fired: DataFrame | None = None,
-) -> DataFrame:
-    """The (rule, at) pairs that fire: after a fire the same rule is silent for the cooldown.
+def _greedy(cooldown_ns: int):
+    """Fires among the sorted hit times of one rule."""
 
-    ``last_fired`` (rule, fired_at) carries fires from earlier batches. A fire determines the
-    next one (the first hit at or after its end of cooldown), and a hit with no other hit in
-    the cooldown before it always fires. From these starts the chains are followed by doubling
-    the step each round, so a chain of n fires takes log2(n) rounds, all rules at once, and no
-    rule's hits are walked through in one task.
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(pdf["at"].to_numpy())
+        picked, i = [], 0
+        while i < len(times):
+            picked.append(times[i])
+            i = int(np.searchsorted(times, times[i] + cooldown_ns, side="left"))
+        return pd.DataFrame({"rule": pdf["rule"].iloc[0], "at": picked})
+
+    return run
+
+
+def _chain(times: DataFrame, cooldown_ns: int) -> DataFrame:
+    """Per hit: its rank ``pos``, the rank ``to`` of the fire it would cause next, ``starts``.
+
+    A hit without another one in the cooldown before it always fires: it starts a chain. The
+    link into the next chain's start is left out, so chains are disjoint.
     """
-    times = hits.select("rule", "at").distinct()
-    if last_fired is not None:
-        earlier = last_fired.groupBy("rule").agg(F.max("fired_at").alias("_last"))
-        times = (
-            times.join(earlier, "rule", "left")
-            .where(F.col("_last").isNull() | (F.col("at") >= F.col("_last") + cooldown_ns))
-            .select("rule", "at")
-        )
     events = times.withColumn("weight", F.lit(1).cast("bigint"))
+    roles = {
+        "own": F.col("at"),
+        "next": F.col("at") + cooldown_ns,
+        "since": F.col("at") - cooldown_ns + 1,
+    }
     probes = times.select(
         "rule",
         F.col("at").alias("time"),
         F.explode(
             F.array(
-                F.struct(F.lit("own").alias("role"), F.col("at").alias("at")),
-                F.struct(F.lit("next").alias("role"), (F.col("at") + cooldown_ns).alias("at")),
-                F.struct(
-                    F.lit("since").alias("role"), (F.col("at") - cooldown_ns + 1).alias("at")
-                ),
+                *[F.struct(F.lit(r).alias("role"), at.alias("at")) for r, at in roles.items()]
             )
         ).alias("p"),
     ).select("rule", "time", "p.role", "p.at")
-    counted = counts_before(events, probes, ["rule"])
 
     def role(name: str) -> Column:
         return F.max(F.when(F.col("role") == name, F.col("before")))
 
-    chain = cut_lineage(
-        counted.groupBy("rule", "time").agg(
-            role("own").alias("pos"), role("next").alias("to"), role("since").alias("since")
-        )
+    placed = cut_lineage(
+        counts_before(events, probes, ["rule"])
+        .groupBy("rule", "time")
+        .agg(role("own").alias("pos"), role("next").alias("to"), role("since").alias("since"))
+        .withColumn("starts", F.col("since") == F.col("pos"))
+        .drop("since")
     )
-    reached = chain.where(F.col("since") == F.col("pos")).select("rule", "pos")
-    jump = chain.select("rule", "pos", "to")
+    inner = placed.where(~F.col("starts")).select("rule", F.col("pos").alias("to"), "starts")
+    linked = placed.join(inner.withColumnRenamed("starts", "_no"), ["rule", "to"], "left")
+    return linked.select(
+        "rule", "time", "pos", F.when(F.col("_no").isNotNull(), F.col("to")).alias("to"), "starts"
+    )
+
+
+def _fires_by_doubling(times: DataFrame, cooldown_ns: int) -> DataFrame:
+    """Follow all chains of all rules at once, doubling the step each round."""
+    chain = cut_lineage(_chain(times, cooldown_ns))
+    reached = chain.where("starts").select("rule", "pos")
+    jump = chain.where(F.col("to").isNotNull()).select("rule", "pos", "to")
     while True:
-        stepped = (
-            reached.join(jump, ["rule", "pos"])
-            .select("rule", F.col("to").alias("pos"))
-            .join(chain.select("rule", "pos"), ["rule", "pos"], "left_semi")
-            .distinct()
-            .join(reached, ["rule", "pos"], "left_anti")
+        stepped = cut_lineage(
+            reached.join(jump, ["rule", "pos"]).select("rule", F.col("to").alias("pos"))
         )
-        stepped = cut_lineage(stepped)
         if stepped.isEmpty():
             break
         reached = reached.unionByName(stepped)
-        far = jump.select("rule", F.col("pos").alias("to"), F.col("to").alias("_far"))
+        onward = jump.select("rule", F.col("pos").alias("to"), F.col("to").alias("_far"))
         jump = cut_lineage(
-            jump.join(far, ["rule", "to"]).select("rule", "pos", F.col("_far").alias("to"))
+            jump.join(onward, ["rule", "to"]).select("rule", "pos", F.col("_far").alias("to"))
         )
     return chain.join(reached, ["rule", "pos"], "left_semi").select(
         "rule", F.col("time").alias("at")
     )
 
 
+def cooldown(
+    hits: DataFrame,
+    cooldown_ns: int = COOLDOWN_NS,
+    last_fired: DataFrame | None = None,
+    direct_limit: int = DIRECT_COOLDOWN_HITS,
+) -> DataFrame:
+    """The (rule, at) pairs that fire: after a fire the same rule is silent for the cooldown.
+
+    ``last_fired`` (rule, fired_at) carries fires from earlier batches. Hits are reduced to
+    distinct times and counted. Up to ``direct_limit`` of them, each rule is walked through in
+    one small group. Beyond it no rule is held in one task: every hit is linked to the fire it
+    would cause next, and the chains are followed by doubling the step, in log2 rounds.
+    """
+    times = hits.select("rule", "at").distinct()
+    if last_fired is not None:
+        earlier = last_fired.groupBy("rule").agg(F.max("fired_at").alias("_last"))
+        times = (
+            times.join(earlier, "rule", "left")
+            .where(F.col("_last").isNull() | (F.col("at") >= F.col("_last") + cooldown_ns))
+            .select("rule", "at")
+        )
+    times = cut_lineage(times)
+    if times.count() <= direct_limit:
+        return times.groupBy("rule").applyInPandas(
+            _greedy(cooldown_ns), "rule string, at bigint"
+        )
+    return _fires_by_doubling(times, cooldown_ns)
+
+
 def alert_rows(
     hits: DataFrame,
     cooldown_ns: int = COOLDOWN_NS,
     last_fired: DataFrame | None = None,
 ) -> DataFrame:
     """Fired alerts: rule, kind, time and one message (the first in text order)."""
-    fires = cooldown(hits, cooldown_ns, last_fired)
-    messages = hits.groupBy("rule", "at").agg(
-        F.min(F.struct("message", "kind")).alias("m")
+    first = cut_lineage(
+        hits.groupBy("rule", "at").agg(F.min(F.struct("message", "kind")).alias("m"))
     )
-    return fires.join(messages, ["rule", "at"]).select(
+    fires = cooldown(first, cooldown_ns, last_fired)
+    return fires.join(first, ["rule", "at"]).select(
         "rule", F.col("m.kind").alias("kind"), "at", F.col("m.message").alias("message")
     )
