@@ -11,7 +11,8 @@ EMPTY_MAP = "cast(map() as map<string,string>)"
 def _json_string(text: Column) -> Column:
     # to_json of a one-element array is the quoted, escaped string between two brackets.
     rendered = F.to_json(F.array(text))
-    return F.substring(rendered, F.lit(2), F.length(rendered) - 2)
+    inner = F.substring(rendered, F.lit(2), F.length(rendered) - 2)
+    return F.when(text.isNotNull(), inner)
 
 
 def bytes_hex(value: Column) -> Column:
@@ -48,7 +49,9 @@ def value_display(value: Column) -> Column:
     return F.coalesce(
         value["string_value"],
         value["int_value"].cast("string"),
-        F.format_string("%.6f", value["double_value"]),
+        F.when(
+            value["double_value"].isNotNull(), F.format_string("%.6f", value["double_value"])
+        ),
         value["bool_value"].cast("string"),
         bytes_hex(value["bytes_value"]),
         value["json_value"],

@@ -69,16 +69,24 @@ def metric_over(metrics: DataFrame, name: str, op: str, threshold: float) -> Dat
 
 
 def error_counts(
-    errors: DataFrame, window_ns: Column | int, keys: Sequence[str] = (), at: str = "at"
+    errors: DataFrame,
+    window_ns: Column | int,
+    keys: Sequence[str] = (),
+    at: str = "at",
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """Errors in the trailing window (both ends included) at every distinct error time.
 
-    ``window_ns`` may be a column that is constant per key. Counting is a difference of two
-    ordered counts, so neither a burst nor a long history meets in one task.
+    ``window_ns`` may be a column that is constant per key. ``history`` holds earlier errors
+    that count but are not asked about. Counting is a difference of two ordered counts, so
+    neither a burst nor a long history meets in one task.
     """
     keys = list(keys)
     window = F.lit(window_ns) if isinstance(window_ns, int) else window_ns
-    events = errors.select(*keys, at, F.lit(1).cast("bigint").alias("weight"))
+    counted = errors if history is None else errors.select(*keys, at).unionByName(
+        history.select(*keys, at)
+    )
+    events = counted.select(*keys, at, F.lit(1).cast("bigint").alias("weight"))
     times = errors.select(*keys, at, window.alias("_window")).distinct()
     probes = times.select(
         *keys,
@@ -233,10 +241,17 @@ def _hits(rows: DataFrame, at: Column, applies, message) -> DataFrame:
 
 
 def evaluate_rules(
-    rules: DataFrame, traces: DataFrame, logs: DataFrame, metrics: DataFrame
+    rules: DataFrame,
+    traces: DataFrame,
+    logs: DataFrame,
+    metrics: DataFrame,
+    earlier_errors: DataFrame | None = None,
 ) -> DataFrame:
     """Every hit of every parsed rule: rule, kind, time and message, before the cooldown.
 
+    ``earlier_errors`` (``at``) are error times of earlier batches that still count in the
+    windows of error-rate rules.
+
     Each table is read once for all its rules: the rules ride along as a list and only those
     that apply are unfolded.
     """
@@ -283,11 +298,19 @@ def evaluate_rules(
         ),
     )
 
-    errors = _against(traces.where(F.col("status_code") == 2), rules, ["error_rate"])
-    per_rule = errors.select(
-        F.col("start_time_unix_nano").alias("at"), F.explode("_rules").alias("r")
-    ).select("at", "r.rule", "r.max_count", "r.window_ns")
-    counted = error_counts(per_rule, F.col("window_ns"), ["rule", "max_count", "window_ns"])
+    def per_rule(errors: DataFrame) -> DataFrame:
+        return (
+            _against(errors, rules, ["error_rate"])
+            .select("at", F.explode("_rules").alias("r"))
+            .select("at", "r.rule", "r.max_count", "r.window_ns")
+        )
+
+    failed = traces.where(F.col("status_code") == 2)
+    errors = per_rule(failed.select(F.col("start_time_unix_nano").alias("at")))
+    history = None if earlier_errors is None else per_rule(earlier_errors.select("at"))
+    counted = error_counts(
+        errors, F.col("window_ns"), ["rule", "max_count", "window_ns"], history=history
+    )
     rate_hits = counted.where(F.col("errors_in_window") > F.col("max_count")).select(
         "rule",
         F.lit("error_rate").alias("kind"),

@@ -53,7 +53,7 @@ def newest(df: DataFrame, time: str, ties: list[str], limit: int | None) -> Data
     return ordered if limit is None else ordered.limit(limit)
 
 
-def find_spans(
+def match_spans(
     traces: DataFrame,
     service: str | None = None,
     span_name: str | None = None,
@@ -61,9 +61,8 @@ def find_spans(
     since: int | None = None,
     until: int | None = None,
     attributes: Mapping[str, str] | None = None,
-    limit: int | None = None,
 ) -> DataFrame:
-    """Spans matching every given condition, newest first."""
+    """Spans matching every given condition, unordered; also for streams."""
     if trace_id is not None and not re.fullmatch(r"([0-9a-fA-F]{2})*", trace_id):
         raise ValueError(f"not a hex trace id: {trace_id!r}")
     df = _equals(
@@ -73,8 +72,13 @@ def find_spans(
         trace_id=trace_id.lower() if trace_id is not None else None,
     )
     df = time_between(df, TIME_COLUMN["traces"], since, until)
-    df = has_attributes(df, "attributes", attributes)
-    return newest(df, TIME_COLUMN["traces"], ["trace_id", "span_id"], limit)
+    return has_attributes(df, "attributes", attributes)
+
+
+def find_spans(traces: DataFrame, limit: int | None = None, **conditions) -> DataFrame:
+    """Spans matching every condition of :func:`match_spans`, newest first."""
+    found = match_spans(traces, **conditions)
+    return newest(found, TIME_COLUMN["traces"], ["trace_id", "span_id"], limit)
 
 
 def severity_matches(mode: str, wanted: str) -> Column:
@@ -89,7 +93,7 @@ def severity_matches(mode: str, wanted: str) -> Column:
     raise ValueError(f"unknown severity mode: {mode}")
 
 
-def find_logs(
+def match_logs(
     logs: DataFrame,
     service: str | None = None,
     severity: str | None = None,
@@ -98,34 +102,42 @@ def find_logs(
     since: int | None = None,
     until: int | None = None,
     attributes: Mapping[str, str] | None = None,
-    limit: int | None = None,
 ) -> DataFrame:
-    """Log records matching every given condition, newest first."""
+    """Log records matching every given condition, unordered; also for streams."""
     df = _equals(logs, service_name=service)
     if severity is not None:
         df = df.where(severity_matches(severity_mode, severity))
     if body is not None:
         df = df.where(F.col("body").contains(body))
     df = time_between(df, TIME_COLUMN["logs"], since, until)
-    df = has_attributes(df, "attributes", attributes)
-    return newest(df, TIME_COLUMN["logs"], ["trace_id", "span_id", "body"], limit)
+    return has_attributes(df, "attributes", attributes)
+
 
+def find_logs(logs: DataFrame, limit: int | None = None, **conditions) -> DataFrame:
+    """Log records matching every condition of :func:`match_logs`, newest first."""
+    found = match_logs(logs, **conditions)
+    return newest(found, TIME_COLUMN["logs"], ["trace_id", "span_id", "body"], limit)
 
-def find_metrics(
+
+def match_metrics(
     metrics: DataFrame,
     service: str | None = None,
     name: str | None = None,
     since: int | None = None,
     until: int | None = None,
     resource: Mapping[str, str] | None = None,
-    limit: int | None = None,
 ) -> DataFrame:
-    """Data points matching every given condition, newest first."""
+    """Data points matching every given condition, unordered; also for streams."""
     df = _equals(metrics, service_name=service, metric_name=name)
     df = time_between(df, TIME_COLUMN["metrics"], since, until)
-    df = has_attributes(df, "resource", resource)
+    return has_attributes(df, "resource", resource)
+
+
+def find_metrics(metrics: DataFrame, limit: int | None = None, **conditions) -> DataFrame:
+    """Data points matching every condition of :func:`match_metrics`, newest first."""
+    found = match_metrics(metrics, **conditions)
     return newest(
-        df, TIME_COLUMN["metrics"], ["service_name", "metric_name", "value"], limit
+        found, TIME_COLUMN["metrics"], ["service_name", "metric_name", "value"], limit
     )
 
 
