@@ -61,11 +61,13 @@ def value_display(value: Column) -> Column:
 
 def last_wins(pairs: Column) -> Column:
     """Drop earlier entries of a repeated key, so the map does not depend on a session setting."""
-    keys = F.transform(pairs, lambda kv: kv["key"])
-    return F.filter(
+    keys = pairs["key"]
+    unique = F.size(F.array_distinct(keys)) == F.size(keys)
+    kept = F.filter(
         pairs,
         lambda kv, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), kv["key"]),
     )
+    return F.when(unique, pairs).otherwise(kept)
 
 
 def to_map(pairs: Column) -> Column:
@@ -79,7 +81,7 @@ def to_map(pairs: Column) -> Column:
 def to_json_object(pairs: Column) -> Column:
     """Attribute list as JSON object text, keys sorted, last value of a repeated key."""
     members = F.transform(
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 last_wins(pairs),
                 lambda kv: F.struct(kv["key"].alias("k"), value_json(kv["value"]).alias("v")),
@@ -94,7 +96,7 @@ def to_json_object(pairs: Column) -> Column:
 
 def map_json(attributes: Column) -> Column:
     """A string map as JSON object text with sorted keys."""
-    entries = F.array_sort(F.map_entries(attributes))
+    entries = F.sort_array(F.map_entries(attributes))
     return F.to_json(F.map_from_entries(entries))
 
 
@@ -102,7 +104,7 @@ def from_map(attributes: Column) -> Column:
     """A string map as an attribute list (the inverse of :func:`to_map` for strings)."""
     null = F.lit(None)
     return F.transform(
-        F.array_sort(F.map_entries(attributes)),
+        F.sort_array(F.map_entries(attributes)),
         lambda e: F.struct(
             e["key"].alias("key"),
             F.struct(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -191,11 +192,6 @@ def parse_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def _small_side(df: DataFrame, bound: int) -> DataFrame:
-    """Broadcast hint only after counting that the frame is within the bound."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 def _seconds(ns: Column) -> Column:
     return F.format_string("%.3f", ns.cast("double") / 1e9)
 
@@ -214,19 +210,50 @@ def _window_text(ns: Column) -> Column:
     return F.when(whole, seconds).otherwise(millis)
 
 
-def _against(data: DataFrame, rules: DataFrame, kinds: list[str], on: str | None = None):
-    """Attach to every row the list of rules that could apply: one joined row, no product."""
-    mine = rules.where(F.col("kind").isin(*kinds) & F.col("error").isNull())
-    if on is None:
-        data = data.withColumn("_on", F.lit(0))
-        mine = mine.withColumn("_on", F.lit(0))
-    else:
-        data = data.withColumn("_on", F.col(on))
-        mine = mine.withColumn("_on", F.col(on))
-    lists = mine.groupBy("_on").agg(
-        F.collect_list(F.struct(*[c for c in rules.columns if c != "error"])).alias("_rules")
-    )
-    return data.join(_small_side(lists, MAX_BROADCAST_RULES), "_on").drop("_on")
+_RULE_FIELDS = [
+    "rule", "kind", "threshold_ns", "max_count", "window_ns", "pattern", "min_severity",
+    "metric_name", "op", "threshold",
+]
+_HIT = "rule string, kind string, at bigint, message string"
+
+
+class _Rules:
+    """Parsed rules ready to be attached to tables.
+
+    Up to ``MAX_BROADCAST_RULES`` rules are read once and travel as small local rows that are
+    broadcast. More rules than that stay a table, joined like any other.
+    """
+
+    def __init__(self, rules: DataFrame) -> None:
+        self.spark = rules.sparkSession
+        self.table = rules.where(F.col("error").isNull()).select(*_RULE_FIELDS)
+        rows = self.table.limit(MAX_BROADCAST_RULES + 1).collect()
+        self.rows = rows if len(rows) <= MAX_BROADCAST_RULES else None
+
+    def has(self, *kinds: str) -> bool:
+        return self.rows is None or any(r["kind"] in kinds for r in self.rows)
+
+    def attach(self, data: DataFrame, *kinds: str, on: str | None = None) -> DataFrame:
+        """Rows of the table with the list of rules of these kinds: one joined row each."""
+        key = F.lit("") if on is None else F.col(on)
+        if self.rows is None:
+            lists = (
+                self.table.where(F.col("kind").isin(*kinds))
+                .groupBy(key.alias("_on"))
+                .agg(F.collect_list(F.struct(*_RULE_FIELDS)).alias("_rules"))
+            )
+        else:
+            grouped: dict[str, list] = {}
+            for row in self.rows:
+                if row["kind"] in kinds:
+                    grouped.setdefault("" if on is None else row[on], []).append(row)
+            item = self.table.schema.simpleString()
+            lists = F.broadcast(
+                self.spark.createDataFrame(
+                    list(grouped.items()), f"_on string, _rules array<{item}>"
+                )
+            )
+        return data.withColumn("_on", key).join(lists, "_on").drop("_on")
 
 
 def _hits(rows: DataFrame, at: Column, applies, message) -> DataFrame:
@@ -252,13 +279,28 @@ def evaluate_rules(
     ``earlier_errors`` (``at``) are error times of earlier batches that still count in the
     windows of error-rate rules.
 
-    Each table is read once for all its rules: the rules ride along as a list and only those
-    that apply are unfolded.
+    Each table is read once for all its rules, and not at all when it has none: the rules ride
+    along as a list and only those that apply are unfolded.
     """
-    spans = _against(traces, rules, ["span_duration"])
+    known = _Rules(rules)
+    parts = []
+    if known.has("span_duration"):
+        parts.append(_span_hits(known, traces))
+    if known.has("log_body", "log_severity"):
+        parts.append(_log_hits(known, logs))
+    if known.has("metric"):
+        parts.append(_metric_hits(known, metrics))
+    if known.has("error_rate"):
+        parts.append(_error_rate_hits(known, traces, earlier_errors))
+    if not parts:
+        return rules.sparkSession.createDataFrame([], _HIT)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _span_hits(known: _Rules, traces: DataFrame) -> DataFrame:
     duration = F.col("duration_ns")
-    span_hits = _hits(
-        spans,
+    return _hits(
+        known.attach(traces, "span_duration"),
         F.col("start_time_unix_nano"),
         lambda r: duration > r["threshold_ns"],
         lambda r: F.concat(
@@ -267,10 +309,11 @@ def evaluate_rules(
         ),
     )
 
-    records = _against(logs, rules, ["log_body", "log_severity"])
+
+def _log_hits(known: _Rules, logs: DataFrame) -> DataFrame:
     body, number = F.col("body"), F.col("severity_number")
-    log_hits = _hits(
-        records,
+    return _hits(
+        known.attach(logs, "log_body", "log_severity"),
         F.col("timestamp_unix_nano"),
         lambda r: F.when(r["kind"] == "log_body", F.contains(body, r["pattern"])).otherwise(
             number >= r["min_severity"]
@@ -286,10 +329,11 @@ def evaluate_rules(
         ),
     )
 
-    points = _against(alertable_points(metrics), rules, ["metric"], on="metric_name")
+
+def _metric_hits(known: _Rules, metrics: DataFrame) -> DataFrame:
     value = F.col("value")
-    metric_hits = _hits(
-        points,
+    return _hits(
+        known.attach(alertable_points(metrics), "metric", on="metric_name"),
         F.col("timestamp_unix_nano"),
         lambda r: compare(value, r["op"], r["threshold"]),
         lambda r: F.concat(
@@ -298,9 +342,13 @@ def evaluate_rules(
         ),
     )
 
+
+def _error_rate_hits(
+    known: _Rules, traces: DataFrame, earlier_errors: DataFrame | None
+) -> DataFrame:
     def per_rule(errors: DataFrame) -> DataFrame:
         return (
-            _against(errors, rules, ["error_rate"])
+            known.attach(errors, "error_rate")
             .select("at", F.explode("_rules").alias("r"))
             .select("at", "r.rule", "r.max_count", "r.window_ns")
         )
@@ -311,7 +359,7 @@ def evaluate_rules(
     counted = error_counts(
         errors, F.col("window_ns"), ["rule", "max_count", "window_ns"], history=history
     )
-    rate_hits = counted.where(F.col("errors_in_window") > F.col("max_count")).select(
+    return counted.where(F.col("errors_in_window") > F.col("max_count")).select(
         "rule",
         F.lit("error_rate").alias("kind"),
         "at",
@@ -321,9 +369,6 @@ def evaluate_rules(
             _window_text(F.col("window_ns")), F.lit(" window"),
         ).alias("message"),
     )
-    return (
-        span_hits.unionByName(log_hits).unionByName(metric_hits).unionByName(rate_hits)
-    )
 
 
 # --- cooldown ---------------------------------------------------------------------------------

@@ -55,15 +55,27 @@ def trace_diff(
     ranked = ranks(spans, keys, "start_time_unix_nano", ["span_id"], out="position")
     on = [PAIR_ID, "service_name", "span_name", "position"]
 
-    def side(name: str) -> DataFrame:
-        return ranked.where(F.col("side") == name).select(
+    # Both sides meet in one aggregate: a position holds at most one span of each side.
+    def side(name: str) -> Column:
+        span = F.struct("span_id", "start_time_unix_nano", "duration_ns")
+        return F.max(F.when(F.col("side") == name, span)).alias(name)
+
+    joined = (
+        ranked.groupBy(*on)
+        .agg(side("a"), side("b"))
+        .select(
             *on,
-            F.col("span_id").alias(f"span_id_{name}"),
-            F.col("start_time_unix_nano").alias(f"start_{name}"),
-            F.col("duration_ns").alias(f"duration_ns_{name}"),
+            *[
+                column
+                for s in ("a", "b")
+                for column in (
+                    F.col(f"{s}.span_id").alias(f"span_id_{s}"),
+                    F.col(f"{s}.start_time_unix_nano").alias(f"start_{s}"),
+                    F.col(f"{s}.duration_ns").alias(f"duration_ns_{s}"),
+                )
+            ],
         )
-
-    joined = side("a").join(side("b"), on, "full")
+    )
     a, b = F.col("duration_ns_a"), F.col("duration_ns_b")
     status = F.when(b.isNull(), "removed").when(a.isNull(), "added").otherwise("matched")
     matched = a.isNotNull() & b.isNotNull()

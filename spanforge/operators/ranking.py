@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DIGIT_BITS = 21
+DIRECT_ROWS = 1_000_000
 _MASK = (1 << DIGIT_BITS) - 1
 
 _LOW, _MID, _TOP = "_digit_low", "_digit_mid", "_digit_top"
@@ -29,6 +30,23 @@ def with_digits(df: DataFrame, value: Column) -> DataFrame:
     )
 
 
+def _offsets(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Per digit prefix, the weight of all smaller prefixes of the same keys."""
+    middle = counted.groupBy(*keys, _TOP, _MID).agg(F.sum("_w").alias("_w"))
+    top = middle.groupBy(*keys, _TOP).agg(F.sum("_w").alias("_w"))
+
+    def base(sizes: DataFrame, within: list[str], digit: str, name: str) -> DataFrame:
+        order = Window.partitionBy(*within).orderBy(digit)
+        running = F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        return sizes.withColumn(name, F.coalesce(running, F.lit(0))).drop("_w")
+
+    top_base = base(top, keys, _TOP, "_top_base")
+    middle_base = base(middle, keys + [_TOP], _MID, "_middle_base")
+    return middle_base.join(top_base, keys + [_TOP]).select(
+        *keys, _TOP, _MID, (F.col("_top_base") + F.col("_middle_base")).alias("_base")
+    )
+
+
 def counts_before(
     events: DataFrame,
     probes: DataFrame,
@@ -56,19 +74,7 @@ def counts_before(
         ),
         F.col(at),
     )
-    middle = merged.groupBy(*keys, _TOP, _MID).agg(F.sum("_w").alias("_w"))
-    top = middle.groupBy(*keys, _TOP).agg(F.sum("_w").alias("_w"))
-
-    def base(sizes: DataFrame, within: list[str], digit: str, name: str) -> DataFrame:
-        order = Window.partitionBy(*within).orderBy(digit) if within else Window.orderBy(digit)
-        running = F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        return sizes.withColumn(name, F.coalesce(running, F.lit(0))).drop("_w")
-
-    top_base = base(top, keys, _TOP, "_top_base")
-    middle_base = base(middle, keys + [_TOP], _MID, "_middle_base")
-    offsets = middle_base.join(top_base, keys + [_TOP]).select(
-        *keys, _TOP, _MID, (F.col("_top_base") + F.col("_middle_base")).alias("_base")
-    )
+    offsets = _offsets(merged, keys)
     inside = (
         Window.partitionBy(*keys, _TOP, _MID)
         .orderBy(at)
@@ -130,17 +136,30 @@ def pick_ranks(
 
 
 def ranks(
-    df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[str], out: str = "rank"
+    df: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    ties: Sequence[str],
+    out: str = "rank",
+    direct_limit: int = DIRECT_ROWS,
 ) -> DataFrame:
-    """0-based rank of every row inside its keys, by a bigint ``at`` and then ``ties``."""
+    """0-based rank of every row inside its keys, by a bigint ``at`` and then ``ties``.
+
+    The largest key is counted first. When it fits ``direct_limit`` rows, one window does it.
+    Beyond that rows are ordered together only within one prefix (two digits) of ``at``, and
+    the prefixes before it are counted.
+    """
     keys = list(keys)
-    events = df.select(*keys, at, F.lit(1).cast("bigint").alias("weight"))
-    probes = df.select(*keys, at).distinct()
-    base = counts_before(events, probes, keys, at=at, out="_base")
-    tie = Window.partitionBy(*keys, at).orderBy(*ties)
+    largest = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= direct_limit:
+        window = Window.partitionBy(*keys).orderBy(at, *ties)
+        return df.withColumn(out, (F.row_number().over(window) - 1).cast("bigint"))
+    digits = with_digits(df, F.col(at)).drop(_LOW)
+    offsets = _offsets(digits.withColumn("_w", F.lit(1).cast("bigint")), keys)
+    inside = Window.partitionBy(*keys, _TOP, _MID).orderBy(at, *ties)
     return (
-        df.withColumn("_tie", F.row_number().over(tie) - 1)
-        .join(base, keys + [at])
-        .withColumn(out, F.col("_base") + F.col("_tie"))
-        .drop("_base", "_tie")
+        digits.withColumn("_place", F.row_number().over(inside) - 1)
+        .join(offsets, keys + [_TOP, _MID])
+        .withColumn(out, F.col("_base") + F.col("_place"))
+        .drop("_base", "_place", _TOP, _MID)
     )

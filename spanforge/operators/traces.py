@@ -51,20 +51,24 @@ def _sort_key(start: Column, span_id: Column) -> Column:
 _POSITION = ["trace_id", "span_id", "parent_span_id", "start_time_unix_nano"]
 
 
-def _tree_positions(traces: DataFrame, keep_orphans: bool) -> DataFrame:
-    """Distinct tree positions with the parent pointer, NULL for those that start a tree."""
-    positions = traces.select(*_POSITION).distinct()
-    tops = traces.groupBy("trace_id").agg(
-        F.max(F.col("parent_span_id") == "").alias("_rooted"),
-        F.min_by("span_id", F.struct("start_time_unix_nano", "span_id")).alias("_first"),
-    )
-    stands_in = ~F.col("_rooted") & (F.col("span_id") == F.col("_first"))
-    nodes = (
-        positions.join(tops, "trace_id")
-        .withColumn("orphan", F.lit(False))
-        .withColumn("_top", (F.col("parent_span_id") == "") | stands_in)
-        .drop("_rooted", "_first")
+def _tree_state(positions: DataFrame, keep_orphans: bool) -> DataFrame:
+    """Tree positions with the parent pointer, NULL for those that start a tree."""
+    top = F.col("parent_span_id") == ""
+    rootless = (
+        positions.groupBy("trace_id")
+        .agg(F.max(F.col("parent_span_id") == "").alias("_rooted"))
+        .where(~F.col("_rooted"))
     )
+    nodes = positions
+    if not rootless.isEmpty():
+        earliest = (
+            positions.join(rootless, "trace_id", "left_semi")
+            .groupBy("trace_id")
+            .agg(F.min_by("span_id", F.struct("start_time_unix_nano", "span_id")).alias("_first"))
+        )
+        nodes = nodes.join(earliest, "trace_id", "left")
+        top = top | F.coalesce(F.col("span_id") == F.col("_first"), F.lit(False))
+    nodes = nodes.withColumn("_top", top).withColumn("orphan", F.lit(False))
     if keep_orphans:
         present = positions.select(
             "trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_found")
@@ -73,7 +77,6 @@ def _tree_positions(traces: DataFrame, keep_orphans: bool) -> DataFrame:
             nodes.join(present, ["trace_id", "parent_span_id"], "left")
             .withColumn("orphan", ~F.col("_top") & F.col("_found").isNull())
             .withColumn("_top", F.col("_top") | F.col("orphan"))
-            .drop("_found")
         )
     return nodes.select(
         *_POSITION,
@@ -84,6 +87,22 @@ def _tree_positions(traces: DataFrame, keep_orphans: bool) -> DataFrame:
     )
 
 
+_POINTER = ["_up", "depth", "path", "orphan"]
+
+
+def _ancestors(state: DataFrame, unique: bool) -> DataFrame:
+    """Where each span id points to; of several spans with one id, the earliest counts."""
+    if unique:
+        found = state.select("trace_id", "span_id", F.struct(*_POINTER).alias("_next"))
+    else:
+        found = state.groupBy("trace_id", "span_id").agg(
+            F.min_by(
+                F.struct(*_POINTER), F.struct("start_time_unix_nano", "parent_span_id")
+            ).alias("_next")
+        )
+    return found.withColumnRenamed("span_id", "_up")
+
+
 def span_tree(traces: DataFrame, keep_orphans: bool = False) -> DataFrame:
     """Every span below a root with its ``depth`` and a sortable ``path``.
 
@@ -97,20 +116,16 @@ def span_tree(traces: DataFrame, keep_orphans: bool = False) -> DataFrame:
     proves that only cycles and spans under a missing parent are left. Each round is
     checkpointed to the shared folder.
     """
-    state = cut_lineage(_tree_positions(traces, keep_orphans))
+    positions = cut_lineage(traces.select(*_POSITION))
+    repeated = positions.groupBy("trace_id", "span_id").agg(F.count("*").alias("_n"))
+    unique = repeated.where(F.col("_n") > 1).isEmpty()
+    if not unique:
+        positions = cut_lineage(positions.distinct())
+    state = _tree_state(positions, keep_orphans)
     done = state.where(F.col("_up").isNull())
     pending = state.where(F.col("_up").isNotNull())
-    while not pending.isEmpty():
-        lookup = (
-            done.unionByName(pending)
-            .groupBy("trace_id", F.col("span_id").alias("_up"))
-            .agg(
-                F.min_by(
-                    F.struct("_up", "depth", "path", "orphan"),
-                    F.struct("start_time_unix_nano", "parent_span_id"),
-                ).alias("_next")
-            )
-        )
+    while True:
+        lookup = _ancestors(done.unionByName(pending), unique)
         step = cut_lineage(
             pending.join(lookup, ["trace_id", "_up"]).select(
                 *_POSITION,
@@ -121,12 +136,16 @@ def span_tree(traces: DataFrame, keep_orphans: bool = False) -> DataFrame:
             )
         )
         closed = step.where(F.col("_up").isNull())
+        pending = step.where(F.col("_up").isNotNull())
         if closed.isEmpty():
             break
         done = done.unionByName(closed)
-        pending = step.where(F.col("_up").isNotNull())
+        if pending.isEmpty():
+            break
     placed = done.select(*_POSITION, "depth", "path", "orphan")
-    return traces.join(placed, _POSITION).select(*traces.columns, "depth", "path", "orphan")
+    on = ["trace_id", "span_id"] if unique else _POSITION
+    placed = placed.drop(*[c for c in _POSITION if c not in on])
+    return traces.join(placed, on).select(*traces.columns, "depth", "path", "orphan")
 
 
 def in_tree_order(tree: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanforge.operators.ranking import counts_before, pick_ranks, ranks
@@ -30,9 +31,11 @@ def test_counts_before(spark):
         assert r["before"] == 2 * sum(1 for k, at, _ in rows if k == r["k"] and at < r["at"])
 
 
-def test_ranks(spark):
+@pytest.mark.parametrize("direct_limit", [0, 1_000_000])
+def test_ranks(spark, direct_limit):
     rows, df = skewed(spark, seed=5)
-    got = {(r["k"], r["id"]): r["rank"] for r in ranks(df, ["k"], "at", ["id"]).collect()}
+    ranked = ranks(df, ["k"], "at", ["id"], direct_limit=direct_limit)
+    got = {(r["k"], r["id"]): r["rank"] for r in ranked.collect()}
     for key in {k for k, _, _ in rows}:
         ordered = sorted((at, i) for k, at, i in rows if k == key)
         for position, (_, i) in enumerate(ordered):
