@@ -47,6 +47,11 @@ def _equals(df: DataFrame, **wanted: str | None) -> DataFrame:
     return df
 
 
+def _contains(df: DataFrame, column: str, part: str | None) -> DataFrame:
+    """Rows whose text contains the part, whatever the case."""
+    return df if part is None else df.where(F.lower(column).contains(part.lower()))
+
+
 def newest(df: DataFrame, time: str, ties: list[str], limit: int | None) -> DataFrame:
     """Newest first; with a limit Spark takes the top rows per partition, without a full sort."""
     ordered = df.orderBy(F.col(time).desc(), *ties)
@@ -56,6 +61,7 @@ def newest(df: DataFrame, time: str, ties: list[str], limit: int | None) -> Data
 def match_spans(
     traces: DataFrame,
     service: str | None = None,
+    service_contains: str | None = None,
     span_name: str | None = None,
     trace_id: str | None = None,
     since: int | None = None,
@@ -71,6 +77,7 @@ def match_spans(
         span_name=span_name,
         trace_id=trace_id.lower() if trace_id is not None else None,
     )
+    df = _contains(df, "service_name", service_contains)
     df = time_between(df, TIME_COLUMN["traces"], since, until)
     return has_attributes(df, "attributes", attributes)
 
@@ -96,6 +103,7 @@ def severity_matches(mode: str, wanted: str) -> Column:
 def match_logs(
     logs: DataFrame,
     service: str | None = None,
+    service_contains: str | None = None,
     severity: str | None = None,
     severity_mode: str = "name_contains",
     body: str | None = None,
@@ -109,6 +117,7 @@ def match_logs(
         df = df.where(severity_matches(severity_mode, severity))
     if body is not None:
         df = df.where(F.col("body").contains(body))
+    df = _contains(df, "service_name", service_contains)
     df = time_between(df, TIME_COLUMN["logs"], since, until)
     return has_attributes(df, "attributes", attributes)
 
@@ -122,6 +131,7 @@ def find_logs(logs: DataFrame, limit: int | None = None, **conditions) -> DataFr
 def match_metrics(
     metrics: DataFrame,
     service: str | None = None,
+    service_contains: str | None = None,
     name: str | None = None,
     since: int | None = None,
     until: int | None = None,
@@ -129,6 +139,7 @@ def match_metrics(
 ) -> DataFrame:
     """Data points matching every given condition, unordered; also for streams."""
     df = _equals(metrics, service_name=service, metric_name=name)
+    df = _contains(df, "service_name", service_contains)
     df = time_between(df, TIME_COLUMN["metrics"], since, until)
     return has_attributes(df, "resource", resource)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.ranking import pick_ranks
+from spanforge.session import cut_lineage
 
 _TOP = 9_223_372_036_854_775_807
 
@@ -27,8 +28,9 @@ def retain_traces(
     """Whole traces, newest first arrival first, until ``keep`` traces are held.
 
     Pinned traces (``pins`` has ``trace_id``) and those first seen at or after ``new_from``
-    stay whatever the number; they count towards it. The oldest surviving trace is found by
-    counting arrivals, so neither all traces nor the kept ones pass through one task.
+    stay whatever the number; they count towards it. The spans are read once into a narrow
+    table of arrivals; the oldest surviving trace is found in it by counting, so neither all
+    traces nor the kept ones pass through one task.
     """
     arrivals = spans.groupBy("trace_id").agg(F.min(arrival).cast("bigint").alias("first"))
     safe = F.lit(False)
@@ -38,9 +40,11 @@ def retain_traces(
         pinned = pins.select("trace_id", F.lit(True).alias("_pinned")).distinct()
         arrivals = arrivals.join(pinned, "trace_id", "left")
         safe = safe | F.coalesce(F.col("_pinned"), F.lit(False))
-    arrivals = arrivals.select(
-        "trace_id", (F.lit(_TOP) - F.col("first")).alias("age"), safe.alias("safe"),
-        F.lit(0).alias("all"),
+    arrivals = cut_lineage(
+        arrivals.select(
+            "trace_id", (F.lit(_TOP) - F.col("first")).alias("age"), safe.alias("safe"),
+            F.lit(0).alias("all"),
+        )
     )
     # Rank of the last trace that still fits beside the safe ones.
     room = arrivals.where("safe").agg((F.lit(keep) - F.count("*") - 1).alias("r")).scalar()

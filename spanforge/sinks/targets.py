@@ -46,6 +46,15 @@ def rotate_interval(ns_column: str, seconds: int = DEFAULT_ROTATE_SECONDS):
     return (F.expr(f"{ns_column} div {width}") * seconds).alias("interval_start")
 
 
+def rotation_lines(rows: DataFrame, signal: str, ns_column: str, seconds: int) -> DataFrame:
+    """Rows as JSON text with the signal and the rotation interval they belong to."""
+    return rows.select(
+        F.lit(signal).alias("signal"),
+        rotate_interval(ns_column, seconds),
+        F.to_json(F.struct(*rows.columns)).alias("value"),
+    )
+
+
 def write_rotating(
     lines: DataFrame,
     path: str,
@@ -59,3 +68,23 @@ def write_rotating(
     lines.write.mode("append").partitionBy("signal", "interval_start").option(
         "maxRecordsPerFile", records_per_file(rotate_bytes, bytes_per_record)
     ).text(path)
+
+
+def start_rotating(
+    lines: DataFrame,
+    path: str,
+    checkpoint: str,
+    rotate_bytes: int = DEFAULT_ROTATE_BYTES,
+    bytes_per_record: int = 512,
+    available_now: bool = False,
+):
+    """The same for a stream of lines; the file sink writes every row exactly once."""
+    writer = (
+        lines.writeStream.format("text")
+        .partitionBy("signal", "interval_start")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .option("maxRecordsPerFile", records_per_file(rotate_bytes, bytes_per_record))
+    )
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()

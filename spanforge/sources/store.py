@@ -101,3 +101,9 @@ def register(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
 
 def register_saved(spark: SparkSession, root: str, signals: Iterable[str] = SIGNALS) -> None:
     register(spark, {s: load(spark, root, s) for s in signals})
+
+
+def replay(selection: Mapping[str, DataFrame], target: str) -> None:
+    """Append selected rows of every signal to another store."""
+    for signal, df in selection.items():
+        save(df, target, signal)

@@ -152,6 +152,17 @@ def test_replay(spark):
     assert export.replay_selection(tables, service="nobody")["traces"].count() == 0
 
 
+def test_replay_copies_to_another_store(spark, tmp_path):
+    t, lg, p = small(spark)
+    for name, df in {"traces": t, "logs": lg, "metrics": p}.items():
+        store.save(df, str(tmp_path / "from"), name)
+    tables = {s: store.load(spark, str(tmp_path / "from"), s) for s in store.SIGNALS}
+    store.replay(export.replay_selection(tables, since=2 * SECOND), str(tmp_path / "to"))
+    copied = store.load(spark, str(tmp_path / "to"), "traces")
+    assert [r["span_name"] for r in copied.collect()] == ["b"]
+    assert store.load(spark, str(tmp_path / "to"), "logs").count() == 0
+
+
 def test_fan_out_isolates_failures(spark, tmp_path):
     t, _, _ = small(spark)
 
@@ -170,11 +181,7 @@ def test_fan_out_isolates_failures(spark, tmp_path):
 def test_rotation_by_size_and_time(spark, tmp_path):
     df = spans(spark, [{"start": i * 600 * SECOND, "duration": MS} for i in range(13)])
     rows = export.json_lines(export.export_traces(df)).select("value")
-    lines_in = df.select(
-        F.lit("traces").alias("signal"),
-        targets.rotate_interval("start_time_unix_nano"),
-        F.to_json(F.struct("span_id")).alias("value"),
-    )
+    lines_in = targets.rotation_lines(df, "traces", "start_time_unix_nano", 3600)
     targets.write_rotating(lines_in.coalesce(1), str(tmp_path / "r"), 1024, 512)
     assert rows.count() == 13
     back = spark.read.text(str(tmp_path / "r"))
@@ -183,3 +190,16 @@ def test_rotation_by_size_and_time(spark, tmp_path):
     assert intervals == ["interval_start=0", "interval_start=3600", "interval_start=7200"]
     files = list((tmp_path / "r" / "signal=traces" / "interval_start=0").glob("part-*"))
     assert len(files) == 3
+
+
+def test_rotation_of_a_stream(spark, tmp_path):
+    df = spans(spark, [{"start": i * 3600 * SECOND} for i in range(3)])
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    query = targets.start_rotating(
+        targets.rotation_lines(stream, "traces", "start_time_unix_nano", 3600),
+        str(tmp_path / "out"), str(tmp_path / "ck"), available_now=True)
+    query.awaitTermination(60)
+    assert query.exception() is None
+    assert spark.read.text(str(tmp_path / "out")).count() == 3
+    assert len(list((tmp_path / "out" / "signal=traces").iterdir())) == 3

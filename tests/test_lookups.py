@@ -24,6 +24,7 @@ def test_span_filters(spark):
     df = three(spark)
     assert names(lookups.find_spans(df)) == ["gamma", "beta", "alpha"]
     assert names(lookups.find_spans(df, service="test-service")) == ["beta", "alpha"]
+    assert names(lookups.find_spans(df, service_contains="OTHER")) == ["gamma"]
     assert names(lookups.find_spans(df, span_name="beta")) == ["beta"]
     assert names(lookups.find_spans(df, trace_id="CC")) == ["gamma"]
     assert names(lookups.find_spans(df, since=2 * SECOND)) == ["gamma", "beta"]
