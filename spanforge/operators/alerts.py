@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.functions.exposition import format_value
+from spanforge.functions.numbers import plus
 from spanforge.functions.text import NANOS, SEVERITY_FLOOR
 from spanforge.operators.ranking import counts_before
 from spanforge.session import cut_lineage
@@ -94,7 +96,7 @@ def error_counts(
         F.col(at).alias("_time"),
         F.explode(
             F.array(
-                F.struct(F.lit(1).alias("sign"), (F.col(at) + 1).alias("at")),
+                F.struct(F.lit(1).alias("sign"), plus(F.col(at), 1).alias("at")),
                 F.struct(F.lit(-1).alias("sign"), (F.col(at) - F.col("_window")).alias("at")),
             )
         ).alias("p"),
@@ -337,8 +339,8 @@ def _metric_hits(known: _Rules, metrics: DataFrame) -> DataFrame:
         F.col("timestamp_unix_nano"),
         lambda r: compare(value, r["op"], r["threshold"]),
         lambda r: F.concat(
-            F.lit("metric '"), r["metric_name"], F.lit("' value "), value.cast("string"),
-            F.lit(" triggered (threshold "), r["threshold"].cast("string"), F.lit(")"),
+            F.lit("metric '"), r["metric_name"], F.lit("' value "), format_value(value),
+            F.lit(" triggered (threshold "), format_value(r["threshold"]), F.lit(")"),
         ),
     )
 
@@ -397,7 +399,7 @@ def _chain(times: DataFrame, cooldown_ns: int) -> DataFrame:
     events = times.withColumn("weight", F.lit(1).cast("bigint"))
     roles = {
         "own": F.col("at"),
-        "next": F.col("at") + cooldown_ns,
+        "next": plus(F.col("at"), cooldown_ns),
         "since": F.col("at") - cooldown_ns + 1,
     }
     probes = times.select(
@@ -466,7 +468,7 @@ def cooldown(
         earlier = last_fired.groupBy("rule").agg(F.max("fired_at").alias("_last"))
         times = (
             times.join(earlier, "rule", "left")
-            .where(F.col("_last").isNull() | (F.col("at") >= F.col("_last") + cooldown_ns))
+            .where(F.col("_last").isNull() | (F.col("at") >= plus(F.col("_last"), cooldown_ns)))
             .select("rule", "at")
         )
     times = cut_lineage(times)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions.numbers import exact_mean
 from spanforge.operators.ranking import pick_ranks
 
 PERCENTILES = (50, 95, 99)
@@ -71,9 +72,7 @@ def latency_stats(
         F.count("*").alias("samples"),
         (F.min("duration_ns").cast("double") / 1e6).alias("min_ms"),
         (F.max("duration_ns").cast("double") / 1e6).alias("max_ms"),
-        (
-            F.sum("duration_ns").cast("double") / F.count("*").cast("double") / 1e6
-        ).alias("mean_ms"),
+        (exact_mean(F.col("duration_ns")) / 1e6).alias("mean_ms"),
     )
     return totals.join(percentiles, keys)
 

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions.numbers import MAX_LONG
 from spanforge.operators.ranking import pick_ranks
 from spanforge.session import cut_lineage
 
-_TOP = 9_223_372_036_854_775_807
-
-
 def _row_at(wanted_rank: Column):
     def wanted(first: Column, end: Column, total: Column) -> Column:
         return (wanted_rank >= first) & (wanted_rank < end)
@@ -42,7 +40,7 @@ def retain_traces(
         safe = safe | F.coalesce(F.col("_pinned"), F.lit(False))
     arrivals = cut_lineage(
         arrivals.select(
-            "trace_id", (F.lit(_TOP) - F.col("first")).alias("age"), safe.alias("safe"),
+            "trace_id", (F.lit(MAX_LONG) - F.col("first")).alias("age"), safe.alias("safe"),
             F.lit(0).alias("all"),
         )
     )
@@ -61,10 +59,10 @@ def retain_batches(records: DataFrame, keep: int, batch: str = "batch_id") -> Da
     if keep <= 0:
         return records.where(F.lit(False))
     batches = records.select(
-        (F.lit(_TOP) - F.col(batch).cast("bigint")).alias("age"), F.lit(0).alias("all")
+        (F.lit(MAX_LONG) - F.col(batch).cast("bigint")).alias("age"), F.lit(0).alias("all")
     ).distinct()
     last = pick_ranks(batches, ["all"], "age", _row_at(F.lit(keep - 1)))
-    oldest = last.select((F.lit(_TOP) - F.col("age")).alias("b")).scalar()
+    oldest = last.select((F.lit(MAX_LONG) - F.col("age")).alias("b")).scalar()
     return records.where(F.coalesce(F.col(batch) >= oldest, F.lit(True)))
 
 

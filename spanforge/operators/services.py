@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions import numbers as N
+
 
 def service_map(
     traces: DataFrame, since: int | None = None, match_trace: bool = True
@@ -23,7 +25,11 @@ def service_map(
         traces.where(F.col("parent_span_id") != "")
         .withColumnRenamed("parent_span_id", "_id")
         .groupBy(*ids, F.col("service_name").alias("callee_service"))
-        .agg(F.count("*").alias("_n"), F.sum(F.col("duration_ns")).alias("_ns"))
+        .agg(
+            F.count("*").alias("_n"),
+            F.sum(N.high(F.col("duration_ns"))).alias("_high"),
+            F.sum(N.low(F.col("duration_ns"))).alias("_low"),
+        )
     )
     parents = (
         traces.drop("_id").withColumnRenamed("span_id", "_id")
@@ -36,7 +42,9 @@ def service_map(
         .groupBy("caller_service", "callee_service")
         .agg(
             F.sum(F.col("_n") * F.col("_copies")).alias("call_count"),
-            F.sum(F.col("_ns") * F.col("_copies")).alias("_total_ns"),
+            N.joined(
+                F.sum(F.col("_high") * F.col("_copies")), F.sum(F.col("_low") * F.col("_copies"))
+            ).alias("_total_ns"),
         )
         .withColumn(
             "avg_duration_ms",

@@ -505,6 +505,42 @@ hits AS (
   SELECT 'metric line.count = 6', 'metric', timestamp_unix_nano
   FROM metrics WHERE metric_name = 'line.count' AND value = 6)"""
 
+def three_digits(ns: str) -> str:
+    return f"printf('%.3f', floor(({ns})::DOUBLE / 1e9 * 1000 + 0.5) / 1000)"
+
+
+_CUT = "CASE WHEN strlen(body) > 100 THEN substr(body, 1, 100) || '...' ELSE body END"
+MESSAGE_HITS = f"""
+worded AS (
+  SELECT 'span_duration > 400ms' AS rule, 'span_duration' AS kind, start_time_unix_nano AS "at",
+         'span ''' || span_name || ''' duration ' || {three_digits('duration_ns')} ||
+         's exceeds threshold 0.400s' AS message
+  FROM traces WHERE duration_ns > 400000000
+  UNION ALL
+  SELECT 'error_rate > 5/1h', 'error_rate', "at",
+         'error rate ' || n || ' exceeds threshold 5 in 3600s window' FROM (
+    SELECT start_time_unix_nano AS "at", count(*) OVER (ORDER BY start_time_unix_nano
+             RANGE BETWEEN {Q.HOUR_NS} PRECEDING AND CURRENT ROW) AS n
+    FROM traces WHERE status_code = 2) WHERE n > 5
+  UNION ALL
+  SELECT 'log_body contains ''purchase''', 'log_body', timestamp_unix_nano,
+         'log body contains ''purchase'': ' || {_CUT}
+  FROM logs WHERE contains(body, 'purchase')
+  UNION ALL
+  SELECT 'log_severity >= ERROR', 'log_severity', timestamp_unix_nano,
+         'log severity ' || severity_number || ' >= 17: ' || {_CUT}
+  FROM logs WHERE severity_number >= 17
+  UNION ALL
+  SELECT 'metric user.error >= 100', 'metric', timestamp_unix_nano,
+         'metric ''user.error'' value ' || {number_text('value')} ||
+         ' triggered (threshold 100)'
+  FROM metrics WHERE metric_name = 'user.error' AND value >= 100
+  UNION ALL
+  SELECT 'metric line.count = 6', 'metric', timestamp_unix_nano,
+         'metric ''line.count'' value 6 triggered (threshold 6)'
+  FROM metrics WHERE metric_name = 'line.count' AND value = 6),
+hits AS (SELECT DISTINCT rule, kind, "at" FROM worded)"""
+
 SEVERITY_HITS = """
 hits AS (SELECT DISTINCT 'severity ' || severity_number AS rule, timestamp_unix_nano AS "at"
          FROM logs)"""
@@ -615,8 +651,8 @@ SELECT service AS service_name, metric_name, lower(type) AS metric_type,
 FROM exported""", EXPORT_METRICS))
     add("detect_signal", _with("TLM", FILES))
     add("multi_source", _with("T", f"""
-SELECT {T_COLS}, 'edge:4319' AS source FROM root_spans
-UNION ALL SELECT {T_COLS}, 'backend:4319' FROM child_spans"""))
+SELECT {T_COLS}, 'edge:4317' AS source FROM root_spans
+UNION ALL SELECT {T_COLS}, 'backend:4317' FROM child_spans"""))
 
     add("export_traces", _with("T", f"""
 SELECT 'trace' AS signal, {rfc3339('start_time_unix_nano')} AS time, service_name AS service,
@@ -796,6 +832,11 @@ WHERE metric_name = 'user.error' AND value > 100"""))
     add("alerts_all", _with("TLM", 'SELECT rule, kind, "at" FROM fired',
         RULE_HITS + "," + fires(DAY_NS, "rule, kind"), recursive=True))
 
+    add("alert_messages", _with("TLM", """
+SELECT f.rule, f.kind, f."at", min(w.message) AS message
+FROM fired f JOIN worded w ON w.rule = f.rule AND w."at" = f."at"
+GROUP BY 1, 2, 3""", MESSAGE_HITS + "," + fires(DAY_NS, "rule, kind"), recursive=True))
+
     add("scalar_functions", _with("T", SCALARS))
     for name, text in sql_texts.DUCKDB.items():
         add(name, _with("TLM", text.replace("WITH errors AS", ", errors AS")

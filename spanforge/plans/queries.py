@@ -154,8 +154,8 @@ def multi_source(t: Tables) -> DataFrame:
     columns = [*SPAN_COLUMNS, "resource"]
     merged = store.union_sources(
         {
-            "http://edge:4319": t.root_spans.select(*columns),
-            "backend:4319": t.child_spans.select(*columns),
+            "http://edge:4317": t.root_spans.select(*columns),
+            "backend:4317": t.child_spans.select(*columns),
         }
     )
     return merged.select(*SPAN_COLUMNS, F.col("resource")["source"].alias("source"))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from spanforge import schema
 from spanforge.functions import attributes as A
-
-MAX_LONG = 9_223_372_036_854_775_807
+from spanforge.functions.numbers import MAX_LONG
 
 
 def saturated(ns: Column) -> Column:

@@ -24,13 +24,12 @@ def save(df: DataFrame, root: str, signal: str, batch_id: int | None = None) ->
 
     No file is ever rewritten. With a ``batch_id`` the rows go to a folder of that batch which
     a retry of the same batch overwrites, so a repeated micro-batch counts once. Rows are
-    spread by date and a few hash buckets per date (a hot day does not go to one writer) and
-    sorted for tight min/max statistics.
+    gathered by date with a rebalance, which splits a hot day into tasks of the advised size
+    and merges small ones, and sorted for tight min/max statistics.
     """
     columns = schema.column_names(SIGNALS[signal])
     dated = df.select(*columns, event_date(F.col(schema.TIME_COLUMN[signal])).alias("event_date"))
-    spread = F.pmod(F.xxhash64("service_name", schema.TIME_COLUMN[signal]), F.lit(32))
-    laid_out = dated.repartition("event_date", spread).sortWithinPartitions(
+    laid_out = dated.hint("rebalance", "event_date").sortWithinPartitions(
         "event_date", "service_name", schema.TIME_COLUMN[signal]
     )
     folder = _folder(root, signal)

@@ -101,7 +101,7 @@ def sweep(spark: SparkSession, root: str, signal: str, cutoff: int) -> int:
         marks = spark.createDataFrame(
             [(r["batch"], r["event_date"]) for r in touched], "batch bigint, event_date date"
         )
-        kept.join(F.broadcast(marks), parts, "left_semi").repartition(*parts).write.mode(
+        kept.join(F.broadcast(marks), parts, "left_semi").hint("rebalance", *parts).write.mode(
             "overwrite"
         ).option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(
             f"{root.rstrip('/')}/{signal}"

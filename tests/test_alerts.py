@@ -77,7 +77,7 @@ def test_logs_and_metrics(spark):
                    {"name": "cpu", "type": "summary", "value": 99.0},
                    {"name": "mem", "value": 99.0}]
     assert hits_of(spark, ["metric cpu > 90"], metric_rows=metric_rows) == [
-        ("metric cpu > 90", 3, "metric 'cpu' value 95.5 triggered (threshold 90.0)")]
+        ("metric cpu > 90", 3, "metric 'cpu' value 95.5 triggered (threshold 90)")]
     assert len(hits_of(spark, ["metric cpu = 1", "metric cpu < 2"], metric_rows=metric_rows)) == 2
 
 

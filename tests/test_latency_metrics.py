@@ -137,6 +137,21 @@ def test_status(spark):
         2, 3, 0, 2, 2)
 
 
+def test_sums_beyond_a_long(spark):
+    big = 1 << 62
+    df = spans(spark, [{"name": "x", "duration": big, "start": 0, "trace": str(i)}
+                       for i in range(4)])
+    assert dicts(status.operation_stats(df))[0]["avg_ms"] == big / 1e6
+    assert dicts(latency.latency_stats(df))[0]["mean_ms"] == big / 1e6
+
+
+def test_approximate_status(spark):
+    t = spans(spark, [{"trace": "a"}, {"trace": "b"}])
+    none = spark.createDataFrame([], "x int")
+    row = dicts(status.status(t, none, points(spark, [{}]), approximate=True))[0]
+    assert (row["traces"], row["spans"]) == (2, 2)
+
+
 def test_parent_child_multiplies_copies(spark):
     rows = [{"span": "p", "name": "P"}, {"span": "c", "parent": "p", "name": "C", "duration": 5}]
     df = spans(spark, rows * 2 + [{"span": "d", "parent": "p", "name": "D", "duration": 4}])
