@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -222,8 +223,8 @@ _HIT = "rule string, kind string, at bigint, message string"
 class _Rules:
     """Parsed rules ready to be attached to tables.
 
-    Up to ``MAX_BROADCAST_RULES`` rules are read once and travel as small local rows that are
-    broadcast. More rules than that stay a table, joined like any other.
+    Up to ``MAX_BROADCAST_RULES`` rules are read once and travel as a constant or as small
+    local rows that are broadcast. More rules than that stay a table, joined like any other.
     """
 
     def __init__(self, rules: DataFrame) -> None:
@@ -238,24 +239,26 @@ class _Rules:
     def attach(self, data: DataFrame, *kinds: str, on: str | None = None) -> DataFrame:
         """Rows of the table with the list of rules of these kinds: one joined row each."""
         key = F.lit("") if on is None else F.col(on)
+        item = self.table.schema.simpleString()
         if self.rows is None:
             lists = (
                 self.table.where(F.col("kind").isin(*kinds))
                 .groupBy(key.alias("_on"))
                 .agg(F.collect_list(F.struct(*_RULE_FIELDS)).alias("_rules"))
             )
-        else:
-            grouped: dict[str, list] = {}
-            for row in self.rows:
-                if row["kind"] in kinds:
-                    grouped.setdefault("" if on is None else row[on], []).append(row)
-            item = self.table.schema.simpleString()
-            lists = F.broadcast(
-                self.spark.createDataFrame(
-                    list(grouped.items()), f"_on string, _rules array<{item}>"
-                )
-            )
-        return data.withColumn("_on", key).join(lists, "_on").drop("_on")
+            return data.withColumn("_on", key).join(lists, "_on").drop("_on")
+        mine = [r for r in self.rows if r["kind"] in kinds]
+        if on is None:
+            # A constant, read once when the query is optimized.
+            text = json.dumps([r.asDict() for r in mine])
+            return data.withColumn("_rules", F.from_json(F.lit(text), f"array<{item}>"))
+        grouped: dict[str, list] = {}
+        for row in mine:
+            grouped.setdefault(row[on], []).append(row)
+        lists = self.spark.createDataFrame(
+            list(grouped.items()), f"{on} string, _rules array<{item}>"
+        )
+        return data.join(F.broadcast(lists), on)
 
 
 def _hits(rows: DataFrame, at: Column, applies, message) -> DataFrame:

@@ -13,7 +13,7 @@ PAIR_ID = "pair_id"
 def one_pair(traces: DataFrame, trace_a: str, trace_b: str) -> DataFrame:
     """A pair table of one row, to compare two known traces."""
     return traces.sparkSession.range(1).select(
-        F.lit(1).cast("bigint").alias(PAIR_ID),
+        (F.col("id") + 1).alias(PAIR_ID),
         F.lit(trace_a).alias("trace_a"),
         F.lit(trace_b).alias("trace_b"),
     )

@@ -216,19 +216,21 @@ def store_gauge_lines(status: DataFrame, prefix: str = "store") -> DataFrame:
 
 def prometheus_lines(batches: DataFrame, status: DataFrame | None = None) -> DataFrame:
     """The whole exposition as lines with sort columns; see :func:`in_exposition_order`."""
-    headers = prometheus_headers(batches)
-    help_lines = _lines(
-        headers.where(F.col("description") != ""),
-        metric=F.col("metric"),
-        line=F.concat(
-            F.lit("# HELP "), "metric", F.lit(" "), E.escape_help(F.col("description"))
-        ),
+    described = F.when(F.col("description") != "", E.escape_help(F.col("description")))
+    headers = prometheus_headers(batches).select(
+        "metric",
+        F.posexplode(
+            F.array(
+                F.concat(F.lit("# HELP "), "metric", F.lit(" "), described),
+                F.concat(F.lit("# TYPE "), "metric", F.lit(" "), "type"),
+            )
+        ).alias("section", "line"),
     )
-    type_lines = _lines(
-        headers,
+    header_lines = _lines(
+        headers.where(F.col("line").isNotNull()),
         metric=F.col("metric"),
-        section=F.lit(1),
-        line=F.concat(F.lit("# TYPE "), "metric", F.lit(" "), "type"),
+        section=F.col("section"),
+        line=F.col("line"),
     )
     sample_lines = _lines(
         prometheus_samples(batches),
@@ -239,7 +241,7 @@ def prometheus_lines(batches: DataFrame, status: DataFrame | None = None) -> Dat
         position=F.col("position"),
         line=F.concat("sample_name", "labels", F.lit(" "), "value_text"),
     )
-    out = help_lines.unionByName(type_lines).unionByName(sample_lines)
+    out = header_lines.unionByName(sample_lines)
     return out if status is None else out.unionByName(store_gauge_lines(status))
 
 

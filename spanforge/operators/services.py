@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions import numbers as N
+from spanforge.session import cut_lineage
 
 
 def service_map(
@@ -90,7 +91,11 @@ def in_line_order(lines: DataFrame) -> DataFrame:
 
 
 def mermaid_lines(edges: DataFrame) -> DataFrame:
-    """Mermaid flow chart as lines; sort with :func:`in_line_order`."""
+    """Mermaid flow chart as lines; sort with :func:`in_line_order`.
+
+    The edges (one row per pair of services) are computed once and then rendered.
+    """
+    edges = cut_lineage(edges)
     caller, callee = F.col("caller_service"), F.col("callee_service")
     edge = F.concat(
         F.lit("    "), mermaid_id(caller), F.lit('["'), caller, F.lit('"] -->|'),
@@ -103,6 +108,7 @@ def mermaid_lines(edges: DataFrame) -> DataFrame:
 
 def text_lines(edges: DataFrame) -> DataFrame:
     """Plain text map as lines: title, one line per edge, then the services in order."""
+    edges = cut_lineage(edges)
     title = "Service Dependency Map"
     edge = F.concat(
         F.lit("  "), F.col("caller_service"), F.lit(" --("),

@@ -58,9 +58,11 @@ def root_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderstatus",
         ns("o_orderdate").alias("start"),
         F.round(F.col("o_totalprice") * 1000).cast("bigint").alias("dur"),
+        # Not a literal: a stored table would not let the optimizer see a constant either.
+        F.when(F.col("o_orderkey") >= 0, "gateway").otherwise("edge").alias("svc"),
     )
     return base.select(
-        F.lit("gateway").alias("service_name"),
+        F.col("svc").alias("service_name"),
         F.concat(F.lit("order."), "o_orderpriority").alias("span_name"),
         hex_id(F.col("k"), 32).alias("trace_id"),
         hex_id(F.col("k") * IDS_PER_ORDER, 16).alias("span_id"),
@@ -75,7 +77,7 @@ def root_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("status_code"),
         F.when(F.col("o_orderstatus") == "P", "returned").otherwise("").alias("status_message"),
         _string_map(priority=F.col("o_orderpriority")).alias("attributes"),
-        _service_map(F.lit("gateway")).alias("resource"),
+        _service_map(F.col("svc")).alias("resource"),
         F.col("o_orderkey").alias("ingest_seq"),
         F.lit(0).alias("line_no"),
     )
@@ -454,11 +456,11 @@ DAY_NS = 86_400_000_000_000
 
 
 def trace_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two lowest order keys that have lines, as one row (pair_id, trace_a, trace_b)."""
+    """The two lowest order keys that have lines, as one row; the lower key is the pair id."""
     keys = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
     lowest = keys.orderBy("l_orderkey").limit(2)
     return lowest.agg(
-        F.lit(1).alias("pair_id"),
+        F.min("l_orderkey").alias("pair_id"),
         hex_id(F.min("l_orderkey") + 1, 32).alias("trace_a"),
         hex_id(F.max("l_orderkey") + 1, 32).alias("trace_b"),
     )

@@ -270,7 +270,7 @@ flagged AS (
 ONE_PAIR = """
 low AS (SELECT DISTINCT l_orderkey AS k FROM lineitem ORDER BY k LIMIT 2),
 pairs AS (
-  SELECT 1 AS pair_id, lpad(lower(hex(min(k) + 1)), 32, '0') AS trace_a,
+  SELECT min(k) AS pair_id, lpad(lower(hex(min(k) + 1)), 32, '0') AS trace_a,
          lpad(lower(hex(max(k) + 1)), 32, '0') AS trace_b FROM low)"""
 
 ALL_PAIRS = """
