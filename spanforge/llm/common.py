@@ -6,8 +6,11 @@ yields on UTF-8. Texts travel as Arrow binary, so nothing is decoded that need n
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +72,14 @@ def row_key() -> list[Column]:
     ]
 
 
+def in_worker(name: str, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker keeps from task to task, such as a tokenizer."""
+    kept = sys.modules.setdefault("spanforge_llm_worker", types.ModuleType("spanforge_llm_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 

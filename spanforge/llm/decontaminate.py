@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm.common import WordHashes, as_bytes, mix, shingles, small_batches, table
+from spanforge.llm.common import WordHashes, as_bytes, in_worker, mix, shingles, small_batches, table
 
 SHINGLE, SIMILARITY = 5, 0.75
 BITS, BLOCKS, RADIUS = 128, 16, 40
@@ -142,7 +142,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     for block in _blocks_of(items):
 
         def scan(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            known = WordHashes()
+            known = in_worker("hashes", WordHashes)
             index = Index(block, known)
             for batch in small_batches(batches):
                 rows = []
@@ -166,7 +166,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     for block in _blocks_of(items):
 
         def scan(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            known = WordHashes()
+            known = in_worker("hashes", WordHashes)
             index = Index(block, known)
             for batch in small_batches(batches):
                 texts = as_bytes(batch.column(names.index("text")))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import (
-    WordHashes, as_bytes, drop_stored, mix, row_key, shingles, small_batches, stored, table,
+    WordHashes, as_bytes, drop_stored, in_worker, mix, row_key, shingles, small_batches, stored, table,
 )
 from spanforge.llm.components import components
 
@@ -68,7 +68,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id, kid, kh, n, node, symbols`` of every row; the last two are null without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = in_worker("hashes", WordHashes)
         for batch in small_batches(batches):
             sizes, nodes, symbols = [], [], []
             for text in as_bytes(batch.column("text")):
@@ -107,7 +107,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, n, values`` of the rows of ``docs`` named by ``wanted`` (kid, kh, node)."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = in_worker("hashes", WordHashes)
         for batch in small_batches(batches):
             sets = [shingle_set(known, t).view(np.int64) for t in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(

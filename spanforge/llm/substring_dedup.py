@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import (
-    WordHashes, as_bytes, drop_stored, mix, row_key, shingles, small_batches, stored, table,
+    WordHashes, as_bytes, drop_stored, in_worker, mix, row_key, shingles, small_batches, stored, table,
 )
 
 WINDOW, ANCHOR = 35, 8
@@ -85,7 +85,7 @@ def _seed_table(docs: DataFrame, window: int) -> DataFrame:
     """``kid, kh, anchor, run, first, last, unit`` of every seed; ``unit`` names it."""
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = in_worker("hashes", WordHashes)
         for batch in small_batches(batches, 2_000_000):
             kid, kh = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kid", "kh"))
             parts, owners = [], []
@@ -113,7 +113,7 @@ def _extended(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
     """``kid, kh, key, start, asks`` for every window of the marked seeds that meet in part."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = in_worker("hashes", WordHashes)
         for batch in small_batches(batches, 2_000_000):
             kid, kh = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kid", "kh"))
             out = []

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm.common import as_bytes, small_batches, table
+from spanforge.llm.common import as_bytes, in_worker, small_batches, table
 
 MEMO = 400_000
 
@@ -99,8 +99,9 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, n_words, n_tokens, n_unknown`` for every row; unknown words are in ``n_tokens``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(*sentence_pieces(vocabulary or default_vocabulary()))
-        memo: dict[bytes, int] = {}
+        path = vocabulary or default_vocabulary()
+        automaton = in_worker(f"automaton {path}", lambda: Automaton(*sentence_pieces(path)))
+        memo = in_worker(f"lengths {path}", dict)
         for batch in small_batches(batches):
             rows = []
             for text in as_bytes(batch.column("text")):

@@ -4,11 +4,11 @@ A record file is a run of frames, each
 
     length      u64  little-endian, of the payload
     checksum    u32  masked CRC-32C of the eight length bytes
-    payload     u8 whether there is an id, i64 doc_id, then the token ids as u32
+    payload     u8 whether there is a doc_id, i64 doc_id, u8 bytes of an id, then the token ids
     checksum    u32  masked CRC-32C of the payload
 
 and its index file has ``i64 doc_id, u64 offset, u64 number of ids`` for each frame, for shuffled
-reads. Documents lie in ascending ``doc_id`` order over all files (null first; equal ids by text).
+reads. Ids take two bytes if the vocabulary lets them, else four. Documents lie in ascending ``doc_id`` order over all files (null first; equal ids by text).
 
 Each task writes under a name of its own attempt and reports it; only reported files are read,
 so attempts that were lost or ran twice leave nothing in the result. A task holds a few
@@ -20,6 +20,7 @@ empty table gives no files. Other columns are not looked at.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -32,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import as_bytes, small_batches, stored, table
+from spanforge.llm.common import as_bytes, in_worker, small_batches, stored, table
 from spanforge.session import checkpoint_root
 
 END_ID = 1
 MEMO = 300_000
-PAYLOAD_HEAD, HEAD_SIZE = "<?q", 9
+PAYLOAD_HEAD, HEAD_SIZE = "<?qB", 10
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u8")])
 BLOCK = 256
 #: Reversed polynomial of CRC-32C, and the constant that masked checksums add.
@@ -139,46 +140,79 @@ def unframed(stream: pa.NativeFile, most: int = 2_000_000) -> Iterator[bytes]:
         yield from verified()
 
 
+def parsed(payload: bytes) -> tuple[int | None, np.ndarray]:
+    """``doc_id`` and the ids, as little-endian u32, of a payload."""
+    known, doc_id, width = struct.unpack_from(PAYLOAD_HEAD, payload)
+    return doc_id if known else None, np.frombuffer(payload, f"<u{width}", offset=HEAD_SIZE).astype("<u4")
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:"):]
     return fs.FileSystem.from_uri(uri)
 
 
+MARKED = re.compile(rb"(.*[A-Za-z0-9])([!-/:-@\[-`{-~]+)", re.DOTALL)
+LETTERS = re.compile(rb"[A-Za-z]+")
+
+
 class Encoder:
-    """Token ids of texts as little-endian u32 bytes, word by word with a bounded memory.
+    """Token ids of texts as little-endian bytes, word by word with a bounded memory.
 
     White space always ends a piece of this tokenizer, so that the ids of a text are those of
-    its words in a row. One trailing mark after an ASCII letter is a piece of its own.
+    its words in a row. Marks behind an ASCII letter or digit are a piece of their own, and
+    ASCII letters are lower-cased, so that most words are known by their stem.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
+        self.end = np.array([end_id], self.kind).tobytes()
         self.known: dict[bytes, bytes] = {}
+        pieces = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(pieces.values()) + 1, bool)
+        self.ends[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
 
     def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)
-        for word, encoding in zip(words, found, strict=True):
-            self.known[word] = np.array(encoding.ids, "<u4").tobytes()
+        """Encode new words; those of letters alone in long lines, told apart by word ends."""
+        texts = [w.decode("utf-8") for w in words]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        alone = [i for i, t in enumerate(texts) if not t.isalpha()]
+        groups = [plain[at : at + 1000] for at in range(0, len(plain), 1000)]
+        lines = self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in g) for g in groups], add_special_tokens=False)
+        for group, line in zip(groups, lines, strict=True):
+            ids = np.array(line.ids, self.kind)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            if len(cuts) != len(group):
+                alone += group
+                continue
+            data = ids.tobytes()
+            for i, begin, end in zip(group, [0, *cuts], cuts, strict=False):
+                self.known[words[i]] = data[begin:end]
+        found = self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False)
+        for i, encoding in zip(alone, found, strict=True):
+            self.known[words[i]] = np.array(encoding.ids, self.kind).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]
         if len(self.known) > MEMO:
             self.known.clear()
         new = set().union(*split).difference(self.known)
-        stems = {}
+        parts = {}
         for word in new:
-            if word[-1:] in b".,;:!?" and word[-2:-1].isalpha():
-                stems[word] = (word[:-1], word[-1:])
-        missing = new.difference(stems)
-        for stem, mark in stems.values():
-            missing.update(x for x in (stem, mark) if x not in self.known)
+            marked = MARKED.fullmatch(word)
+            stem, marks = marked.groups() if marked else (word, b"")
+            if LETTERS.fullmatch(stem):
+                stem = stem.lower()
+            parts[word] = stem, marks
+        missing = {x for pair in parts.values() for x in pair if x not in self.known}
         self.learn(list(missing))
-        for word, (stem, mark) in stems.items():
-            self.known[word] = self.known[stem] + self.known[mark]
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for word, (stem, marks) in parts.items():
+            self.known[word] = self.known[stem] + self.known[marks]
+        return [b"".join(map(self.known.__getitem__, words)) + self.end for words in split]
 
 
 def default_tokenizer() -> str:
@@ -194,25 +228,25 @@ def write_records(
     ``shard, records_path, index_path, n_records, n_tokens``, shards in document order."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer or default_tokenizer())
-        end = np.array([end_id], "<u4").tobytes()
+        path = tokenizer or default_tokenizer()
+        encoder = in_worker(f"encoder {path} {end_id}", lambda: Encoder(path, end_id))
         shard = TaskContext.get().partitionId()
         store, place = file_system(folder)
         name = f"{place}/part-{shard:06d}-{uuid.uuid4().hex}"
         records = index = None
         at = n_records = n_tokens = 0
-        for batch in small_batches(batches, 2_000_000):
+        for batch in small_batches(batches, 1_000_000):
             if records is None:
                 store.create_dir(place, recursive=True)
                 records = store.open_output_stream(name + ".rec")
                 index = store.open_output_stream(name + ".idx")
-            ids = [x + end for x in encoder.encode(as_bytes(batch.column("text")))]
+            ids = encoder.encode(as_bytes(batch.column("text")))
             doc_ids = batch.column("doc_id").to_pylist()
-            framed = frames([struct.pack(PAYLOAD_HEAD, d is not None, d or 0) + x for d, x in zip(doc_ids, ids, strict=True)])
+            framed = frames([struct.pack(PAYLOAD_HEAD, d is not None, d or 0, encoder.width) + x for d, x in zip(doc_ids, ids, strict=True)])
             entries = np.zeros(len(ids), INDEX)
             entries["doc_id"] = [d or 0 for d in doc_ids]
             entries["offset"] = at + np.concatenate([[0], np.cumsum([len(x) for x in framed])[:-1]])
-            entries["n_tokens"] = [len(x) // 4 for x in ids]
+            entries["n_tokens"] = [len(x) // encoder.width for x in ids]
             records.write(b"".join(framed))
             index.write(entries.tobytes())
             at += sum(map(len, framed))
@@ -250,10 +284,9 @@ def read_records(shards: DataFrame, folder: str) -> DataFrame:
             at = shard["start"]
             with store.open_input_stream(shard["records_path"], buffer_size=1 << 20) as stream:
                 for payload in unframed(stream):
-                    known, doc_id = struct.unpack_from(PAYLOAD_HEAD, payload)
-                    ids = payload[HEAD_SIZE:]
-                    yield doc_id if known else None, at, len(ids) // 4, zlib.crc32(ids)
-                    at += len(ids) // 4
+                    doc_id, ids = parsed(payload)
+                    yield doc_id, at, len(ids), zlib.crc32(ids.tobytes())
+                    at += len(ids)
 
         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
         for batch in batches:
@@ -274,10 +307,7 @@ def read_indexed(index_path: str, records_path: str, folder: str, which: list[in
     with store.open_input_file(records_path) as stream:
         for place in which:
             stream.seek(int(entries["offset"][place]))
-            length = 16 + HEAD_SIZE + 4 * int(entries["n_tokens"][place])
-            payload = next(unframed(pa.BufferReader(stream.read(length))))
-            known, doc_id = struct.unpack_from(PAYLOAD_HEAD, payload)
-            out.append((doc_id if known else None, np.frombuffer(payload[HEAD_SIZE:], "<u4")))
+            out.append(parsed(next(unframed(stream, 0))))
     return out
 
 
