@@ -37,7 +37,7 @@ from spanforge.llm.common import as_bytes, in_worker, small_batches, stored, tab
 from spanforge.session import checkpoint_root
 
 END_ID = 1
-MEMO = 300_000
+MEMO = 700_000
 PAYLOAD_HEAD, HEAD_SIZE = "<?qB", 10
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u8")])
 BLOCK = 256
