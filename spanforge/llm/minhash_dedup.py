@@ -45,7 +45,7 @@ CHUNKS, CHUNK, BITS = 10, 4, 16
 SYMBOLS = CHUNKS * CHUNK
 #: Beyond this distance a pair at the similarity sought is 4.4 standard deviations off.
 FARTHEST = 22
-BLOCK = 256
+BLOCK = 1024
 
 
 def shingle_set(known: WordHashes, text: bytes, size: int = SHINGLE) -> np.ndarray:
