@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanforge.functions.exposition import plain_decimal
+
 EMPTY_MAP = "cast(map() as map<string,string>)"
 
 
@@ -32,11 +34,17 @@ def value_text(value: Column) -> Column:
 
 
 def value_json(value: Column) -> Column:
-    """JSON text of a typed value: numbers and booleans unquoted, unset values ``null``."""
+    """JSON text of a typed value: numbers and booleans unquoted, unset values ``null``.
+
+    Doubles have no exponent; NaN and the infinities, which JSON cannot write, are ``null``.
+    """
+    double = value["double_value"]
+    finite = F.abs(double) < float("inf")  # false for NaN, which is above all numbers
+    number = F.when(finite, plain_decimal(double)).when(double.isNotNull(), "null")
     return F.coalesce(
         _json_string(value["string_value"]),
         value["int_value"].cast("string"),
-        value["double_value"].cast("string"),
+        number,
         value["bool_value"].cast("string"),
         _json_string(bytes_hex(value["bytes_value"])),
         value["json_value"],

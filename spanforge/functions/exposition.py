@@ -28,7 +28,7 @@ def escape_label(text: Column) -> Column:
     return F.replace(escape_help(text), F.lit('"'), F.lit('\\"'))
 
 
-def _plain_decimal(value: Column) -> Column:
+def plain_decimal(value: Column) -> Column:
     # Shortest digits that read back as the same double, without an exponent.
     text = value.cast("string")
     mantissa = F.regexp_extract(text, r"^-?([0-9]+)\.([0-9]+)E", 1)
@@ -59,7 +59,7 @@ def format_value(value: Column) -> Column:
         .when(value == infinity, "+Inf")
         .when(value == -infinity, "-Inf")
         .when(whole, F.floor(value).cast("string"))
-        .otherwise(_plain_decimal(value))
+        .otherwise(plain_decimal(value))
     )
 
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +17,7 @@ from spanforge.session import cut_lineage
 COOLDOWN_NS = 60 * NANOS
 BODY_SHOWN = 100
 EPSILON = 2.220446049250313e-16  # distance from 1.0 to the next double
-MAX_BROADCAST_RULES = 10_000
-DIRECT_COOLDOWN_HITS = 500_000
+RULE_SALTS = 16
 
 # --- the five conditions, one function each ---------------------------------------------------
 
@@ -200,9 +196,11 @@ def _seconds(ns: Column) -> Column:
 
 
 def _cut(body: Column) -> Column:
+    # The limit counts bytes; a character that it would split is left out.
+    shown = F.make_valid_utf8(F.substring(body.cast("binary"), 1, BODY_SHOWN).cast("string"))
     return F.when(
         F.octet_length(body) > BODY_SHOWN,
-        F.concat(F.substring(body, 1, BODY_SHOWN), F.lit("...")),
+        F.concat(F.regexp_replace(shown, "\uFFFD+$", ""), F.lit("...")),
     ).otherwise(body)
 
 
@@ -221,54 +219,42 @@ _HIT = "rule string, kind string, at bigint, message string"
 
 
 class _Rules:
-    """Parsed rules ready to be attached to tables.
+    """Parsed rules ready to be attached to tables: always a table, joined like any other.
 
-    Up to ``MAX_BROADCAST_RULES`` rules are read once and travel as a constant or as small
-    local rows that are broadcast. More rules than that stay a table, joined like any other.
+    Only the kinds that occur, five at most, are read while the plan is built.
     """
 
     def __init__(self, rules: DataFrame) -> None:
-        self.spark = rules.sparkSession
         self.table = rules.where(F.col("error").isNull()).select(*_RULE_FIELDS)
-        rows = self.table.limit(MAX_BROADCAST_RULES + 1).collect()
-        self.rows = rows if len(rows) <= MAX_BROADCAST_RULES else None
+        self.kinds = {r["kind"] for r in self.table.select("kind").distinct().collect()}
 
     def has(self, *kinds: str) -> bool:
-        return self.rows is None or any(r["kind"] in kinds for r in self.rows)
+        return bool(self.kinds.intersection(kinds))
 
     def attach(self, data: DataFrame, *kinds: str, on: str | None = None) -> DataFrame:
-        """Rows of the table with the list of rules of these kinds: one joined row each."""
-        key = F.lit("") if on is None else F.col(on)
-        item = self.table.schema.simpleString()
-        if self.rows is None:
-            lists = (
-                self.table.where(F.col("kind").isin(*kinds))
-                .groupBy(key.alias("_on"))
-                .agg(F.collect_list(F.struct(*_RULE_FIELDS)).alias("_rules"))
-            )
-            return data.withColumn("_on", key).join(lists, "_on").drop("_on")
-        mine = [r for r in self.rows if r["kind"] in kinds]
-        if on is None:
-            # A constant, read once when the query is optimized.
-            text = json.dumps([r.asDict() for r in mine])
-            return data.withColumn("_rules", F.from_json(F.lit(text), f"array<{item}>"))
-        grouped: dict[str, list] = {}
-        for row in mine:
-            grouped.setdefault(row[on], []).append(row)
-        lists = self.spark.createDataFrame(
-            list(grouped.items()), f"{on} string, _rules array<{item}>"
-        )
-        return data.join(F.broadcast(lists), on)
+        """Each row of the table beside each rule of these kinds, as the struct ``r``.
+
+        With ``on`` they meet where that column is equal. Other rules are copied to a few salts
+        and meet the rows of their salt, an equi join that no single task carries.
+        """
+        mine = self.table.where(F.col("kind").isin(*kinds))
+        rule = F.struct(*_RULE_FIELDS).alias("r")
+        if on is not None:
+            return data.join(mine.select(on, rule), on)
+        salts = F.array(*(F.lit(k).cast("long") for k in range(RULE_SALTS)))
+        placed = mine.select(F.explode(salts).alias("_salt"), rule)
+        # Rows, equal ones too, are dealt out evenly; which salt they get changes no result.
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(RULE_SALTS))
+        return data.withColumn("_salt", salt).join(placed, "_salt").drop("_salt")
 
 
 def _hits(rows: DataFrame, at: Column, applies, message) -> DataFrame:
-    hit = F.explode(F.filter("_rules", applies)).alias("r")
-    picked = rows.select("*", hit)
-    return picked.select(
+    r = F.col("r")
+    return rows.where(applies(r)).select(
         F.col("r.rule").alias("rule"),
         F.col("r.kind").alias("kind"),
         at.alias("at"),
-        message(F.col("r")).alias("message"),
+        message(r).alias("message"),
     )
 
 
@@ -284,8 +270,7 @@ def evaluate_rules(
     ``earlier_errors`` (``at``) are error times of earlier batches that still count in the
     windows of error-rate rules.
 
-    Each table is read once for all its rules, and not at all when it has none: the rules ride
-    along as a list and only those that apply are unfolded.
+    Each table is read once for all its rules, and not at all when it has none.
     """
     known = _Rules(rules)
     parts = []
@@ -353,9 +338,9 @@ def _error_rate_hits(
 ) -> DataFrame:
     def per_rule(errors: DataFrame) -> DataFrame:
         return (
-            known.attach(errors, "error_rate")
-            .select("at", F.explode("_rules").alias("r"))
-            .select("at", "r.rule", "r.max_count", "r.window_ns")
+            known.attach(errors, "error_rate").select(
+                "at", "r.rule", "r.max_count", "r.window_ns"
+            )
         )
 
     failed = traces.where(F.col("status_code") == 2)
@@ -379,20 +364,6 @@ def _error_rate_hits(
 # --- cooldown ---------------------------------------------------------------------------------
 
 
-def _greedy(cooldown_ns: int):
-    """Fires among the sorted hit times of one rule."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["at"].to_numpy())
-        picked, i = [], 0
-        while i < len(times):
-            picked.append(times[i])
-            i = int(np.searchsorted(times, times[i] + cooldown_ns, side="left"))
-        return pd.DataFrame({"rule": pdf["rule"].iloc[0], "at": picked})
-
-    return run
-
-
 def _chain(times: DataFrame, cooldown_ns: int) -> DataFrame:
     """Per hit: its rank ``pos``, the rank ``to`` of the fire it would cause next, ``starts``.
 
@@ -457,14 +428,12 @@ def cooldown(
     hits: DataFrame,
     cooldown_ns: int = COOLDOWN_NS,
     last_fired: DataFrame | None = None,
-    direct_limit: int = DIRECT_COOLDOWN_HITS,
 ) -> DataFrame:
     """The (rule, at) pairs that fire: after a fire the same rule is silent for the cooldown.
 
     ``last_fired`` (rule, fired_at) carries fires from earlier batches. Hits are reduced to
-    distinct times and counted. Up to ``direct_limit`` of them, each rule is walked through in
-    one small group. Beyond it no rule is held in one task: every hit is linked to the fire it
-    would cause next, and the chains are followed by doubling the step, in log2 rounds.
+    distinct times. No rule is held in one task: every hit is linked to the fire it would cause
+    next, and the chains are followed by doubling the step, in log2 rounds.
     """
     times = hits.select("rule", "at").distinct()
     if last_fired is not None:
@@ -474,12 +443,7 @@ def cooldown(
             .where(F.col("_last").isNull() | (F.col("at") >= plus(F.col("_last"), cooldown_ns)))
             .select("rule", "at")
         )
-    times = cut_lineage(times)
-    if times.count() <= direct_limit:
-        return times.groupBy("rule").applyInPandas(
-            _greedy(cooldown_ns), "rule string, at bigint"
-        )
-    return _fires_by_doubling(times, cooldown_ns)
+    return _fires_by_doubling(cut_lineage(times), cooldown_ns)
 
 
 def alert_rows(

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DIGIT_BITS = 21
-DIRECT_ROWS = 1_000_000
 _MASK = (1 << DIGIT_BITS) - 1
 
 _LOW, _MID, _TOP = "_digit_low", "_digit_mid", "_digit_top"
@@ -141,19 +140,13 @@ def ranks(
     at: str,
     ties: Sequence[str],
     out: str = "rank",
-    direct_limit: int = DIRECT_ROWS,
 ) -> DataFrame:
     """0-based rank of every row inside its keys, by a bigint ``at`` and then ``ties``.
 
-    The largest key is counted first. When it fits ``direct_limit`` rows, one window does it.
-    Beyond that rows are ordered together only within one prefix (two digits) of ``at``, and
-    the prefixes before it are counted.
+    Rows are ordered together only within one prefix (two digits) of ``at``; the prefixes
+    before it are counted.
     """
     keys = list(keys)
-    largest = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if largest <= direct_limit:
-        window = Window.partitionBy(*keys).orderBy(at, *ties)
-        return df.withColumn(out, (F.row_number().over(window) - 1).cast("bigint"))
     digits = with_digits(df, F.col(at)).drop(_LOW)
     offsets = _offsets(digits.withColumn("_w", F.lit(1).cast("bigint")), keys)
     inside = Window.partitionBy(*keys, _TOP, _MID).orderBy(at, *ties)

@@ -19,7 +19,8 @@ def fan_out(batch: DataFrame, targets: Mapping[str, Target], batch_id: int = 0)
 
     Returns one row per target: batch, target and error (NULL when it worked).
     """
-    held = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    own = not batch.is_cached  # a caller that keeps the batch keeps it
+    held = batch.persist(StorageLevel.MEMORY_AND_DISK) if own else batch
     outcomes = []
     try:
         for name, write in targets.items():
@@ -27,9 +28,10 @@ def fan_out(batch: DataFrame, targets: Mapping[str, Target], batch_id: int = 0)
                 write(held)
                 outcomes.append((batch_id, name, None))
             except Exception as error:  # any failure belongs to its target alone
-                outcomes.append((batch_id, name, str(error)[:1000]))
+                outcomes.append((batch_id, name, str(error)))
     finally:
-        held.unpersist()
+        if own:
+            held.unpersist()
     return batch.sparkSession.createDataFrame(
         outcomes, "batch_id bigint, target string, error string"
     )

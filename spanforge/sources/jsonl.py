@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 from spanforge.functions.attributes import EMPTY_MAP
+from spanforge.sinks.export import TYPE_NAMES
 
 # Fields read per signal; an export's own spellings are accepted next to the import's.
 _FIELDS = {
@@ -54,6 +55,13 @@ def time_ns(text: Column) -> Column:
     ).cast("bigint")
 
 
+def _hex_id(text: Column, missing: str) -> Column:
+    """An id in lower case; text that is not pairs of hexadecimal digits fails the job."""
+    bad = F.raise_error(F.concat(F.lit("invalid hexadecimal id: "), text)).cast("string")
+    checked = F.when(text.rlike("^([0-9a-fA-F]{2})*$"), F.lower(text)).otherwise(bad)
+    return F.when(text.isNull(), missing).otherwise(checked)
+
+
 def _service(column: Column) -> Column:
     return F.coalesce(column, F.lit("unknown"))
 
@@ -73,9 +81,9 @@ def import_traces(lines: DataFrame) -> DataFrame:
     return _parsed(lines, "traces").select(
         service.alias("service_name"),
         F.coalesce(r["span_name"], F.lit("")).alias("span_name"),
-        F.lower(F.coalesce(r["trace_id"], F.lit("0" * 32))).alias("trace_id"),
-        F.lower(F.coalesce(r["span_id"], F.lit("0" * 16))).alias("span_id"),
-        F.lower(F.coalesce(r["parent_span_id"], F.lit(""))).alias("parent_span_id"),
+        _hex_id(r["trace_id"], "0" * 32).alias("trace_id"),
+        _hex_id(r["span_id"], "0" * 16).alias("span_id"),
+        _hex_id(r["parent_span_id"], "").alias("parent_span_id"),
         F.coalesce(r["kind"], F.lit(0)).alias("kind"),
         start.alias("start_time_unix_nano"),
         (start + duration).alias("end_time_unix_nano"),
@@ -104,6 +112,14 @@ def import_logs(lines: DataFrame) -> DataFrame:
     )
 
 
+def _metric_type(name: Column) -> Column:
+    """The type's own name, from that or from the display name an export writes."""
+    known = {shown.lower(): own for own, shown in TYPE_NAMES.items()}
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    lower = F.lower(F.coalesce(name, F.lit("gauge")))
+    return F.coalesce(names[lower], lower)
+
+
 def import_metrics(lines: DataFrame) -> DataFrame:
     """JSON lines to ``metrics``; a row without a value keeps NULL rather than a made-up zero."""
     r = F.col("r")
@@ -111,7 +127,7 @@ def import_metrics(lines: DataFrame) -> DataFrame:
     return _parsed(lines, "metrics").select(
         service.alias("service_name"),
         F.coalesce(r["name"], r["metric_name"], F.lit("")).alias("metric_name"),
-        F.lower(F.coalesce(r["type"], F.lit("gauge"))).alias("metric_type"),
+        _metric_type(r["type"]).alias("metric_type"),
         time_ns(r["time"]).alias("timestamp_unix_nano"),
         r["value"].alias("value"),
         F.coalesce(r["unit"], F.lit("")).alias("unit"),

@@ -84,3 +84,15 @@ def test_escaping(spark):
 @pytest.mark.parametrize("hex_id,short", [("abcdef0123456789", "abcdef01"), ("ab", "ab")])
 def test_short_id(spark, hex_id, short):
     assert each(spark, "string", [hex_id], T.short_id) == [short]
+
+
+def test_value_json_of_doubles(spark):
+    from spanforge.functions.attributes import value_json
+
+    shape = ("v struct<string_value: string, int_value: bigint, double_value: double, bool_value: boolean, "
+             "bytes_value: binary, json_value: string>")
+    values = [float("nan"), float("inf"), float("-inf"), 1e10, -2.5, 1e-7, None]
+    rows = spark.createDataFrame([((None, None, d, None, None, None),) for d in values], shape)
+    got = [r[0] for r in rows.select(value_json(rows["v"])).collect()]
+    assert got[:3] == ["null"] * 3 and got[-1] == "null"
+    assert [float(x) for x in got[3:6]] == [1e10, -2.5, 1e-7] and not any("E" in x for x in got[3:6])

@@ -1,3 +1,4 @@
+import re
 import json
 
 import pytest
@@ -97,11 +98,13 @@ def test_export_then_import_files(spark, tmp_path):
     for name, rows in (("traces", export.export_traces(t)), ("logs", export.export_logs(lg)),
                        ("metrics", export.export_metrics(p))):
         text = "\n".join(r[0] for r in export.json_lines(rows).collect())
+        # Imported ids are hexadecimal.
+        text = re.sub(r'(_id":")([^"]+)"', lambda m: f'{m[1]}{m[2].encode().hex()}"', text)
         (tmp_path / f"my-{name}.jsonl").write_text(text + "\n\n")
     back = jsonl.import_files(spark, f"{tmp_path}/*.jsonl")
     assert back["traces"].count() == 2
     row = dicts(back["traces"].where("span_name = 'a'"))[0]
-    assert (row["status_code"], row["status_message"], row["trace_id"]) == (2, "m", "t1")
+    assert (row["status_code"], row["status_message"], row["trace_id"]) == (2, "m", "7431")
     assert dicts(back["logs"])[0]["body"] == 'say "hi"'
     assert back["metrics"].count() == 2
 
@@ -203,3 +206,38 @@ def test_rotation_of_a_stream(spark, tmp_path):
     assert query.exception() is None
     assert spark.read.text(str(tmp_path / "out")).count() == 3
     assert len(list((tmp_path / "out" / "signal=traces").iterdir())) == 3
+
+
+def test_metric_types_survive_a_round_trip(spark):
+    from spanforge.sinks.export import TYPE_NAMES
+    from spanforge.sources import jsonl
+
+    lines = spark.createDataFrame(
+        [(f'{{"name": "m", "type": "{shown}", "value": 1.0}}',) for shown in TYPE_NAMES.values()], "value string"
+    )
+    assert {r["metric_type"] for r in jsonl.import_metrics(lines).collect()} == set(TYPE_NAMES)
+
+
+def test_bad_hex_ids_fail(spark):
+    import pytest
+
+    from spanforge.sources import jsonl
+
+    lines = spark.createDataFrame([('{"trace_id": "zz", "span_id": "ab"}',)], "value string")
+    with pytest.raises(Exception, match="hexadecimal"):
+        jsonl.import_traces(lines).collect()
+
+
+def test_fan_out_keeps_the_callers_cache(spark):
+    from spanforge.sinks.targets import fan_out
+
+    batch = spark.range(5).persist()
+    long_text = "x" * 5000
+
+    def failing(df):
+        raise ValueError(long_text)
+
+    outcome = fan_out(batch, {"ok": lambda df: df.count(), "bad": failing}).collect()
+    assert batch.is_cached and batch.storageLevel.useMemory
+    assert {r["target"]: r["error"] for r in outcome} == {"ok": None, "bad": long_text}
+    batch.unpersist()
