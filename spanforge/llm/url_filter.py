@@ -8,7 +8,7 @@ log-likelihoods for each symbol; the difference is calibrated by the normal dist
 on a fifth of the ruled urls, kept out of the counts.
 
 Everything is DataFrame functions. All tables of the model have at most ``ALPHABET ** 4`` rows,
-about 3.4 million, however many urls there are; that proven bound is why the table of weights is
+about 3.1 million, however many urls there are; that proven bound is why the table of weights is
 broadcast. Counts take in every row of the input. The six sums of the calibration are all that
 reaches the driver.
 
