@@ -53,10 +53,15 @@ def compare(value: Column, op: Column, threshold: Column) -> Column:
 
 
 def alertable_points(metrics: DataFrame) -> DataFrame:
-    """Points a metric rule looks at: gauges, sums and histogram sums that have a value."""
+    """Points a metric rule looks at: gauges, sums and histogram sums that have a value.
+
+    A flat table has a count for a histogram without a sum and a zero for a point without a
+    value. Only ``has_value`` (extended flattening, saved tables) tells them apart; where it is
+    missing or NULL the value is taken as it is.
+    """
     looked_at = F.col("metric_type").isin("gauge", "sum", "histogram")
     if "has_value" in metrics.columns:
-        looked_at = looked_at & F.col("has_value")
+        looked_at = looked_at & F.coalesce("has_value", F.lit(True))
     return metrics.where(looked_at & F.col("value").isNotNull())
 
 

@@ -108,7 +108,8 @@ def retain_logs_by_age(logs: DataFrame, cutoff: int) -> DataFrame:
     """Records with time at or after the cutoff; the observed time stands in for a zero time."""
     time = F.col("timestamp_unix_nano")
     if "observed_time_unix_nano" in logs.columns:
-        time = F.when(time > 0, time).otherwise(F.col("observed_time_unix_nano"))
+        observed = F.coalesce("observed_time_unix_nano", F.lit(0))
+        time = F.when(time > 0, time).otherwise(observed)
     return logs.where(time >= cutoff)
 
 

@@ -88,6 +88,14 @@ TRACE_COLUMNS = column_names(TRACES)
 LOG_COLUMNS = column_names(LOGS)
 METRIC_COLUMNS = column_names(METRICS)
 
+# What a saved table keeps beyond the flat one: age retention needs the observed time of logs,
+# alerts need to know whether a point had a value.
+SAVED_EXTRA = {
+    "traces": {},
+    "logs": {"observed_time_unix_nano": "bigint"},
+    "metrics": {"has_value": "boolean"},
+}
+
 # Time column of each flat table.
 TIME_COLUMN = {
     "traces": "start_time_unix_nano",

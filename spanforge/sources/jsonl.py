@@ -29,20 +29,32 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
 
 
-def _parsed(lines: DataFrame, signal: str) -> DataFrame:
-    """Parse the ``value`` column; a line that is not JSON fails the job and is quoted."""
-    filled = lines.where(F.trim("value") != "")
-    schema = f"{_FIELDS[signal]}, _bad string"
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    row = F.from_json("value", schema, options)
-    failure = F.raise_error(F.concat(F.lit("invalid JSON line: "), F.col("value")))
-    checked = filled.select(row.alias("r"), "value")
-    ok = F.when(F.col("r._bad").isNull() & F.col("r").isNotNull(), F.col("r"))
-    return checked.select(F.coalesce(ok, failure.cast(f"struct<{_ddl(schema)}>")).alias("r"))
+# JSON types that a field is read from; a value of any other type counts as missing.
+_JSON_TYPES = {"string": "STRING", "int": "BIGINT", "double": r"BIGINT|DOUBLE|DECIMAL.*"}
+
+
+def _field(row: Column, name: str, kind: str) -> Column:
+    path = f"$.{name}"
+    found = F.schema_of_variant(F.try_variant_get(row, path, "variant"))
+    return F.when(
+        found.rlike(f"^({_JSON_TYPES[kind]})$"), F.try_variant_get(row, path, kind)
+    ).alias(name)
 
 
-def _ddl(schema: str) -> str:
-    return ",".join(":".join(part.strip().split(" ")) for part in schema.split(","))
+def _parsed(lines: DataFrame, signal: str) -> DataFrame:
+    """Parse the ``value`` column; a line that is not JSON fails the job and is quoted.
+
+    A field of another type than the expected one counts as missing. The failure names the file
+    where the lines have their ``path``.
+    """
+    filled = lines.where(F.trim("value") != "")
+    where = [F.lit(" in "), F.col("path")] if "path" in lines.columns else []
+    failure = F.raise_error(F.concat(F.lit("invalid JSON line: "), F.col("value"), *where))
+    parsed = filled.select(
+        F.coalesce(F.try_parse_json("value"), failure.cast("variant")).alias("v")
+    )
+    fields = [part.strip().split(" ") for part in _FIELDS[signal].split(",")]
+    return parsed.select(F.struct(*[_field(F.col("v"), *field) for field in fields]).alias("r"))
 
 
 def time_ns(text: Column) -> Column:

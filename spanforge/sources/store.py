@@ -13,6 +13,12 @@ from spanforge.operators.lookups import event_date
 SIGNALS = {"traces": schema.TRACES, "logs": schema.LOGS, "metrics": schema.METRICS}
 
 
+def saved_schema(signal: str) -> str:
+    """The columns of a saved table: the flat ones, extras, and those of the folders."""
+    extra = "".join(f", {name} {kind}" for name, kind in schema.SAVED_EXTRA[signal].items())
+    return f"{SIGNALS[signal]}{extra}, batch bigint, event_date date"
+
+
 def _folder(root: str, signal: str) -> str:
     if signal not in SIGNALS:
         raise ValueError(f"unknown signal: {signal}")
@@ -25,9 +31,14 @@ def save(df: DataFrame, root: str, signal: str, batch_id: int | None = None) ->
     No file is ever rewritten. With a ``batch_id`` the rows go to a folder of that batch which
     a retry of the same batch overwrites, so a repeated micro-batch counts once. Rows are
     gathered by date with a rebalance, which splits a hot day into tasks of the advised size
-    and merges small ones, and sorted for tight min/max statistics.
+    and merges small ones, and sorted for tight min/max statistics. Logs keep their observed time
+    and points whether they had a value, where ``df`` has these columns (extended flattening);
+    logs without a time lie under 1970-01-01, whatever their observed time.
     """
-    columns = schema.column_names(SIGNALS[signal])
+    columns = schema.column_names(SIGNALS[signal]) + [
+        F.col(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
+        for name, kind in schema.SAVED_EXTRA[signal].items()
+    ]
     dated = df.select(*columns, event_date(F.col(schema.TIME_COLUMN[signal])).alias("event_date"))
     laid_out = dated.hint("rebalance", "event_date").sortWithinPartitions(
         "event_date", "service_name", schema.TIME_COLUMN[signal]
@@ -51,7 +62,7 @@ def exists(spark: SparkSession, root: str, signal: str) -> bool:
 
 def load(spark: SparkSession, root: str, signal: str) -> DataFrame:
     """A saved table with its partition columns; an empty table when nothing was saved."""
-    full = f"{SIGNALS[signal]}, batch bigint, event_date date"
+    full = saved_schema(signal)
     if not exists(spark, root, signal):
         return spark.createDataFrame([], full)
     return spark.read.schema(full).parquet(_folder(root, signal))
@@ -61,7 +72,7 @@ def clear(spark: SparkSession, root: str, signal: str) -> int:
     """Empty one signal; returns how many rows were removed."""
     removed = load(spark, root, signal).count()
     if removed:
-        empty = spark.createDataFrame([], f"{SIGNALS[signal]}, batch bigint, event_date date")
+        empty = spark.createDataFrame([], saved_schema(signal))
         empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
             "batch", "event_date"
         ).parquet(_folder(root, signal))
@@ -84,7 +95,7 @@ def union_sources(sources: Mapping[str, DataFrame], key: str = "source") -> Data
     merged: DataFrame | None = None
     for name, df in sources.items():
         tagged = with_source(df, name, key)
-        merged = tagged if merged is None else merged.unionByName(tagged)
+        merged = tagged if merged is None else merged.unionByName(tagged, True)
     if merged is None:
         raise ValueError("no source given")
     return merged

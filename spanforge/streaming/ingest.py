@@ -37,7 +37,7 @@ def ingest_batch(
                 outcome.write.mode("overwrite").parquet(
                     f"{root}/_forwarded/{signal}/batch={batch_id}"
                 )
-            rows = FLATTEN[signal](held)
+            rows = FLATTEN[signal](held, extended=True)
             if signal == "traces" and rate < 1.0:
                 sampling.sample_report(rows, rate, always).write.mode("overwrite").parquet(
                     f"{root}/_dropped/{signal}/batch={batch_id}"
@@ -78,15 +78,21 @@ _KEEP = {
 }
 
 
-def sweep(spark: SparkSession, root: str, signal: str, cutoff: int) -> int:
+def sweep(
+    spark: SparkSession, root: str, signal: str, cutoff: int, pins: DataFrame | None = None
+) -> int:
     """Remove rows older than the cutoff from a saved signal; returns how many.
 
     Only date folders up to the cutoff's date are looked at: those that still hold rows are
-    rewritten, those without any are removed, and newer ones are not touched.
+    rewritten, those without any are removed, and newer ones are not touched. ``pins`` (a frame
+    of ``trace_id``) keeps pinned traces whatever their age.
     """
+    if pins is not None and signal != "traces":
+        raise ValueError(f"pins hold traces, not {signal}")
     table = store.load(spark, root, signal)
     old = table.where(F.col("event_date") <= event_date(F.lit(cutoff)))
-    kept = cut_lineage(_KEEP[signal](old, cutoff))
+    options = {} if pins is None else {"pins": pins}
+    kept = cut_lineage(_KEEP[signal](old, cutoff, **options))
     parts = ["batch", "event_date"]
     before = old.groupBy(*parts).agg(F.count("*").alias("n"))
     after = kept.groupBy(*parts).agg(F.count("*").alias("left"))

@@ -241,3 +241,22 @@ def test_fan_out_keeps_the_callers_cache(spark):
     assert batch.is_cached and batch.storageLevel.useMemory
     assert {r["target"]: r["error"] for r in outcome} == {"ok": None, "bad": long_text}
     batch.unpersist()
+
+
+def test_import_takes_defaults_for_other_types(spark):
+    got = dicts(jsonl.import_traces(lines(
+        spark, '{"service": 5, "duration_ms": "abc", "kind": 2.5, "trace_id": "AB"}'))
+    )[0]
+    assert (got["service_name"], got["duration_ns"], got["kind"]) == ("unknown", 0, 0)
+    assert got["trace_id"] == "ab"
+    point = dicts(jsonl.import_metrics(lines(
+        spark, '{"name": ["x"], "value": "7", "unit": {"a": 1}}')))[0]
+    assert (point["metric_name"], point["value"], point["unit"]) == ("", None, "")
+    assert dicts(jsonl.import_logs(lines(spark, '{"body": true}')))[0]["body"] == ""
+
+
+def test_bad_line_names_its_file(spark, tmp_path):
+    (tmp_path / "logs.jsonl").write_text('{"body": "ok"}\nnot json\n')
+    tables = jsonl.import_files(spark, f"{tmp_path}/*.jsonl")
+    with pytest.raises(Exception, match=r"invalid JSON line: not json in .*logs\.jsonl"):
+        tables["logs"].collect()

@@ -168,3 +168,41 @@ def test_sweep(spark, tmp_path):
     assert ingest.sweep_interval_seconds(5) == 1.0
     assert ingest.sweep_interval_seconds(300) == 30.0
     assert ingest.sweep_interval_seconds(1e6) == 60.0
+
+
+def test_sweep_keeps_logs_of_fresh_observed_time(spark, tmp_path):
+    root = str(tmp_path)
+    batch = log_batches(spark, (resource("a"), [
+        raw_log("fresh", time=0, observed=9 * DAY), raw_log("stale", time=0, observed=DAY),
+        raw_log("never", time=0, observed=0), raw_log("old", time=DAY, observed=9 * DAY)]))
+    ingest.ingest_batch(root, "logs")(batch, 1)
+    assert ingest.sweep(spark, root, "logs", 5 * DAY) == 3
+    assert [r["body"] for r in store.load(spark, root, "logs").collect()] == ["fresh"]
+    assert ingest.sweep(spark, root, "logs", 10 * DAY) == 1
+
+
+def test_sweep_keeps_pinned_traces(spark, tmp_path):
+    root = str(tmp_path)
+    store.save(spans(spark, [{"trace": "p", "name": "a"}, {"trace": "q", "name": "b"}]),
+               root, "traces")
+    pins = spark.createDataFrame([("p",)], "trace_id string")
+    assert ingest.sweep(spark, root, "traces", DAY, pins) == 1
+    assert [r["span_name"] for r in store.load(spark, root, "traces").collect()] == ["a"]
+
+
+def test_saved_points_tell_missing_values(spark, tmp_path):
+    root = str(tmp_path)
+    bucketless = {"attributes": [], "time_unix_nano": SECOND, "count": 500, "sum": None,
+                  "bucket_counts": [], "explicit_bounds": []}
+    batch = metric_batches(spark, (resource("a"), [
+        raw_metric("m", "gauge", [number_point(None), number_point(7)]),
+        raw_metric("m", "histogram", [bucketless, {**bucketless, "sum": 9.0}])]))
+    ingest.ingest_batch(root, "metrics")(batch, 1)
+    saved = store.load(spark, root, "metrics")
+    assert saved.count() == 4
+    over = alerts.metric_over(saved, "m", ">=", 0.0)
+    assert sorted(r["value"] for r in over.collect()) == [7.0, 9.0]
+    hits = alerts.evaluate_rules(
+        alerts.parse_rules(alerts.rules_frame(spark, ["metric m > 100"])),
+        *[spark.createDataFrame([], store.SIGNALS[s]) for s in ("traces", "logs")], saved)
+    assert hits.count() == 0
