@@ -18,10 +18,10 @@ def _row_at(wanted_rank: Column):
 
 def retain_traces(
     spans: DataFrame,
-    keep: int,
+    keep: int | Column,
     pins: DataFrame | None = None,
     arrival: str = "ingest_seq",
-    new_from: int | None = None,
+    new_from: int | Column | None = None,
 ) -> DataFrame:
     """Whole traces, newest first arrival first, until ``keep`` traces are held.
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from spanforge import schema
 from spanforge.functions import attributes as A
 
-IDS_PER_ORDER = 64
+IDS_PER_ORDER = 1 << 20  # span ids of an order; more lines than any order has
 SPANS_PER_BATCH = 16
 RECORDS_PER_BATCH = 50
 BOUNDS = [10.0, 20.0, 30.0, 40.0]

@@ -24,7 +24,7 @@ SPANS = """
 root_spans AS (
   SELECT 'gateway' AS service_name, 'order.' || o_orderpriority AS span_name,
          lpad(lower(hex(o_orderkey + 1)), 32, '0') AS trace_id,
-         lpad(lower(hex((o_orderkey + 1) * 64)), 16, '0') AS span_id,
+         lpad(lower(hex((o_orderkey + 1) * 1048576)), 16, '0') AS span_id,
          '' AS parent_span_id, 2::INTEGER AS kind,
          epoch_us(o_orderdate) * 1000 AS start_time_unix_nano,
          epoch_us(o_orderdate) * 1000 + CAST(round(o_totalprice * 1000) AS BIGINT)
@@ -40,8 +40,8 @@ child_spans AS (
   SELECT 'supplier-' || (l_suppkey % 7) AS service_name,
          'line.' || l_returnflag || l_linestatus AS span_name,
          lpad(lower(hex(l_orderkey + 1)), 32, '0') AS trace_id,
-         lpad(lower(hex((l_orderkey + 1) * 64 + n)), 16, '0') AS span_id,
-         lpad(lower(hex((l_orderkey + 1) * 64 + n // 2)), 16, '0') AS parent_span_id,
+         lpad(lower(hex((l_orderkey + 1) * 1048576 + n)), 16, '0') AS span_id,
+         lpad(lower(hex((l_orderkey + 1) * 1048576 + n // 2)), 16, '0') AS parent_span_id,
          3::INTEGER AS kind,
          epoch_us(o_orderdate) * 1000 + n * 1000000 AS start_time_unix_nano,
          epoch_us(o_orderdate) * 1000 + n * 1000000 + d AS end_time_unix_nano,
@@ -69,7 +69,7 @@ log_records AS (
          event_type || ' ' || props AS body,
          CASE WHEN event_id % 10 <> 0 THEN lpad(lower(hex(event_id + 1)), 32, '0') ELSE '' END
            AS trace_id,
-         CASE WHEN event_id % 10 <> 0 THEN lpad(lower(hex((event_id + 1) * 64)), 16, '0')
+         CASE WHEN event_id % 10 <> 0 THEN lpad(lower(hex((event_id + 1) * 1048576)), 16, '0')
               ELSE '' END AS span_id,
          '{"k":"' || json_extract_string(props, '$.k') || '","type":"' || event_type || '"}'
            AS attributes,
@@ -363,22 +363,22 @@ IN_SAMPLE = f"({POSITION} < {Q.SAMPLE_RATE} OR service_name IN ({ALWAYS}))"
 
 ARRIVALS = f"""
 arrivals AS (
-  SELECT trace_id, min(ingest_seq) AS first,
-         bool_or(min(ingest_seq) >= {Q.NEW_FROM} OR min(ingest_seq) % {Q.PIN_EVERY} = 0) OVER
-           (PARTITION BY trace_id) AS safe
-  FROM spans GROUP BY trace_id),
+  SELECT trace_id, first, first >= newest - newest // {Q.NEW_PART} OR first % {Q.PIN_EVERY} = 0 AS safe
+  FROM (SELECT trace_id, min(ingest_seq) AS first FROM spans GROUP BY trace_id),
+       (SELECT max(ingest_seq) AS newest FROM root_spans)),
 others AS (SELECT *, row_number() OVER (ORDER BY first DESC, trace_id) AS rn
            FROM arrivals WHERE NOT safe),
 kept AS (
   SELECT trace_id FROM arrivals WHERE safe
   UNION ALL
   SELECT trace_id FROM others
-  WHERE rn <= {Q.KEEP_TRACES} - (SELECT count(*) FROM arrivals WHERE safe))"""
+  WHERE rn <= (SELECT count(*) // {Q.KEEP_PART} FROM root_spans) -
+              (SELECT count(*) FROM arrivals WHERE safe))"""
 
 
-def newest_batches(table: str, where: str = "") -> str:
+def newest_batches(table: str) -> str:
     return f"""
-kept AS (SELECT DISTINCT batch_id FROM {table} {where}
+kept AS (SELECT DISTINCT batch_id FROM {table}
          ORDER BY batch_id DESC LIMIT {Q.KEEP_BATCHES})"""
 
 
@@ -477,12 +477,25 @@ SELECT 0::INTEGER, 2::INTEGER, metric, sample_name || labels || ' ' || value_tex
 
 WINDOW_COUNTS = f"""
 SELECT DISTINCT "at", errors_in_window FROM (
-  SELECT timestamp_unix_nano AS "at",
-         count(*) OVER (ORDER BY timestamp_unix_nano
+  SELECT start_time_unix_nano AS "at",
+         count(*) OVER (ORDER BY start_time_unix_nano
                         RANGE BETWEEN {Q.HOUR_NS} PRECEDING AND CURRENT ROW) AS errors_in_window
-  FROM logs WHERE severity_number >= 17)
+  FROM traces WHERE status_code = 2)
 WHERE errors_in_window > {Q.MAX_ERRORS}"""
 
+SLIDING_WINDOWS = f"""
+SELECT window_start_ns, window_start_ns + {Q.HOUR_NS} AS window_end_ns, count(*) AS errors
+FROM (SELECT unnest([slide, slide - {Q.HOUR_NS // 2}]) AS window_start_ns
+      FROM (SELECT start_time_unix_nano // {Q.HOUR_NS // 2} * {Q.HOUR_NS // 2} AS slide
+            FROM traces WHERE status_code = 2))
+GROUP BY window_start_ns HAVING count(*) > {Q.MAX_ERRORS}"""
+
+DISPLAY = """
+SELECT span_id, unnest(['name', 'kind', 'eighth', 'failed', 'id', 'unset']) AS key,
+       unnest([span_name, kind::VARCHAR, printf('%.6f', kind::DOUBLE / 8),
+               (status_code = 2)::VARCHAR, span_id, '']) AS shown
+FROM traces"""
+
 RULE_HITS = f"""
 hits AS (
   SELECT 'span_duration > 400ms' AS rule, 'span_duration' AS kind, start_time_unix_nano AS "at"
@@ -658,6 +671,11 @@ UNION ALL SELECT {T_COLS}, 'backend:4317' FROM child_spans"""))
 SELECT 'trace' AS signal, {rfc3339('start_time_unix_nano')} AS time, service_name AS service,
        span_name, duration_ns::DOUBLE / 1e6 AS duration_ms, trace_id, span_id, parent_span_id,
        kind, status_code, status_message FROM traces"""))
+    add("export_csv", _with("T", f"""
+SELECT 'trace' AS signal, {rfc3339('start_time_unix_nano')} AS time, service_name AS service,
+       span_name,
+       printf('%.3f', floor(duration_ns::DOUBLE / 1e6 * 1000 + 0.5) / 1000) AS duration_ms,
+       trace_id, span_id, parent_span_id, kind, status_code FROM traces"""))
     add("export_logs", _with("L", f"""
 SELECT 'log' AS signal, {rfc3339('timestamp_unix_nano')} AS time, service_name AS service,
        {SEVERITY_NAME} AS severity, body FROM logs"""))
@@ -727,6 +745,12 @@ WHERE contains(lower(metric_name), 'line.') OR contains(lower(service_name), 'li
 SELECT l.* EXCLUDE (attributes, resource), g.service_name AS root_service, g.root_span_name,
        g.span_count, g.duration_ns AS trace_duration_ns, g.start_time_unix_nano
 FROM logs l LEFT JOIN groups g ON l.trace_id = g.trace_id AND l.trace_id <> ''""", GROUPS))
+    add("follow_traces", _with("T", """
+SELECT * FROM traces WHERE service_name = 'supplier-5' AND span_name = 'line.RF'"""))
+    add("follow_logs", _with("L", """
+SELECT * FROM logs WHERE severity_number BETWEEN 17 AND 20 AND contains(body, 'error')"""))
+    add("follow_metrics", _with("M", """
+SELECT * FROM metrics WHERE service_name = 'supplier-2' AND metric_name = 'line.count'"""))
     add("metric_catalog", _with("M", """
 SELECT DISTINCT metric_name, service_name, description, unit, metric_type FROM metrics"""))
 
@@ -802,10 +826,10 @@ SELECT {T_COLS} FROM spans WHERE trace_id IN (SELECT trace_id FROM kept)""", ARR
     add("retain_logs", _with("L", """
 SELECT batch_id, service_name, timestamp_unix_nano, body FROM log_records
 WHERE batch_id IN (SELECT batch_id FROM kept)""", newest_batches("log_records")))
-    add("retain_metrics", _with("M", """
-SELECT batch_id, service_name, metric_name, ts AS timestamp_unix_nano FROM metric_points
-WHERE kind = 'gauge' AND batch_id IN (SELECT batch_id FROM kept)""",
-        newest_batches("metric_points", "WHERE kind = 'gauge'")))
+    add("retain_metrics", _with("M", f"""
+SELECT ts // {DAY_NS} AS batch_id, service_name, metric_name, ts AS timestamp_unix_nano
+FROM metric_points WHERE ts // {DAY_NS} IN (SELECT batch_id FROM kept)""",
+        newest_batches(f"(SELECT ts // {DAY_NS} AS batch_id FROM metric_points)")))
     add("retain_by_age_traces", _with("T", f"""
 SELECT {T_COLS} FROM traces WHERE end_time_unix_nano >= {since_t}"""))
     add("retain_by_age_logs", _with("L", f"""
@@ -817,7 +841,8 @@ WHERE metric_type <> 'unknown' AND timestamp_unix_nano >= {since_l}"""))
 
     add("alert_span_duration", _with("T", f"""
 SELECT {T_COLS} FROM traces WHERE duration_ns > {Q.SLOW_NS}"""))
-    add("alert_error_rate", _with("L", WINDOW_COUNTS))
+    add("alert_error_rate", _with("T", WINDOW_COUNTS))
+    add("error_rate_windows", _with("T", SLIDING_WINDOWS))
     add("alert_log_body", _with("L", """
 SELECT service_name, timestamp_unix_nano, body FROM logs WHERE contains(body, 'purchase')"""))
     add("alert_log_severity", _with("L", """
@@ -837,6 +862,7 @@ SELECT f.rule, f.kind, f."at", min(w.message) AS message
 FROM fired f JOIN worded w ON w.rule = f.rule AND w."at" = f."at"
 GROUP BY 1, 2, 3""", MESSAGE_HITS + "," + fires(DAY_NS, "rule, kind"), recursive=True))
 
+    add("attribute_display", _with("T", DISPLAY))
     add("scalar_functions", _with("T", SCALARS))
     for name, text in sql_texts.DUCKDB.items():
         add(name, _with("TLM", text.replace("WITH errors AS", ", errors AS")

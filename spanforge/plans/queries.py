@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import exposition as E
 from spanforge.functions import text as T
-from spanforge.functions.attributes import map_json
+from spanforge.functions.attributes import map_json, value_display
 from spanforge.operators import (
     alerts, diff, latency, lookups, metrics, outliers, prometheus, retention, sampling,
     services, status, traces,
@@ -20,6 +20,8 @@ from spanforge.plans import sql_texts
 from spanforge.sinks import export
 from spanforge.sources import flatten, jsonl, store
 from spanforge.sources.sql import sql
+from spanforge.streaming import alerts as stream_alerts
+from spanforge.streaming import follow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,8 +32,8 @@ SINCE_LOGS = X.LOGS_NOW_NS - 10 * X.DAY_NS
 LIMIT = 100
 SAMPLE_RATE = 0.25
 ALWAYS = ["gateway", "supplier-3"]
-KEEP_TRACES = 1_000
-NEW_FROM = 14_900
+KEEP_PART = 20  # one trace in so many stays
+NEW_PART = 100  # the newest of so many parts count as just arrived
 PIN_EVERY = 1_000
 KEEP_BATCHES = 20
 SERIES_WIDTH = 60
@@ -169,6 +171,11 @@ def export_traces(t: Tables) -> DataFrame:
     return export.export_traces(t.traces)
 
 
+@query
+def export_csv(t: Tables) -> DataFrame:
+    return export.csv_traces(t.traces)
+
+
 @query
 def export_logs(t: Tables) -> DataFrame:
     return export.export_logs(t.logs)
@@ -297,6 +304,25 @@ def logs_with_trace(t: Tables) -> DataFrame:
     return joined.drop("attributes", "resource")
 
 
+@query
+def follow_traces(t: Tables) -> DataFrame:
+    """What a follower of landing batches gets, on all that has landed."""
+    found = follow.follow(t.nested_traces, "traces", service="supplier-5", span_name="line.RF")
+    return as_json(found, "attributes", "resource")
+
+
+@query
+def follow_logs(t: Tables) -> DataFrame:
+    found = follow.follow(t.nested_logs, "logs", severity="error", body="error")
+    return as_json(found, "attributes", "resource")
+
+
+@query
+def follow_metrics(t: Tables) -> DataFrame:
+    found = follow.follow(t.nested_metrics, "metrics", service="supplier-2", name="line.count")
+    return as_json(found, "attributes", "resource")
+
+
 @query
 def metric_catalog(t: Tables) -> DataFrame:
     return lookups.metric_catalog(t.metrics)
@@ -497,7 +523,9 @@ def sample_report(t: Tables) -> DataFrame:
 @query
 def retain_traces(t: Tables) -> DataFrame:
     pins = t.root_spans.where(F.col("ingest_seq") % PIN_EVERY == 0).select("trace_id")
-    kept = retention.retain_traces(t.spans, KEEP_TRACES, pins, new_from=NEW_FROM)
+    keep = t.root_spans.agg(F.expr(f"count(*) div {KEEP_PART}")).scalar()
+    new_from = t.root_spans.agg(F.expr(f"max(ingest_seq) - max(ingest_seq) div {NEW_PART}")).scalar()
+    kept = retention.retain_traces(t.spans, keep, pins, new_from=new_from)
     return kept.select(*SPAN_COLUMNS)
 
 
@@ -509,7 +537,9 @@ def retain_logs(t: Tables) -> DataFrame:
 
 @query
 def retain_metrics(t: Tables) -> DataFrame:
-    kept = retention.retain_batches(t.metric_points.where("kind = 'gauge'"), KEEP_BATCHES)
+    """Points of every kind, in batches by day."""
+    days = t.metric_points.withColumn("batch_id", T.div(F.col("timestamp_unix_nano"), X.DAY_NS))
+    kept = retention.retain_batches(days, KEEP_BATCHES)
     return kept.select("batch_id", "service_name", "metric_name", "timestamp_unix_nano")
 
 
@@ -536,11 +566,6 @@ def retain_by_age_metrics(t: Tables) -> DataFrame:
 # --- alerts -----------------------------------------------------------------------------------
 
 
-def _log_errors(t: Tables) -> DataFrame:
-    errors = t.logs.where(F.col("severity_number") >= 17)
-    return errors.select(F.col("timestamp_unix_nano").alias("at"))
-
-
 @query
 def alert_span_duration(t: Tables) -> DataFrame:
     return alerts.slow_spans(t.traces, SLOW_NS).select(*SPAN_COLUMNS)
@@ -548,7 +573,20 @@ def alert_span_duration(t: Tables) -> DataFrame:
 
 @query
 def alert_error_rate(t: Tables) -> DataFrame:
-    return alerts.error_bursts(_log_errors(t), MAX_ERRORS, HOUR_NS)
+    failed = t.traces.where(F.col("status_code") == 2)
+    at = F.col("start_time_unix_nano").alias("at")
+    return alerts.error_bursts(failed.select(at), MAX_ERRORS, HOUR_NS)
+
+
+@query
+def error_rate_windows(t: Tables) -> DataFrame:
+    """The streaming form on a table: an hour every half hour."""
+    found = stream_alerts.error_rate_windows(t.traces, MAX_ERRORS, "1 hour", "30 minutes", "1 hour")
+    return found.select(
+        (F.unix_micros("window_start") * 1000).alias("window_start_ns"),
+        (F.unix_micros("window_end") * 1000).alias("window_end_ns"),
+        "errors",
+    )
 
 
 @query
@@ -601,6 +639,33 @@ def alert_messages(t: Tables) -> DataFrame:
 # --- scalar functions -------------------------------------------------------------------------
 
 
+@query
+def attribute_display(t: Tables) -> DataFrame:
+    """A value of every type, as shown beside its key."""
+    c = F.col
+    typed = {
+        "name": {"string_value": c("span_name")},
+        "kind": {"int_value": c("kind").cast("bigint")},
+        "eighth": {"double_value": c("kind") / 8.0},
+        "failed": {"bool_value": c("status_code") == 2},
+        "id": {"bytes_value": F.unhex("span_id")},
+        "unset": {},
+    }
+    kinds = {
+        "string_value": "string", "bool_value": "boolean", "int_value": "bigint",
+        "double_value": "double", "bytes_value": "binary", "json_value": "string",
+    }
+    pairs = [
+        F.struct(
+            F.lit(key).alias("key"),
+            F.struct(*[given.get(k, F.lit(None)).cast(v).alias(k) for k, v in kinds.items()]).alias("value"),
+        )
+        for key, given in typed.items()
+    ]
+    shown = t.traces.select("span_id", F.explode(F.array(*pairs)).alias("a"))
+    return shown.select("span_id", "a.key", value_display(c("a.value")).alias("shown"))
+
+
 @query
 def scalar_functions(t: Tables) -> DataFrame:
     """Display functions over spans; numbers are compared before they become text."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import NANOS
+from spanforge.functions.text import NANOS, div
 from spanforge.operators import alerts
 from spanforge.session import cut_lineage
 from spanforge.sources import store
@@ -111,9 +111,9 @@ def error_rate_windows(
 
     Spans later than ``lateness`` behind the newest one are left out of closed windows.
     """
-    seconds = F.col("start_time_unix_nano").cast("double") / NANOS
+    # Whole microseconds: a double of nanoseconds could round a span into the next window.
     errors = traces.where(F.col("status_code") == 2).withColumn(
-        "event_time", F.timestamp_seconds(seconds)
+        "event_time", F.timestamp_micros(div(F.col("start_time_unix_nano"), 1_000))
     )
     counts = (
         errors.withWatermark("event_time", lateness)
