@@ -12,31 +12,54 @@ from spanforge.sources import store
 
 _STATE = "rule string, fired_at bigint"
 _ERRORS = "at bigint"
+LATENESS_NS = 3_600 * NANOS
 
 
-def _read(spark: SparkSession, folder: str, ddl: str, below: int) -> DataFrame:
-    """Rows written by batches before this one."""
+def _batches(spark: SparkSession, folder: str) -> tuple[object, dict[int, object]]:
+    """The file system of a folder, and the paths of the batches in it by number."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], f"{ddl}, batch bigint")
-    return spark.read.schema(f"{ddl}, batch bigint").parquet(folder).where(
-        F.col("batch") < below
-    )
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listStatus(path) if files.exists(path) else []
+    names = {s.getPath().getName(): s.getPath() for s in found}
+    return files, {int(n[6:]): p for n, p in names.items() if n.startswith("batch=")}
+
+
+def _newest(spark: SparkSession, folder: str, ddl: str, below: int) -> DataFrame:
+    """What the last batch before this one left behind; one folder, whatever the history."""
+    _, known = _batches(spark, folder)
+    earlier = [n for n in known if n < below]
+    if not earlier:
+        return spark.createDataFrame([], ddl)
+    return spark.read.schema(ddl).parquet(f"{folder}/batch={max(earlier)}")
 
 
 def _write(df: DataFrame, folder: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
 
+def _forget(spark: SparkSession, folder: str, batch_id: int) -> None:
+    """Delete state that no retry of this batch can ask for: all but it and the one before."""
+    files, known = _batches(spark, folder)
+    for number in sorted(n for n in known if n < batch_id)[:-1]:
+        files.delete(known[number], True)
+
+
 def alert_batch(
-    rules: DataFrame, root: str, signal: str, cooldown_ns: int = alerts.COOLDOWN_NS
+    rules: DataFrame,
+    root: str,
+    signal: str,
+    cooldown_ns: int = alerts.COOLDOWN_NS,
+    lateness_ns: int = LATENESS_NS,
 ):
     """The ``foreachBatch`` function that turns flat rows of one signal into alerts.
 
-    Below ``root`` every batch writes its fired alerts, the last fire per rule, and its error
-    times. A retried batch reads only what earlier batches wrote and replaces its own, so it
-    gives the same result. Error-rate rules look back at earlier error times as far as the
-    longest window reaches.
+    Below ``root`` every batch writes its fired alerts, and as state the last fire per rule and
+    the error times that can still count: those within the longest window and ``lateness_ns``
+    of the newest error. A batch reads the state of the one before and nothing older, which it
+    deletes, so its cost does not grow with the stream. A retried batch gives the same result.
+
+    A span that comes later than ``lateness_ns`` behind the newest error still alerts, but may
+    miss errors that have left the state; a hit older than the last fire of its rule does not.
     """
     longest = rules.agg(F.coalesce(F.max("window_ns"), F.lit(0))).first()[0]
     base = f"{root.rstrip('/')}/_alerts/{signal}"
@@ -53,16 +76,12 @@ def alert_batch(
             if signal == "traces":
                 failed = held.where(F.col("status_code") == 2)
                 times = failed.select(F.col("start_time_unix_nano").alias("at"))
-                _write(times, f"{base}/errors", batch_id)
-                first = times.agg(F.min("at")).first()[0]
-                if first is not None:
-                    earlier = _read(spark, f"{base}/errors", _ERRORS, batch_id).where(
-                        F.col("at") >= first - longest
-                    )
-            last = _read(spark, f"{base}/state", _STATE, batch_id)
-            newest = last.agg(F.max("batch")).first()[0]
-            last = last.where(F.col("batch") == newest) if newest is not None else last
-            last = cut_lineage(last.select("rule", "fired_at"))
+                earlier = _newest(spark, f"{base}/errors", _ERRORS, batch_id)
+                known = earlier.unionByName(times)
+                newest = known.agg(F.max("at")).scalar()
+                reached = F.col("at") >= newest - (longest + lateness_ns)
+                _write(known.where(reached), f"{base}/errors", batch_id)
+            last = cut_lineage(_newest(spark, f"{base}/state", _STATE, batch_id))
             hits = alerts.evaluate_rules(
                 rules, tables["traces"], tables["logs"], tables["metrics"], earlier
             )
@@ -75,6 +94,8 @@ def alert_batch(
                 .agg(F.max("fired_at").alias("fired_at"))
             )
             _write(latest, f"{base}/state", batch_id)
+            for state in ("errors", "state"):
+                _forget(spark, f"{base}/{state}", batch_id)
         finally:
             held.unpersist()
 
@@ -100,8 +121,11 @@ def start_alerts(
 
 def fired_alerts(spark: SparkSession, root: str, signal: str) -> DataFrame:
     """Alerts fired so far on a signal."""
-    ddl = "rule string, kind string, at bigint, message string"
-    return _read(spark, f"{root.rstrip('/')}/_alerts/{signal}/fired", ddl, 2**62)
+    ddl = "rule string, kind string, at bigint, message string, batch bigint"
+    folder = f"{root.rstrip('/')}/_alerts/{signal}/fired"
+    if not _batches(spark, folder)[1]:
+        return spark.createDataFrame([], ddl)
+    return spark.read.schema(ddl).parquet(folder)
 
 
 def error_rate_windows(

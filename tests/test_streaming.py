@@ -121,6 +121,24 @@ def test_stream_alerts_equal_batch(spark, tmp_path):
     assert got.count() > 3
 
 
+def test_alert_state_does_not_grow_and_late_rows_count(spark, tmp_path):
+    rules = alerts.parse_rules(alerts.rules_frame(spark, ["error_rate > 2/1m"]))
+    step = stream_alerts.alert_batch(
+        rules, str(tmp_path), "traces", cooldown_ns=SECOND, lateness_ns=300 * SECOND)
+    seconds = [[0, 10], [100, 110], [], [200, 210], [25, 215], [1000, 1010], [1020]]
+    for batch_id, part in enumerate(seconds):
+        rows = [{"start": s * SECOND, "status": 2} for s in part]
+        step(spans(spark, rows) if rows else spark.createDataFrame([], store.SIGNALS["traces"]),
+             batch_id)
+    base = tmp_path / "_alerts" / "traces"
+    for state in ("errors", "state"):
+        assert sorted(p.name for p in (base / state).glob("batch=*")) == ["batch=5", "batch=6"]
+    left = spark.read.parquet(str(base / "errors" / "batch=6"))
+    assert sorted(r["at"] // SECOND for r in left.collect()) == [1000, 1010, 1020]
+    got = stream_alerts.fired_alerts(spark, str(tmp_path), "traces")
+    assert sorted(r["at"] // SECOND for r in got.collect()) == [25, 215, 1020]
+
+
 def test_alerts_run_as_a_stream(spark, tmp_path):
     for seed in (1, 2):
         land(span_batch(spark, seed), tmp_path / "in")
