@@ -5,8 +5,13 @@ that following the link pops. One walk over a word then gives the length of its
 longest-match-first segmentation in linear time, and no piece is ever built. The trie has two
 roots: one for pieces that begin a word, one for pieces that continue it.
 
-A word that the pieces cannot cover counts as one unknown token. Null and empty texts have no
-words. Every row of the input gives one row, repeated rows too.
+A word is walked with the low line in front that begins it, over the pieces as the vocabulary
+has them. A first character without such a piece of its own so leaves the low line alone as one
+token, and is counted by the pieces that continue.
+
+A character at which no piece begins is one unknown token; the rest of its word is counted by
+pieces. Null and empty texts have no words. Every row of the input gives one row, repeated rows
+too.
 """
 
 from __future__ import annotations
@@ -19,6 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from spanforge.llm.common import as_bytes, in_worker, small_batches, table
 
 MEMO = 400_000
+BEGIN = "▁"
+#: Lengths are summed with their unknown tokens above these bits; no text has 2^32 characters.
+UNKNOWN = 32
 
 
 class Automaton:
@@ -26,7 +34,7 @@ class Automaton:
 
     def __init__(self, first: Iterable[str], continuing: Iterable[str]) -> None:
         self.next: list[dict[str, int]] = [{}, {}]
-        ends = [False, False]
+        ends = self.ends = [False, False]
         for root, pieces in ((0, first), (1, continuing)):
             for piece in pieces:
                 node = root
@@ -76,9 +84,28 @@ class Automaton:
             at = self.link[at]
         return tokens
 
+    def with_unknown(self, word: str) -> tuple[int, int]:
+        """Tokens of ``word`` and those of them unknown: characters at which no piece begins.
+
+        Looks at every place as far as the longest piece; for words that ``length`` gives up.
+        """
+        begin = tokens = unknown = 0
+        while begin < len(word):
+            node, end = (1 if begin else 0), 0
+            for i in range(begin, len(word)):
+                node = self.next[node].get(word[i])
+                if node is None:
+                    break
+                if self.ends[node]:
+                    end = i + 1
+            tokens += 1
+            unknown += not end
+            begin = end or begin + 1
+        return tokens, unknown
+
 
 def sentence_pieces(path: str) -> tuple[list[str], list[str]]:
-    """First and continuing pieces of a sentencepiece file: a leading low line begins a word."""
+    """First and continuing pieces of a sentencepiece file, unchanged: a leading low line begins a word."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -86,7 +113,7 @@ def sentence_pieces(path: str) -> tuple[list[str], list[str]]:
         model.id_to_piece(i) for i in range(model.get_piece_size())
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
     ]
-    return [p[1:] for p in plain if p[0] == "▁" and p != "▁"], [p for p in plain if "▁" not in p]
+    return [p for p in plain if p[0] == BEGIN], plain
 
 
 def default_vocabulary() -> str:
@@ -96,7 +123,7 @@ def default_vocabulary() -> str:
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``doc_id, n_words, n_tokens, n_unknown`` for every row; unknown words are in ``n_tokens``."""
+    """``doc_id, n_words, n_tokens, n_unknown`` for every row; unknown tokens are in ``n_tokens``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = vocabulary or default_vocabulary()
@@ -111,10 +138,14 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     memo.clear()
                     new = set(words)
                 for word in new:
-                    memo[word] = automaton.length(word.decode("utf-8", "replace"))
-                lengths = list(map(memo.__getitem__, words))
-                unknown = lengths.count(0)
-                rows.append((len(words), sum(lengths) + unknown, unknown))
+                    whole = BEGIN + word.decode("utf-8", "replace")
+                    tokens = automaton.length(whole)
+                    if not tokens:
+                        tokens, unknown = automaton.with_unknown(whole)
+                        tokens += unknown << UNKNOWN
+                    memo[word] = tokens
+                total = sum(map(memo.__getitem__, words))
+                rows.append((len(words), total & ((1 << UNKNOWN) - 1), total >> UNKNOWN))
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)],

@@ -146,6 +146,35 @@ def test_automaton_small():
     assert [automaton.length(w) for w in ("a", "abcdz", "abcd", "abcdx", "", "b", "abcdyb")] == [1, 4, 0, 1, 0, 0, 4]
 
 
+def test_token_counts_of_any_first_character(spark):
+    """Against greedy longest match over the whole piece list, the low line in front of each word."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_vocabulary())
+    pieces = {
+        model.id_to_piece(i) for i in range(model.get_piece_size())
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
+    }
+    most = max(map(len, pieces))
+
+    def greedy(word):
+        at = tokens = unknown = 0
+        while at < len(word):
+            end = next((e for e in range(min(len(word), at + most), at, -1) if word[at:e] in pieces), None)
+            tokens, unknown, at = tokens + 1, unknown + (end is None), end or at + 1
+        return tokens, unknown
+
+    texts = ["2021", "the 7th of 1999", "ñandú çok ßtraße", "日本語です 你好世界", "한국어 مرحبا שלום Ελλάδα",
+             "x\U00013000y \U00013000 日\U00013000\U00013000本 don\U00013000t", "▁a a▁▁b ▁", "2" * 3000]
+    want = []
+    for i, text in enumerate(texts):
+        counts = [greedy("▁" + w) for w in words(text)]
+        want.append((i, len(counts), sum(t for t, _ in counts), sum(u for _, u in counts)))
+    assert want[0][2:] == (5, 0) == (len(model.encode("2021")), 0) and want[5][3] == 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert ordered(token_counts.token_counts(docs).collect()) == want
+
+
 def test_token_records(spark, docs, rows, nothing, tmp_path):
     from tokenizers import Tokenizer
 
