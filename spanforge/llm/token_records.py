@@ -161,7 +161,8 @@ class Encoder:
 
     White space always ends a piece of this tokenizer, so that the ids of a text are those of
     its words in a row. Marks behind an ASCII letter or digit are a piece of their own, and
-    ASCII letters are lower-cased, so that most words are known by their stem.
+    ASCII letters are lower-cased, so that most words are known by their stem. A word that holds
+    an added token of the tokenizer is encoded whole.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -172,6 +173,9 @@ class Encoder:
         self.kind = f"<u{self.width}"
         self.end = np.array([end_id], self.kind).tobytes()
         self.known: dict[bytes, bytes] = {}
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        # Tokens may be told to match the normalised text; letters of either case cover that.
+        self.added = re.compile("|".join(map(re.escape, added)).encode(), re.IGNORECASE) if added else None
         pieces = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(pieces.values()) + 1, bool)
         self.ends[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
@@ -203,6 +207,9 @@ class Encoder:
         new = set().union(*split).difference(self.known)
         parts = {}
         for word in new:
+            if self.added and self.added.search(word):
+                parts[word] = word, b""
+                continue
             marked = MARKED.fullmatch(word)
             stem, marks = marked.groups() if marked else (word, b"")
             if LETTERS.fullmatch(stem):

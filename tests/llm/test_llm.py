@@ -208,6 +208,16 @@ def test_checksum_and_special_strings():
         assert np.frombuffer(ids, encoder.kind)[:-1].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_inside_words():
+    """Words that hold an added token have the ids of the whole text, whatever stands around it."""
+    texts = ["<|endoftext|>", "end.<|endoftext|>", "<|startoftext|>,", "a <|endoftext|> b", "x<|startoftext|>Y!?<|endoftext|>...",
+             "<|ENDOFTEXT|>", "<|endoftext|", "<|endoftext|>>", "Plain, words."]
+    encoder = token_records.Encoder(token_records.default_tokenizer(), 1)
+    got = [np.frombuffer(ids, encoder.kind)[:-1].tolist() for ids in encoder.encode([t.encode() for t in texts])]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [49407] and got[1][-1] == 49407 and got[2][0] == 49406
+
+
 def test_curriculum(docs, rows, nothing):
     sizes = defaultdict(int)
     for r in rows:
