@@ -118,10 +118,21 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return takings.select("row", "size", "p.position", "p.words").orderBy("position", "row.doc_id")
 
 
-def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = curriculum(table(spark, sf_dir, "documents"), carry=["doc_id"])
+def document_order(mixed: DataFrame) -> DataFrame:
+    """One row for each document, range-sorted by its training positions; those not taken last.
+
+    ``doc_id, size, source_size, target, taken``. Documents lie by their first taking, then by
+    the later ones.
+    """
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda total, p: total + p["words"])
-    return mixed.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"))
+    at = [F.get("passes", F.lit(k))["position"].asc_nulls_last() for k in range(MOST)]
+    ordered = mixed.orderBy(*at, F.col("row.doc_id"), "size")
+    return ordered.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in training order; their columns are those of ``OP6_SQL``, which does not order."""
+    return document_order(curriculum(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
 OP6_SQL = r"""

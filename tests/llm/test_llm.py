@@ -247,6 +247,36 @@ def test_curriculum(docs, rows, nothing):
     assert curriculum.curriculum(nothing).count() == 0
 
 
+def test_curriculum_rows_in_training_order(spark, tmp_path):
+    """op6 gives its rows by the inverted schedules, against brute force by bisection."""
+    from hashlib import md5
+
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.choice([0, 1, rng.randrange(1, 60)]), rng.choice(["a", "b", "c"])) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in curriculum.op6_curriculum(spark, str(tmp_path)).collect()]
+    target = {r[0]: r[3] for r in got}
+    places = {}
+    for source, slope in zip("abc", curriculum.SLOPES, strict=True):
+        own = sorted((r for r in rows if r[2] == source), key=lambda r: md5(str(r[0]).encode()).hexdigest())
+        size = sum(len(words(r[1])) for r in own)
+        goal, before = int(target[own[0][0]] + 0.5), 0
+        for r in own:
+            n, at, taken = len(words(r[1])), [], 0
+            for k in range(3):
+                done = k * size + before
+                if (here := max(0, min(n, goal - done))) > 0:
+                    low, high = 0.0, 1.0
+                    for _ in range(60):  # the integral of the rate, inverted
+                        t = (low + high) / 2
+                        low, high = (t, high) if ((1 - slope) * t + slope * t * t) * goal < done else (low, t)
+                    at.append(round(high, 9))
+                    taken += here
+            places[r[0]] = ([*at, *[2.0] * (3 - len(at))], r[0], taken)
+            before += n
+    assert [(r[0], r[4]) for r in got] == [(i, taken) for _, i, taken in sorted(places.values())]
+
+
 def test_quality(spark, nothing):
     rng = random.Random(4)
     docs, labels = [], []
