@@ -5,12 +5,12 @@ of 40 minima. The distance of two signatures is the number of symbols that diffe
 are cut into 10 chunks of 4. Of two signatures at distance 19 or less, some chunk differs in one
 symbol at most (pigeonhole). A node therefore files under every chunk with every one of its
 symbols left out, and all pairs within that distance share a bucket, as do most pairs beyond. A
-pair at similarity 0.75 shares no bucket with probability 1.4e-6, at 0.8 with 4e-8.
+pair at similarity 0.75 shares no bucket with probability 1.5e-6, at 0.8 with 4e-8.
 
 Buckets are searched without listing their pairs:
 
-1. Every member is compared with the bucket's smallest node: by size and signature distance,
-   then on full shingle sets. Components of the links found give labels.
+1. Every member is compared with the bucket's smallest node: by size, then on full shingle sets,
+   however far their signatures are. Components of the links found give labels.
 2. Only buckets with members of different labels are left to search, now exhaustively: blocks of
    at most ``BLOCK`` members or so meet every other block of the bucket in a task, which
    intersects their full sets and reports links that join labels. A bucket of any size is cut
@@ -43,8 +43,6 @@ from spanforge.llm.components import components
 SHINGLE, PART, WHOLE = 5, 75, 100
 CHUNKS, CHUNK, BITS = 10, 4, 16
 SYMBOLS = CHUNKS * CHUNK
-#: Beyond this distance a pair at the similarity sought is 4.4 standard deviations off.
-FARTHEST = 22
 BLOCK = 1024
 
 
@@ -122,15 +120,10 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _first_links(buckets: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the members of each bucket and its smallest node."""
     pairs = buckets.filter("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    side = lambda x: nodes.select(
-        F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("symbols").alias(f"symbols_{x}")
-    )
-    apart = F.aggregate(
-        F.zip_with("symbols_u", "symbols_v", lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x
-    )
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
     near = (
         pairs.join(side("u"), "u").join(side("v"), "v")
-        .filter(_similar(F.least("n_u", "n_v"), F.col("n_u"), F.col("n_v")) & (apart <= FARTHEST))
+        .filter(_similar(F.least("n_u", "n_v"), F.col("n_u"), F.col("n_v")))
         .select("u", "v")
     )
     with_sets = near.join(sets.select(F.col("node").alias("u"), F.col("values").alias("a")), "u").join(
@@ -150,7 +143,7 @@ def joining_links(values: list[np.ndarray], sizes: np.ndarray, labels: np.ndarra
     column = np.cumsum(new) - 1
     shared = np.bincount(column)[column] > 1
     owner, column = owner[shared], column[shared]
-    both = np.zeros((len(values), len(values)), np.float32)
+    both = np.zeros((len(values), len(values)), np.int64)
     if len(column):
         column = np.cumsum(np.r_[True, column[1:] != column[:-1]]) - 1
         width = max(1, (1 << 23) // len(values))
@@ -158,9 +151,9 @@ def joining_links(values: list[np.ndarray], sizes: np.ndarray, labels: np.ndarra
             own = slice(*np.searchsorted(column, [begin, begin + width]))
             dense = np.zeros((len(values), width), np.float32)
             dense[owner[own], column[own] - begin] = 1
-            both += dense @ dense.T
-    union = sizes[:, None] + sizes[None, :] - both
-    hits = (WHOLE * both >= PART * union) & (labels[:, None] != labels[None, :])
+            both += (dense @ dense.T).astype(np.int64)  # below 2^24, where these are exact
+    sizes = sizes.astype(np.int64)
+    hits = ((WHOLE + PART) * both >= PART * (sizes[:, None] + sizes[None, :])) & (labels[:, None] != labels[None, :])
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -201,7 +194,7 @@ def _remaining_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame) ->
             column = group.column("values").combine_chunks()
             flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             values = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            links = joining_links(values, group.column("n").to_numpy().astype(np.float32), labels)
+            links = joining_links(values, group.column("n").to_numpy(), labels)
         u, v = zip(*links, strict=True) if links else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 

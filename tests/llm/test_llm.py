@@ -116,6 +116,32 @@ def test_signature_guarantee():
         assert chunks.min() <= 1
 
 
+def test_links_of_far_signatures(spark):
+    """A similar pair that shares a bucket is linked, whatever the distance of its signatures."""
+    a, b = list(range(80)), list(range(10, 90))
+    nodes = [(1, 80, list(range(40))), (2, 80, [*range(4), *range(100, 136)])]
+    nodes = spark.createDataFrame(nodes, "node long, n long, symbols array<int>")
+    buckets = spark.createDataFrame([(7, 1, 1), (7, 2, 1)], "key long, node long, pivot long")
+    sets = spark.createDataFrame([(1, 80, a), (2, 80, b)], "node long, n long, values array<long>")
+    assert [tuple(r) for r in minhash_dedup._first_links(buckets, nodes, sets).collect()] == [(2, 1)]
+
+
+def test_threshold_of_large_sets():
+    """One shared shingle too few is no link, where float32 takes both sides for equal."""
+    for union in range(3_600_003, 3_700_000, 4):
+        both = (3 * union - 1) // 4
+        if np.float32(100) * np.float32(both) >= np.float32(75) * np.float32(union):
+            break
+    own = (union - both) // 2
+    sets = [np.arange(own + both, dtype=np.int64), np.arange(own, union, dtype=np.int64)]
+    assert 100 * both < 75 * union
+    sizes, labels = np.array([len(x) for x in sets]), np.array([1, 2])
+    assert minhash_dedup.joining_links(sets, sizes.astype(np.float32), labels) == []
+    sets[0] = np.arange(own + both + 1, dtype=np.int64)
+    sizes = np.array([len(x) for x in sets])
+    assert minhash_dedup.joining_links(sets, sizes, labels) == [(1, 2)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(300)] + [(5, 5)]
