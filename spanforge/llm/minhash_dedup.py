@@ -102,7 +102,10 @@ def _similar(both: Column, a: Column, b: Column) -> Column:
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, n, values`` of the rows of ``docs`` named by ``wanted`` (kid, kh, node)."""
+    """``node, n, values`` of the rows of ``docs`` named by ``wanted`` (kid, kh, node).
+
+    Of equal rows one is parsed.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = in_worker("hashes", WordHashes)
@@ -113,7 +116,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 names=["node", "n", "values"],
             )
 
-    joined = docs.select(*row_key(), "text").join(wanted, ["kid", "kh"])
+    joined = docs.select(*row_key(), "text").join(wanted, ["kid", "kh"]).dropDuplicates(["kid", "kh"])
     return joined.select("node", "text").mapInArrow(parse, "node long, n long, values array<long>")
 
 
@@ -207,11 +210,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     ``kid, kh`` name the row for joins (``common.row_key``).
     """
+    return _placed(docs).drop("component")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with the node that names the component, null without words."""
     signed = stored(signatures(docs), "signatures")
     unit = F.xxhash64("kid", "kh")
     firsts = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(unit).alias("unit"))
     nodes = stored(
-        signed.withColumn("unit", unit).join(firsts, ["node", "unit"]).select("node", "n", "symbols", "kid", "kh"),
+        signed.withColumn("unit", unit).join(firsts, ["node", "unit"])
+        .select("node", "n", "symbols", "kid", "kh").dropDuplicates(["node"]),  # equal rows share the unit
         "nodes",
     )
     keyed = nodes.select("node", F.explode(bucket_keys(F.col("symbols"))).alias("key"))
@@ -238,17 +247,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).filter("rows > 1").drop("rows")
     of_all = F.when(F.col("grouped"), F.col("least")).otherwise(F.col("doc_id"))
     return placed.join(least.withColumn("grouped", F.lit(True)), "component", "left").select(
-        "doc_id", "kid", "kh", "n_shingles", of_all.alias("component_id"), F.col("doc_id").eqNullSafe(of_all).alias("kept")
+        "doc_id", "kid", "kh", "n_shingles", of_all.alias("component_id"),
+        F.col("doc_id").eqNullSafe(of_all).alias("kept"), "component",
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, with their own columns."""
-    kept = near_duplicates(docs).filter("kept").select("kid", "kh").distinct()
+    """The rows of ``docs`` that stay, one of each component, with their own columns.
+
+    Of rows without words those equal in id and text are one. Of the kept rows of a component the
+    one of smallest ``kid, kh`` stays, of rows equal in these the one of smallest hash.
+    """
     kid, kh = row_key()
+    empty = F.col("component").isNull()
+    kept = _placed(docs).filter("kept").groupBy(
+        "component", F.when(empty, F.col("kid")).alias("empty_kid"), F.when(empty, F.col("kh")).alias("empty_kh")
+    ).agg(F.min(F.struct("kid", "kh")).alias("least")).select("least.*")
     names = [f"`{c}`" for c in docs.columns]
-    keyed = docs.select(F.struct(*names).alias("row"), kid, kh)
-    return keyed.join(kept, ["kid", "kh"], "left_semi").select("row.*")
+    # Maps have no hash; of rows that differ in maps alone any one stays.
+    hashed = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = docs.select(F.struct(*names).alias("row"), F.xxhash64(*hashed).alias("hash"), kid, kh)
+    staying = keyed.join(kept, ["kid", "kh"], "left_semi")
+    return staying.groupBy("kid", "kh").agg(F.min_by("row", "hash").alias("row")).select("row.*")
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

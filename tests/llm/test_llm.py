@@ -116,6 +116,30 @@ def test_signature_guarantee():
         assert chunks.min() <= 1
 
 
+def test_minhash_of_repeated_rows(spark, monkeypatch):
+    """Equal rows are one node and one parsed text, and one of them stays."""
+    base = " ".join(f"w{i}" for i in range(300))
+    near = base.replace("w7 ", "x ")
+    rows = [(1, base, "a"), (1, base, "a"), (1, base, "b"), (2, near, "a"), (2, near, "a"), (3, "", "a"), (3, "", "a"), (4, None, "a"),
+            *[(None, text + " q" * 9, "n") for text in (base.upper() + " other", near.replace("w", "v")) for _ in range(6)],
+            (None, near.replace("w", "v").replace("v9 ", "z ") + " q" * 9, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    seen, kept_whole = [], minhash_dedup.stored
+
+    def watched(df, name):
+        out = kept_whole(df, name)
+        if name in ("nodes", "sets"):
+            seen.append((name, out.count(), out.select("node").distinct().count()))
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "stored", watched)
+    got = minhash_dedup.near_duplicates(docs).drop("kid", "kh").collect()
+    assert ordered(got) == ordered(near_groups(rows))
+    assert [name for name, _, _ in seen] == ["nodes", "sets"] and all(n == distinct for _, n, distinct in seen)
+    kept = ordered(minhash_dedup.deduplicated(docs).select("doc_id").collect())
+    assert kept == [(None,), (1,), (3,), (4,)]  # one group has no id at all
+
+
 def test_links_of_far_signatures(spark):
     """A similar pair that shares a bucket is linked, whatever the distance of its signatures."""
     a, b = list(range(80)), list(range(10, 90))
