@@ -9,8 +9,10 @@ on a fifth of the ruled urls, kept out of the counts.
 
 Everything is DataFrame functions. All tables of the model have at most ``ALPHABET ** 4`` rows,
 about 3.1 million, however many urls there are; that proven bound is why the table of weights is
-broadcast. Counts take in every row of the input. The six sums of the calibration are all that
-reaches the driver.
+broadcast. Counts take in every row with a rule outside that fifth. If a kind has no url in the
+fifth or none outside it, nothing is kept out: all ruled rows are counted and the difference of
+the log-likelihoods is taken as it is. The four sums of the counts and the six of the calibration
+are all that reaches the driver.
 
 A null url counts as empty: no host, path or rule, and a model verdict like any other. Equal
 urls get equal verdicts; repeated rows are returned as often as they come. Without ruled urls of
@@ -115,12 +117,20 @@ def filter_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = placed.withColumns({"rule": rule, "verdict": verdict})
     calibrates = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    kinds = {"allow": ("allow", ~calibrates), "block": ("block", ~calibrates),
+             "allow_kept": ("allow", calibrates), "block_kept": ("block", calibrates)}
     counted = ruled.select(
         F.explode(_grams(F.col("url"))).alias("gram"),
-        *((F.coalesce((F.col("verdict") == k) & ~calibrates, F.lit(False))).cast("long").alias(k)
-          for k in ("allow", "block")),
+        *((F.coalesce((F.col("verdict") == k) & part, F.lit(False))).cast("long").alias(name)
+          for name, (k, part) in kinds.items()),
     )
-    counts = stored(counted.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "grams")
+    counts = stored(counted.groupBy("gram").agg(*(F.sum(name).alias(name) for name in kinds)), "grams")
+    sums = counts.agg(*(F.sum(name).alias(name) for name in kinds)).first()
+    both = all(sums[k] or sums[f"{k}_kept"] for k in ("allow", "block"))
+    apart = all(sums[name] for name in kinds)
+    if both and not apart:
+        counts = counts.select("gram", *((F.col(k) + F.col(f"{k}_kept")).alias(k) for k in ("allow", "block")))
+    counts = counts.select("gram", "allow", "block")
     weights = stored(_weights(counts), "weights")
 
     # Equal urls are scored once; null counts as empty.
@@ -132,7 +142,7 @@ def filter_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
             F.avg("weight").alias("score")
         ), "url-scores",
     )
-    slope, offset = _calibration(scores)
+    slope, offset = (1.0, 0.0) if both and not apart else _calibration(scores)
     odds = F.round(F.lit(offset) + F.lit(slope) * F.col("score"), 9)
     judged = scores.groupBy("key").agg(F.max(1 / (1 + F.exp(-odds))).alias("score"))
     return keyed.join(judged, "key", "left").select(

@@ -443,6 +443,16 @@ def test_url_filter(spark):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("hot", [f"http://spam.net/fr/win{c}" for c in "ab"])
+def test_url_filter_with_one_blocked_url(spark, hot):
+    """One hot blocked url, in the calibrating fifth or not, still teaches the model."""
+    rows = [(i, hot) for i in range(60)] + [(100 + i, f"http://good{i % 7}.com/read/{i}") for i in range(60)]
+    rows += [(300, hot.replace(".net", ".org")), (301, "http://good2.org/read/7")]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"))
+    found = {r["page_id"]: r["verdict"] for r in got.filter("page_id >= 300").collect()}
+    assert found == {300: "block", 301: "allow"}
+
+
 def test_url_weights_against_brute_force(spark):
     """The tables give Witten and Bell's interpolation of all orders."""
     rng = random.Random(1)
