@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm import (
-    curriculum, decontaminate, exact_dedup, language, minhash_dedup, quality, substring_dedup,
-    token_counts, token_records, url_filter,
+    centroids, curriculum, decontaminate, exact_dedup, language, line_dedup, minhash_dedup,
+    quality, substring_dedup, token_counts, token_records, url_filter,
 )
 
 
@@ -24,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": language.op8_language,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
+        "op12_line_dedup": line_dedup.op12_line_dedup,
+        "op13_centroids": centroids.op13_centroids,
     }
 
 
@@ -34,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_curriculum": curriculum.OP6_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
         "op10_minhash_dedup": minhash_dedup.OP10_SQL,
+        "op12_line_dedup": line_dedup.OP12_SQL,
+        "op13_centroids": centroids.OP13_SQL,
     }
