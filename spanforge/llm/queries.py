@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm import (
-    centroids, curriculum, decontaminate, exact_dedup, language, line_dedup, minhash_dedup,
+    centroids, curriculum, decontaminate, exact_dedup, language, line_dedup, minhash_dedup, periodic_runs,
     quality, substring_dedup, token_counts, token_records, url_filter,
 )
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": language.op8_language,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
         "op12_line_dedup": line_dedup.op12_line_dedup,
         "op13_centroids": centroids.op13_centroids,
     }
