@@ -27,6 +27,7 @@ MEMO = 400_000
 BEGIN = "▁"
 #: Lengths are summed with their unknown tokens above these bits; no text has 2^32 characters.
 UNKNOWN = 32
+ONE_UNKNOWN = (1 << UNKNOWN) + 1
 
 
 class Automaton:
@@ -46,7 +47,9 @@ class Automaton:
                         ends.append(False)
                     node = following
                 ends[node] = ends[node] or bool(piece)
-        self.link: list[int | None] = [None] * len(self.next)
+        # Where a node fails to, and the tokens that it pops then; a character at which no piece
+        # begins is popped as an unknown token. Both roots have no link.
+        self.link = [1] * len(self.next)
         self.popped = [0] * len(self.next)
         level = [0, 1]
         while level:  # breadth first: a link leads to a node nearer to a root
@@ -55,53 +58,41 @@ class Automaton:
                 for c, node in self.next[parent].items():
                     below.append(node)
                     if ends[node]:
-                        self.link[node], self.popped[node] = 1, 1
-                        continue
-                    at, popped = self.link[parent], self.popped[parent]
-                    while at is not None and c not in self.next[at]:
-                        popped += self.popped[at]
-                        at = self.link[at]
-                    if at is not None:
-                        self.link[node], self.popped[node] = self.next[at][c], popped
+                        self.popped[node] = 1
+                    elif parent < 2:
+                        self.popped[node] = ONE_UNKNOWN
+                    else:
+                        self.link[node], self.popped[node] = self._follow(self.link[parent], c, self.popped[parent])
             level = below
 
-    def length(self, word: str) -> int:
-        """Number of pieces of ``word``; 0 if the pieces cannot cover it."""
+    def _follow(self, at: int, c: str, popped: int) -> tuple[int, int]:
+        """The node that ``c`` leads to from ``at``, and the tokens popped on the way."""
+        following = self.next[at].get(c)
+        while following is None:
+            if at < 2:
+                return 1, popped + ONE_UNKNOWN
+            popped += self.popped[at]
+            at = self.link[at]
+            following = self.next[at].get(c)
+        return following, popped
+
+    def counts(self, word: str) -> int:
+        """Tokens of ``word``, with those of them that are unknown above bit ``UNKNOWN``."""
         at, tokens = 0, 0
         for c in word:
             following = self.next[at].get(c)
-            while following is None:
-                if self.link[at] is None:
-                    return 0
-                tokens += self.popped[at]
-                at = self.link[at]
-                following = self.next[at].get(c)
+            if following is None:
+                following, tokens = self._follow(at, c, tokens)
             at = following
         while at > 1:  # the end of the word pops what is left
-            if self.link[at] is None:
-                return 0
             tokens += self.popped[at]
             at = self.link[at]
         return tokens
 
-    def with_unknown(self, word: str) -> tuple[int, int]:
-        """Tokens of ``word`` and those of them unknown: characters at which no piece begins.
-
-        Looks at every place as far as the longest piece; for words that ``length`` gives up.
-        """
-        begin = tokens = unknown = 0
-        while begin < len(word):
-            node, end = (1 if begin else 0), 0
-            for i in range(begin, len(word)):
-                node = self.next[node].get(word[i])
-                if node is None:
-                    break
-                if self.ends[node]:
-                    end = i + 1
-            tokens += 1
-            unknown += not end
-            begin = end or begin + 1
-        return tokens, unknown
+    def length(self, word: str) -> int:
+        """Number of pieces of ``word``; 0 if the pieces cannot cover it."""
+        tokens = self.counts(word)
+        return 0 if tokens >> UNKNOWN else tokens
 
 
 def sentence_pieces(path: str) -> tuple[list[str], list[str]]:
@@ -138,12 +129,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     memo.clear()
                     new = set(words)
                 for word in new:
-                    whole = BEGIN + word.decode("utf-8", "replace")
-                    tokens = automaton.length(whole)
-                    if not tokens:
-                        tokens, unknown = automaton.with_unknown(whole)
-                        tokens += unknown << UNKNOWN
-                    memo[word] = tokens
+                    memo[word] = automaton.counts(BEGIN + word.decode("utf-8", "replace"))
                 total = sum(map(memo.__getitem__, words))
                 rows.append((len(words), total & ((1 << UNKNOWN) - 1), total >> UNKNOWN))
             columns = list(zip(*rows, strict=True)) or [(), (), ()]

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -166,6 +167,19 @@ def test_threshold_of_large_sets():
     assert minhash_dedup.joining_links(sets, sizes, labels) == [(1, 2)]
 
 
+def test_curriculum_of_sources_without_words(spark):
+    """A source whose texts have no word has target 0 and takes nothing, alone or beside others."""
+    shape = "doc_id long, text string, source string"
+    none = [(1, None, "a"), (2, " ", "a"), (3, "", None)]
+    for rows in (none, [*none, (4, "one two three", "b"), (5, "four", "c")]):
+        mixed = curriculum.curriculum(spark.createDataFrame(rows, shape))
+        got = {r["doc_id"]: tuple(r)[1:] for r in curriculum.document_order(mixed).collect()}
+        assert [got[i] for i in (1, 2, 3)] == [(0, 0, 0.0, 0)] * 3
+        assert curriculum.training_order(mixed).filter("row.doc_id < 4").count() == 0
+        if len(rows) > 3:
+            assert got[4][0] == 3 and got[4][3] > 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(300)] + [(5, 5)]
@@ -175,29 +189,8 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_token_counts(docs, rows, nothing):
-    tokenizers = pytest.importorskip("tokenizers")
-    first, rest = token_counts.sentence_pieces(token_counts.default_vocabulary())
-    vocab = {"[UNK]": 0}
-    for piece in [*first, *("##" + p for p in rest)]:
-        vocab.setdefault(piece, len(vocab))
-    model = tokenizers.models.WordPiece(vocab, unk_token="[UNK]", max_input_chars_per_word=10**6)
-    want = []
-    for r in rows:
-        pieces = [model.tokenize(w) for w in words(r[1])]
-        unknown = sum(1 for p in pieces if p[0].id == 0)
-        want.append((r[0], len(pieces), sum(map(len, pieces)), unknown))
-    assert ordered(token_counts.token_counts(docs).collect()) == ordered(want)
-    assert token_counts.token_counts(nothing).count() == 0
-
-
-def test_automaton_small():
-    automaton = token_counts.Automaton(["a", "abcdx"], ["b", "c", "cdy", "dz"])
-    assert [automaton.length(w) for w in ("a", "abcdz", "abcd", "abcdx", "", "b", "abcdyb")] == [1, 4, 0, 1, 0, 0, 4]
-
-
-def test_token_counts_of_any_first_character(spark):
-    """Against greedy longest match over the whole piece list, the low line in front of each word."""
+def greedy_counter():
+    """Greedy longest match over the whole piece list: tokens of a word, and the unknown ones."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_vocabulary())
@@ -214,6 +207,49 @@ def test_token_counts_of_any_first_character(spark):
             tokens, unknown, at = tokens + 1, unknown + (end is None), end or at + 1
         return tokens, unknown
 
+    return model, greedy
+
+
+def test_token_counts(docs, rows, nothing):
+    """The low line in front of a word counts as the library counts it."""
+    _, greedy = greedy_counter()
+    want = []
+    for r in rows:
+        counts = [greedy("▁" + w) for w in words(r[1])]
+        want.append((r[0], len(counts), sum(t for t, _ in counts), sum(u for _, u in counts)))
+    assert ordered(token_counts.token_counts(docs).collect()) == ordered(want)
+    assert token_counts.token_counts(nothing).count() == 0
+
+
+def test_automaton_of_random_pieces():
+    """Unknown characters inside the automaton, against greedy longest match."""
+    rng = random.Random(8)
+    for _ in range(300):
+        some = lambda: {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(7))}
+        first, rest = some(), some()
+        automaton = token_counts.Automaton(first, rest)
+        for _ in range(40):
+            word = "".join(rng.choice("abcd") for _ in range(rng.randrange(12)))
+            at = tokens = unknown = 0
+            while at < len(word):
+                pieces = rest if at else first
+                end = next((e for e in range(len(word), at, -1) if word[at:e] in pieces), None)
+                tokens, unknown, at = tokens + 1, unknown + (end is None), end or at + 1
+            assert automaton.counts(word) == tokens + (unknown << token_counts.UNKNOWN)
+    begun = time.time()
+    strange = token_counts.Automaton(["a" * 2000], ["a" * 2000])
+    assert strange.counts("a" * 20000 + "é") == 11 + (1 << token_counts.UNKNOWN)
+    assert time.time() - begun < 5
+
+
+def test_automaton_small():
+    automaton = token_counts.Automaton(["a", "abcdx"], ["b", "c", "cdy", "dz"])
+    assert [automaton.length(w) for w in ("a", "abcdz", "abcd", "abcdx", "", "b", "abcdyb")] == [1, 4, 0, 1, 0, 0, 4]
+
+
+def test_token_counts_of_any_first_character(spark):
+    """Against greedy longest match over the whole piece list, the low line in front of each word."""
+    model, greedy = greedy_counter()
     texts = ["2021", "the 7th of 1999", "ñandú çok ßtraße", "日本語です 你好世界", "한국어 مرحبا שלום Ελλάδα",
              "x\U00013000y \U00013000 日\U00013000\U00013000本 don\U00013000t", "▁a a▁▁b ▁", "2" * 3000]
     want = []
@@ -366,6 +402,46 @@ def test_language(spark, nothing):
     assert language.languages(nothing).count() == 0
 
 
+def test_language_of_marks_and_late_passages(spark):
+    """Signs that are no letters are no language; long texts teach from all their parts."""
+    rows = [(i, "abc abd acb " * 30, "a") for i in range(0, 40)] + [(i, "xyz xzy yxz " * 30, "b") for i in range(40, 80)]
+    rows += [(100, "½ ² Ⅷ ①", None), (101, "", None), (102, "½ a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.languages(df).collect()}
+    assert got[100] == ("und", 0.0) == got[101] and got[102][0] in ("a", "b")
+    late = spark.createDataFrame([(0, "a" * 9000 + "b" * 9000, "x")], "doc_id long, text string, lang string")
+    (lang, part), = language.training_sample(late)
+    assert lang == "x" and len(part) == language.SAMPLE_CHARS and set(part) == {ord("a"), ord("b")}
+
+
+def test_gradients_by_finite_differences():
+    """Back-propagation through time against differences of the loss."""
+    rng = np.random.default_rng(4)
+    k, data = language.HIDDEN, rng.integers(0, 256, (7, 3))
+    table, u = rng.normal(0, 0.3, (3 * k, 256)), rng.normal(0, 0.3, (3 * k, k))
+    weight = rng.normal(size=(7, k, 3))
+
+    def states(table, u):
+        h, out = np.zeros((k, 3)), []
+        for column in data:
+            both, new = language._gates(table[:, column], u @ h, h)
+            h = both[:k] * h + (1 - both[:k]) * new
+            out.append(h)
+        return np.array(out)
+
+    assert np.allclose(language._states(table, u, data, None), states(table, u), atol=1e-5)
+    d_table, d_u = language._backward(table, u, data, states(table, u), weight)
+    for x, gradient in ((table, d_table), (u, d_u)):
+        some = [(i, data[0, 0]) for i in range(3 * k)] if x is table else [(i, j) for i in range(3 * k) for j in range(2)]
+        for place in some:
+            kept, loss = x[place], []
+            for change in (1e-5, -1e-5):
+                x[place] = kept + change
+                loss.append((weight * states(table, u)).sum())
+            x[place] = kept
+            assert abs((loss[0] - loss[1]) / 2e-5 - gradient[place]) < 1e-4
+
+
 def test_language_pools_every_byte():
     """Pooling by stretches equals labelling each text's stretches alone."""
     net = language.train([("a", b"abcabc" * 40), ("b", b"xyzxyz" * 40)])
