@@ -103,7 +103,7 @@ def curriculum(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     def one_pass(k: Column) -> Column:
         done = k * of_source + F.col("before")
         words = F.greatest(F.lit(0), F.least(size, goal - done)).cast("long")
-        return F.struct(_time(done / goal, F.col("slope")).alias("position"), words.alias("words"))
+        return F.struct(_time(F.try_divide(done, goal), F.col("slope")).alias("position"), words.alias("words"))
 
     passes = F.filter(
         F.transform(F.array(*(F.lit(k).cast("long") for k in range(MOST))), one_pass),
