@@ -7,7 +7,8 @@ side by side in numpy.
 
 The network is trained in numpy by back-propagation through time on the driver, on a bounded
 sample: at most ``SAMPLE`` rows of each language, those with the smallest hashes, none from the
-held-out third (ids with crc32 mod 3 = 1), and at most ``SAMPLE_BYTES`` bytes of each.
+held-out third (ids with crc32 mod 3 = 1). Of a text beyond ``SAMPLE_CHARS`` characters it takes that
+many, in stretches at hashed places of the whole text.
 
 A null text, or one without a letter, is ``und`` with score 0. Rows with null language teach
 nothing; without any labelled row everything is ``und``. Repeated rows are answered as often
@@ -16,21 +17,19 @@ as they come, and equal texts get equal answers; other columns are not looked at
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import held_out, small_batches, table
 
-SAMPLE, SAMPLE_BYTES = 150, 4096
+SAMPLE, SAMPLE_CHARS = 150, 4096
 HIDDEN, STRETCH, LANES = 8, 128, 4096
 STEPS, BATCH, LEARN_LENGTH, RATE = 240, 128, 64, 0.02
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -186,14 +185,26 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     return total / np.maximum([[len(t)] for t in texts], 1)
 
 
+def _sampled_characters(text: Column) -> Column:
+    """The text, or of a long one stretches at hashed places all over it."""
+    length, stretches = F.char_length(text), SAMPLE_CHARS // STRETCH
+    places = F.transform(
+        F.sequence(F.lit(0), F.lit(stretches - 1)),
+        lambda i: text.substr(
+            (F.pmod(F.xxhash64("doc_id", i), length - STRETCH + 1) + 1).cast("int"), F.lit(STRETCH)
+        ),
+    )
+    return F.when(length <= SAMPLE_CHARS, text).otherwise(F.array_join(places, ""))
+
+
 def training_sample(docs: DataFrame) -> list[tuple[str, bytes]]:
     """At most ``SAMPLE`` rows of each language, the same ones on every run."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "part")
-    chosen = usable.select("lang", "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("part")).withColumn(
+    chosen = usable.select("lang", "doc_id", _sampled_characters(F.col("text")).alias("part")).withColumn(
         "place", F.row_number().over(order)
     ).filter(F.col("place") <= SAMPLE)
-    return [(r["lang"], r["part"].encode()[:SAMPLE_BYTES]) for r in chosen.orderBy("lang", "place").collect()]
+    return [(r["lang"], r["part"].encode()) for r in chosen.orderBy("lang", "place").collect()]
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -202,7 +213,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2_000_000):
             texts = batch.column("text").to_pylist()
-            spoken = [i for i, t in enumerate(texts) if net and t is not None and LETTER.search(t)]
+            spoken = [i for i, t in enumerate(texts) if net and t is not None and any(map(str.isalpha, t))]
             languages, scores = ["und"] * len(texts), [0.0] * len(texts)
             if spoken:
                 p = pooled(net, [texts[i].encode() for i in spoken])
