@@ -181,8 +181,13 @@ def _remaining_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame) ->
     )
     # Of two members, one was the smallest node of the bucket: that pair has been compared.
     open_ = members.groupBy("key").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")
-    ).filter("low < high AND size > 2").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"),
+    ).filter("low < high AND size > 2")
+    # Near copies meet in many buckets; each list of members, known by 128 bits, is searched once.
+    open_ = open_.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select(
+        "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
+    )
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     meetings = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
