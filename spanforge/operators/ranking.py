@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanforge.session import cut_lineage
+
 DIGIT_BITS = 21
 _MASK = (1 << DIGIT_BITS) - 1
 
@@ -156,3 +158,32 @@ def ranks(
         .withColumn(out, F.col("_base") + F.col("_place"))
         .drop("_base", "_place", _TOP, _MID)
     )
+
+
+def sums_before(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, out: str
+) -> DataFrame:
+    """For every row, the total ``weight`` of the rows of its keys that come before it in ``order``.
+
+    Rows are dealt out by ranges of keys and order together, so one key may fill many tasks. Each
+    range sums up its own rows; a key that runs over several ranges adds the totals of those before,
+    of which there are at most two for each range. The ranges are checkpointed, because sampling
+    again could draw them elsewhere.
+    """
+    keys, order = list(keys), list(order)
+    ranged = cut_lineage(
+        df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    )
+    own = Window.partitionBy("_range", *keys).orderBy(*order)
+    before = F.coalesce(F.sum(weight).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = ranged.groupBy("_range", *keys).agg(F.sum(weight).alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(
+        "_range", *keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base")
+    ).where(F.col("_base") != 0)
+    return (
+        ranged.withColumn("_inside", before)
+        .join(F.broadcast(bases), ["_range", *keys], "left")
+        .withColumn(out, F.col("_inside") + F.coalesce("_base", F.lit(0)))
+        .drop("_range", "_inside", "_base")
+    )

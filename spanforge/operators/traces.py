@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.session import cut_lineage
+from spanforge.operators.ranking import sums_before
+from spanforge.session import cut_lineage, drop_cut
 
 
 def trace_groups(traces: DataFrame) -> DataFrame:
@@ -44,113 +45,206 @@ def in_group_order(groups: DataFrame) -> DataFrame:
     return groups.orderBy("start_time_unix_nano", "trace_id")
 
 
-def _sort_key(start: Column, span_id: Column) -> Column:
-    return F.concat(F.lpad(start.cast("string"), 19, "0"), F.lit(":"), span_id)
+_IDENTITY = ["na", "nb", "ua", "ub", "start"]
 
 
-_POSITION = ["trace_id", "span_id", "parent_span_id", "start_time_unix_nano"]
+def _key(trace_id: Column, span_id: Column, first: str, second: str) -> list[Column]:
+    """Two longs for a span id inside its trace: 128 bits, cheaper to join on than the texts."""
+    return [
+        F.xxhash64(trace_id, span_id).alias(first),
+        F.xxhash64(F.lit(1), trace_id, span_id).alias(second),
+    ]
 
 
-def _tree_state(positions: DataFrame, keep_orphans: bool) -> DataFrame:
-    """Tree positions with the parent pointer, NULL for those that start a tree."""
-    top = F.col("parent_span_id") == ""
+def _positions(traces: DataFrame) -> DataFrame:
+    """Distinct tree positions: own key ``na, nb``, parent's key ``ua, ub``, what orders siblings.
+
+    All roots of a trace have one key above them, that of the empty parent id.
+    """
+    trace = F.col("trace_id")
+    return traces.select(
+        *_key(trace, F.lit(""), "ta", "tb"),
+        *_key(trace, F.col("span_id"), "na", "nb"),
+        *_key(trace, F.col("parent_span_id"), "ua", "ub"),
+        F.col("start_time_unix_nano").alias("start"),
+        "span_id",
+    ).distinct()
+
+
+def _with_tops(positions: DataFrame) -> DataFrame:
+    """Append ``top``: roots, and the earliest span of a trace that has none."""
+    is_root = (F.col("ua") == F.col("ta")) & (F.col("ub") == F.col("tb"))
     rootless = (
-        positions.groupBy("trace_id")
-        .agg(F.max(F.col("parent_span_id") == "").alias("_rooted"))
-        .where(~F.col("_rooted"))
-    )
-    nodes = positions
-    if not rootless.isEmpty():
-        earliest = (
-            positions.join(rootless, "trace_id", "left_semi")
-            .groupBy("trace_id")
-            .agg(F.min_by("span_id", F.struct("start_time_unix_nano", "span_id")).alias("_first"))
-        )
-        nodes = nodes.join(earliest, "trace_id", "left")
-        top = top | F.coalesce(F.col("span_id") == F.col("_first"), F.lit(False))
-    nodes = nodes.withColumn("_top", top).withColumn("orphan", F.lit(False))
-    if keep_orphans:
-        present = positions.select(
-            "trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_found")
-        ).distinct()
-        nodes = (
-            nodes.join(present, ["trace_id", "parent_span_id"], "left")
-            .withColumn("orphan", ~F.col("_top") & F.col("_found").isNull())
-            .withColumn("_top", F.col("_top") | F.col("orphan"))
-        )
-    return nodes.select(
-        *_POSITION,
-        "orphan",
-        F.when(~F.col("_top"), F.col("parent_span_id")).alias("_up"),
-        F.when(F.col("_top"), 0).otherwise(1).alias("depth"),
-        _sort_key(F.col("start_time_unix_nano"), F.col("span_id")).alias("path"),
+        positions.groupBy("ta", "tb").agg(F.max(is_root).alias("_rooted"))
+        .where(~F.col("_rooted")).drop("_rooted")
     )
+    if rootless.isEmpty():
+        return positions.withColumn("top", is_root)
+    earliest = (
+        positions.join(rootless, ["ta", "tb"], "left_semi")
+        .groupBy("ta", "tb")
+        .agg(F.min(F.struct("start", "span_id")).alias("_first"))
+    )
+    first = F.struct("start", "span_id") == F.col("_first")
+    return positions.join(earliest, ["ta", "tb"], "left").withColumn(
+        "top", is_root | F.coalesce(first, F.lit(False))
+    ).drop("_first")
 
 
-_POINTER = ["_up", "depth", "path", "orphan"]
+def _parents(nodes: DataFrame) -> DataFrame:
+    """The positions that have children, with the number of these as ``below``.
 
+    Of several positions with one id the earliest has them.
+    """
+    children = (
+        nodes.where(~F.col("top")).groupBy("ua", "ub").agg(F.count("*").alias("below"))
+        .select(F.col("ua").alias("na"), F.col("ub").alias("nb"), "below")
+    )
+    earliest = nodes.groupBy("na", "nb").agg(
+        F.min(F.struct("start", "ua", "ub", "top")).alias("_n")
+    )
+    return earliest.join(children, ["na", "nb"]).select("na", "nb", "_n.*", "below")
 
-def _ancestors(state: DataFrame, unique: bool) -> DataFrame:
-    """Where each span id points to; of several spans with one id, the earliest counts."""
-    if unique:
-        found = state.select("trace_id", "span_id", F.struct(*_POINTER).alias("_next"))
-    else:
-        found = state.groupBy("trace_id", "span_id").agg(
-            F.min_by(
-                F.struct(*_POINTER), F.struct("start_time_unix_nano", "parent_span_id")
-            ).alias("_next")
+
+def _doubled(state: DataFrame, sums: list[str], flags: list[str], collect: str | None) -> DataFrame:
+    """Follow the pointers ``ua, ub`` (NULL at the end) of every row to the end of its chain.
+
+    Each round a row takes over the pointer of the row that it points at and adds that row's
+    ``sums`` (numbers) and ``flags``, so a chain of n rows is done in about log2(n) rounds and
+    the state stays one row for each. ``collect`` names a number that goes the other way: a row
+    adds those of all rows that point at it, and ends with the total of all below it. A round in
+    which no row ends proves that only cycles are left; their rows are dropped.
+    """
+    own = ["na", "nb", *sums, *flags, *([collect] if collect else [])]
+    state = cut_lineage(state.select(*own, "ua", "ub"))
+    open_before = None
+    while True:
+        pending = state.where(F.col("ua").isNotNull())
+        left = pending.count()
+        if left == 0 or left == open_before:
+            return state.where(F.col("ua").isNull()).drop("ua", "ub")
+        open_before = left
+        ahead = state.select(
+            F.col("na").alias("ua"), F.col("nb").alias("ub"),
+            F.struct("ua", "ub", *sums, *flags).alias("_ahead"),
         )
-    return found.withColumnRenamed("span_id", "_up")
+        stepped = state.join(ahead, ["ua", "ub"], "left")
+        columns = [
+            *(F.col(c) + F.coalesce(F.col(f"_ahead.{c}"), F.lit(0)) for c in sums),
+            *(F.col(c) | F.coalesce(F.col(f"_ahead.{c}"), F.lit(False)) for c in flags),
+        ]
+        named = [c.alias(n) for c, n in zip(columns, [*sums, *flags], strict=True)]
+        if collect:
+            under = pending.groupBy("ua", "ub").agg(F.sum(collect).alias("_under"))
+            under = under.withColumnsRenamed({"ua": "na", "ub": "nb"})
+            stepped = stepped.join(under, ["na", "nb"], "left")
+            named.append((F.col(collect) + F.coalesce("_under", F.lit(0))).alias(collect))
+        after = cut_lineage(stepped.select(
+            "na", "nb", *named, F.col("_ahead.ua").alias("ua"), F.col("_ahead.ub").alias("ub")
+        ))
+        drop_cut(state)
+        state = after
 
 
 def span_tree(traces: DataFrame, keep_orphans: bool = False) -> DataFrame:
-    """Every span below a root with its ``depth`` and a sortable ``path``.
+    """Every span below a root with ``depth``, ``position`` and ``subtree_size``.
 
-    ``orderBy('trace_id', 'path')`` is depth-first preorder with children by start time. A
-    trace without any root takes its earliest span as one; spans under a missing parent are
-    dropped unless ``keep_orphans`` makes them further roots, flagged ``orphan``. When several
-    spans share an id, children hang under the earliest of them.
+    ``position`` numbers the spans of a trace from 0 in depth-first order, children by start
+    time and then id; ``subtree_size`` counts a span and all below it, so a subtree is the range
+    of positions ``position`` to ``position + subtree_size - 1``. A trace without any root takes
+    its earliest span as one; spans under a missing parent are dropped unless ``keep_orphans``
+    makes them further roots, flagged ``orphan``. When several spans share an id, children hang
+    under the earliest of them. Copies of a span share a position. Cycles are dropped.
 
-    Paths are found by pointer doubling: each round joins every open span to the ancestor it
-    points at, so a tree of depth d takes about log2(d) rounds. A round that closes no span
-    proves that only cycles and spans under a missing parent are left. Each round is
-    checkpointed to the shared folder.
+    Only spans with children are followed up the tree, by pointer doubling in about log2(depth)
+    rounds, once for depths and subtree sizes and once for positions: a span lies behind its
+    parent and the subtrees of its earlier siblings. All state is a few numbers for each span,
+    checkpointed to the shared folder; sums over siblings are split by ranges, so a span with very
+    many children is no single task.
     """
-    positions = cut_lineage(traces.select(*_POSITION))
-    repeated = positions.groupBy("trace_id", "span_id").agg(F.count("*").alias("_n"))
-    unique = repeated.where(F.col("_n") > 1).isEmpty()
-    if not unique:
-        positions = cut_lineage(positions.distinct())
-    state = _tree_state(positions, keep_orphans)
-    done = state.where(F.col("_up").isNull())
-    pending = state.where(F.col("_up").isNotNull())
-    while True:
-        lookup = _ancestors(done.unionByName(pending), unique)
-        step = cut_lineage(
-            pending.join(lookup, ["trace_id", "_up"]).select(
-                *_POSITION,
-                F.col("_next.orphan").alias("orphan"),
-                F.col("_next._up").alias("_up"),
-                (F.col("depth") + F.col("_next.depth")).alias("depth"),
-                F.concat("_next.path", F.lit("/"), "path").alias("path"),
-            )
-        )
-        closed = step.where(F.col("_up").isNull())
-        pending = step.where(F.col("_up").isNotNull())
-        if closed.isEmpty():
-            break
-        done = done.unionByName(closed)
-        if pending.isEmpty():
-            break
-    placed = done.select(*_POSITION, "depth", "path", "orphan")
-    on = ["trace_id", "span_id"] if unique else _POSITION
-    placed = placed.drop(*[c for c in _POSITION if c not in on])
-    return traces.join(placed, on).select(*traces.columns, "depth", "path", "orphan")
+    nodes = _with_tops(cut_lineage(_positions(traces)))
+    parents = _parents(nodes)
+    known = parents.select(
+        F.col("na").alias("ua"), F.col("nb").alias("ub"), F.lit(True).alias("_known")
+    )
+    pointed = cut_lineage(parents.join(known, ["ua", "ub"], "left"))
+    up_known = F.col("top") | F.coalesce("_known", F.lit(False))
+    ends = ~up_known | F.col("top")
+    inner = _doubled(
+        pointed.select(
+            "na", "nb",
+            F.when(~ends, F.col("ua")).alias("ua"), F.when(~ends, F.col("ub")).alias("ub"),
+            F.when(ends, 0).otherwise(1).alias("depth"), "below",
+            (~up_known).alias("orphan"),
+        ),
+        ["depth"], ["orphan"], "below",
+    )
+    if not keep_orphans:
+        inner = inner.where(~F.col("orphan"))
+    inner = cut_lineage(inner)
+
+    # Every position beside what is above it (NULL for tops) and below it.
+    above = inner.select(
+        F.col("na").alias("ua"), F.col("nb").alias("ub"),
+        F.struct("depth", "orphan").alias("_above"),
+    )
+    first_of_id = parents.select("na", "nb", "start", "ua", "ub", F.lit(True).alias("_first"))
+    beside = nodes.join(first_of_id, _IDENTITY, "left").join(
+        inner.select("na", "nb", "below"), ["na", "nb"], "left"
+    ).join(above, ["ua", "ub"], "left")
+    orphan_here = ~F.col("top") & F.col("_above").isNull()
+    if keep_orphans:  # a cycle has a parent, an orphan has none
+        ids = nodes.select(F.col("na").alias("ua"), F.col("nb").alias("ub")).distinct()
+        beside = beside.join(ids.withColumn("_id", F.lit(True)), ["ua", "ub"], "left")
+        orphan_here = orphan_here & F.col("_id").isNull()
+        beside = beside.where(F.col("top") | F.col("_above").isNotNull() | orphan_here)
+    else:
+        beside = beside.where(F.col("top") | F.col("_above").isNotNull())
+        orphan_here = F.lit(False)
+    is_top = F.col("top") | orphan_here
+    below = F.when(F.col("_first"), F.col("below")).otherwise(None)
+    placed = cut_lineage(beside.select(
+        *_IDENTITY, "span_id",
+        F.when(is_top, F.col("ta")).otherwise(F.col("ua")).alias("sa"),
+        F.when(is_top, F.col("tb")).otherwise(F.col("ub")).alias("sb"),
+        F.when(is_top, 0).otherwise(F.col("_above.depth") + 1).alias("depth"),
+        F.when(is_top, orphan_here).otherwise(F.col("_above.orphan")).alias("orphan"),
+        (F.coalesce(below, F.lit(0)) + 1).alias("subtree_size"),
+        is_top.alias("_top"), F.coalesce("_first", F.lit(False)).alias("_first"),
+    ))
+    placed = sums_before(placed, ["sa", "sb"], ["start", "span_id", "ua", "ub"], "subtree_size", "_before")
+    placed = cut_lineage(placed.withColumn(
+        "_offset", F.col("_before") + F.when(F.col("_top"), 0).otherwise(1)
+    ))
+    begins = _doubled(
+        placed.where("_first").select(
+            "na", "nb", F.col("_offset").alias("_begin"),
+            F.when(~F.col("_top"), F.col("ua")).alias("ua"),
+            F.when(~F.col("_top"), F.col("ub")).alias("ub"),
+        ),
+        ["_begin"], [], None,
+    )
+    parent_begins = begins.select(
+        F.col("na").alias("sa"), F.col("nb").alias("sb"), F.col("_begin").alias("_parent_begin")
+    )
+    numbered = placed.join(parent_begins, ["sa", "sb"], "left").select(
+        *_IDENTITY, "depth", "orphan", "subtree_size",
+        (F.col("_offset") + F.when(F.col("_top"), 0).otherwise(F.col("_parent_begin"))).alias("position"),
+    )
+    trace = F.col("trace_id")
+    keyed = traces.select(
+        "*", *_key(trace, F.col("span_id"), "na", "nb"),
+        *_key(trace, F.col("parent_span_id"), "ua", "ub"),
+        F.col("start_time_unix_nano").alias("start"),
+    )
+    return keyed.join(numbered, _IDENTITY).select(
+        *traces.columns, "depth", "position", "subtree_size", "orphan"
+    )
 
 
 def in_tree_order(tree: DataFrame) -> DataFrame:
     """Depth-first order; a range-partitioned sort, so a huge trace spreads over tasks."""
-    return tree.orderBy("trace_id", "path")
+    return tree.orderBy("trace_id", "position")
 
 
 def waterfall_layout(traces: DataFrame) -> DataFrame:

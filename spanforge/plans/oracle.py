@@ -755,7 +755,14 @@ SELECT * FROM metrics WHERE service_name = 'supplier-2' AND metric_name = 'line.
 SELECT DISTINCT metric_name, service_name, description, unit, metric_type FROM metrics"""))
 
     add("trace_groups", _with("T", "SELECT * FROM groups", GROUPS))
-    add("span_tree", _with("T", "SELECT *, FALSE AS orphan FROM tree", TREE, recursive=True))
+    add("span_tree", _with("T", """
+SELECT a.trace_id, a.span_id, any_value(a.parent_span_id) AS parent_span_id,
+       any_value(a.depth) AS depth, any_value(a.position) AS position,
+       count(*) AS subtree_size, FALSE AS orphan
+FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY path) - 1 AS position
+      FROM tree) a
+JOIN tree d ON d.trace_id = a.trace_id AND (d.path = a.path OR starts_with(d.path, a.path || '/'))
+GROUP BY a.trace_id, a.span_id""", TREE, recursive=True))
     add("waterfall_layout", _with("T", LAYOUT))
     add("display_rows", _with("T", f"""
 SELECT substr({seconds_text(_NS)}, 12, 8) || '.' || lpad(({_NS} // 1000000 % 1000)::VARCHAR, 3, '0')

@@ -65,6 +65,84 @@ def test_deep_chain_and_copies(spark):
     assert [r["depth"] for r in got] == sorted(r["depth"] for r in got)
 
 
+def test_chain_of_ten_thousand_spans(spark):
+    """Numbers only: a deep chain takes about log2 rounds and no more state than spans."""
+    depth = 10_000
+    df = spark.range(depth).selectExpr(
+        "'t' AS trace_id", "lpad(string(id), 6, '0') AS span_id", "id AS start_time_unix_nano",
+        "CASE WHEN id = 0 THEN '' ELSE lpad(string(id - 1), 6, '0') END AS parent_span_id")
+    got = traces.span_tree(df)
+    wrong = "depth != start_time_unix_nano OR position != depth OR subtree_size != 10000 - depth"
+    assert got.count() == depth and got.where(wrong).isEmpty()
+
+
+def test_span_with_very_many_children(spark):
+    """Siblings run over several ranges; their subtrees are summed across them."""
+    df = spark.range(1, 30_000).selectExpr(
+        "'t' AS trace_id", "lpad(string(id), 6, '0') AS span_id",
+        "IF(id % 3 = 0, lpad(string(id - 1), 6, '0'), 'r') AS parent_span_id",
+        "5 AS start_time_unix_nano").unionByName(spark.sql(
+            "SELECT 't' AS trace_id, 'r' AS span_id, '' AS parent_span_id, 9 AS start_time_unix_nano"))
+    got = {r["span_id"]: (r["depth"], r["position"], r["subtree_size"]) for r in traces.span_tree(df).collect()}
+    assert got.pop("r") == (0, 0, 30_000)
+    for span, found in got.items():
+        i = int(span)
+        assert found == (2 if i % 3 == 0 else 1, i, 2 if i % 3 == 2 and i + 1 < 30_000 else 1)
+
+
+def tree_by_recursion(rows, keep_orphans):
+    """(trace, span, parent, start) to depth, position, subtree size and orphan, one trace at a time."""
+    out = {}
+    for trace in {r[0] for r in rows}:
+        mine = {r for r in rows if r[0] == trace}
+        first = {}
+        for r in sorted(mine, key=lambda r: (r[3], r[2])):
+            first.setdefault(r[1], r)
+        roots = [r for r in mine if r[2] == ""]
+        if not roots:
+            start, span = min((r[3], r[1]) for r in mine)
+            roots = [r for r in mine if (r[3], r[1]) == (start, span)]
+        tops = [(r, False) for r in roots]
+        if keep_orphans:
+            tops += [(r, True) for r in mine if r not in roots and r[2] not in first]
+        count = 0
+
+        def visit(r, depth, orphan, roots=roots, mine=mine, first=first):
+            nonlocal count
+            at, count = count, count + 1
+            if first[r[1]] == r:
+                for c in sorted((c for c in mine if c[2] == r[1] and c not in roots), key=lambda c: (c[3], c[1])):
+                    visit(c, depth + 1, orphan)
+            out[r] = (depth, at, count - at, orphan)
+
+        for r, orphan in sorted(tops, key=lambda t: (t[0][3], t[0][1])):
+            visit(r, 0, orphan)
+    return out
+
+
+@pytest.mark.parametrize("keep_orphans", [False, True])
+def test_trees_against_recursion(spark, keep_orphans):
+    """Several roots, orphans, rootless traces, cycles, repeated ids and copies."""
+    import random
+
+    rng = random.Random(12)
+    rows = set()
+    for t in range(120):
+        n = rng.randrange(1, 14)
+        for i in range(n):
+            parent = rng.choice(["", "missing", *[f"s{rng.randrange(n)}"] * 8])
+            span = f"s{i}" if rng.random() < 0.95 else f"s{rng.randrange(n)}"
+            # Times differ inside a trace, so that equal ids have one earliest span.
+            rows.add((f"t{t}", span, parent, 100 * rng.randrange(50) + i))
+    rows = sorted(rows)
+    ddl = "trace_id string, span_id string, parent_span_id string, start_time_unix_nano long"
+    got = traces.span_tree(spark.createDataFrame(rows + rows[:40], ddl), keep_orphans).collect()
+    found = {tuple(r)[:4]: (r["depth"], r["position"], r["subtree_size"], r["orphan"]) for r in got}
+    expected = tree_by_recursion(set(rows), keep_orphans)
+    assert found == expected
+    assert len(got) == len(expected) + sum(r in expected for r in rows[:40])
+
+
 def test_waterfall(spark):
     df = spans(spark, [
         {"trace": "a", "span": "1", "start": 100, "duration": 1000},
