@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ from spanforge.session import cut_lineage
 COOLDOWN_NS = 60 * NANOS
 BODY_SHOWN = 100
 EPSILON = 2.220446049250313e-16  # distance from 1.0 to the next double
-RULE_SALTS = 16
+#: Rules are a written list; their texts and thresholds together may take so many bytes.
+MOST_RULE_BYTES = 64 << 20
 
 # --- the five conditions, one function each ---------------------------------------------------
 
@@ -224,43 +226,56 @@ _HIT = "rule string, kind string, at bigint, message string"
 
 
 class _Rules:
-    """Parsed rules ready to be attached to tables: always a table, joined like any other.
+    """Parsed rules, ready to meet tables.
 
-    Only the kinds that occur, five at most, are read while the plan is built.
+    Rules are a list that people write, so the lists that tasks search travel with the plan, as
+    scalar subqueries: one array for each kind, sorted by threshold. A row finds by binary search how
+    many of its kind's thresholds it passes, and only these are exploded. Texts to look for and the
+    kinds that occur are read while the plan is built, up to ``MOST_RULE_BYTES``.
     """
 
     def __init__(self, rules: DataFrame) -> None:
         self.table = rules.where(F.col("error").isNull()).select(*_RULE_FIELDS)
-        self.kinds = {r["kind"] for r in self.table.select("kind").distinct().collect()}
+        size = F.sum(F.octet_length("rule") + F.lit(64)).alias("size")
+        found = self.table.groupBy("kind").agg(size).collect()
+        self.kinds = {r["kind"] for r in found}
+        if sum(r["size"] for r in found) > MOST_RULE_BYTES:
+            raise ValueError(f"rules beyond {MOST_RULE_BYTES} bytes: evaluate them in parts")
 
     def has(self, *kinds: str) -> bool:
         return bool(self.kinds.intersection(kinds))
 
-    def attach(self, data: DataFrame, *kinds: str, on: str | None = None) -> DataFrame:
-        """Each row of the table beside each rule of these kinds, as the struct ``r``.
-
-        With ``on`` they meet where that column is equal. Other rules are copied to a few salts
-        and meet the rows of their salt, an equi join that no single task carries.
-        """
-        mine = self.table.where(F.col("kind").isin(*kinds))
-        rule = F.struct(*_RULE_FIELDS).alias("r")
-        if on is not None:
-            return data.join(mine.select(on, rule), on)
-        salts = F.array(*(F.lit(k).cast("long") for k in range(RULE_SALTS)))
-        placed = mine.select(F.explode(salts).alias("_salt"), rule)
-        # Rows, equal ones too, are dealt out evenly; which salt they get changes no result.
-        salt = F.pmod(F.monotonically_increasing_id(), F.lit(RULE_SALTS))
-        return data.withColumn("_salt", salt).join(placed, "_salt").drop("_salt")
-
-
-def _hits(rows: DataFrame, at: Column, applies, message) -> DataFrame:
-    r = F.col("r")
-    return rows.where(applies(r)).select(
-        F.col("r.rule").alias("rule"),
-        F.col("r.kind").alias("kind"),
-        at.alias("at"),
-        message(r).alias("message"),
-    )
+    def of(self, kind: str) -> DataFrame:
+        return self.table.where(F.col("kind") == kind)
+
+    def list_of(self, kind: str, threshold: str) -> Column:
+        """All rules of a kind as one array of ``t`` and ``rule``, sorted by threshold."""
+        entry = F.struct(F.col(threshold).alias("t"), "rule")
+        return self.of(kind).agg(F.sort_array(F.collect_list(entry)).alias("sorted")).scalar()
+
+    def patterns(self) -> list[str]:
+        return sorted(r[0] for r in self.of("log_body").select("pattern").distinct().collect())
+
+
+def _below(entries: Column, holds) -> Column:
+    """How many leading entries of a sorted array meet ``holds`` (true, then false): binary search."""
+    steps = F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+
+    def step(at: Column, width: Column) -> Column:
+        further = (at + width <= F.size(entries)) & holds(F.get(entries, at + width - 1))
+        return F.when(F.coalesce(further, F.lit(False)), at + width).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def _explode_passed(rows: DataFrame, entries: Column, holds, onward: bool = False) -> DataFrame:
+    """Each row beside the entries that it passes (struct ``r``): the leading ones, or the others."""
+    found = rows.withColumn("_list", entries)
+    found = found.withColumn("_n", _below(F.col("_list"), holds))
+    size = F.size("_list")
+    passed = F.slice("_list", F.col("_n") + 1, size - F.col("_n")) if onward else F.slice("_list", F.lit(1), F.col("_n"))
+    hit = F.col("_n") < size if onward else F.col("_n") > 0
+    return found.where(hit).withColumn("r", F.explode(passed)).drop("_list", "_n")
 
 
 def evaluate_rules(
@@ -275,14 +290,17 @@ def evaluate_rules(
     ``earlier_errors`` (``at``) are error times of earlier batches that still count in the
     windows of error-rate rules.
 
-    Each table is read once for all its rules, and not at all when it has none.
+    A row is never put beside a rule that it does not meet: thresholds are found by binary
+    search in sorted lists, texts by one automaton of all patterns, metrics by name.
     """
     known = _Rules(rules)
     parts = []
     if known.has("span_duration"):
         parts.append(_span_hits(known, traces))
-    if known.has("log_body", "log_severity"):
-        parts.append(_log_hits(known, logs))
+    if known.has("log_body"):
+        parts.append(_body_hits(known, logs))
+    if known.has("log_severity"):
+        parts.append(_severity_hits(known, logs))
     if known.has("metric"):
         parts.append(_metric_hits(known, metrics))
     if known.has("error_rate"):
@@ -292,78 +310,135 @@ def evaluate_rules(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _hits(rows: DataFrame, kind: str, at: str, rule: Column, message: Column) -> DataFrame:
+    return rows.select(
+        rule.alias("rule"), F.lit(kind).alias("kind"), F.col(at).alias("at"),
+        message.alias("message"),
+    )
+
+
 def _span_hits(known: _Rules, traces: DataFrame) -> DataFrame:
     duration = F.col("duration_ns")
-    return _hits(
-        known.attach(traces, "span_duration"),
-        F.col("start_time_unix_nano"),
-        lambda r: duration > r["threshold_ns"],
-        lambda r: F.concat(
-            F.lit("span '"), "span_name", F.lit("' duration "), _seconds(duration),
-            F.lit("s exceeds threshold "), _seconds(r["threshold_ns"]), F.lit("s"),
-        ),
+    rows = traces.select("start_time_unix_nano", "span_name", "duration_ns")
+    slow = _explode_passed(
+        rows, known.list_of("span_duration", "threshold_ns"), lambda e: e["t"] < duration
+    )
+    # The words of the messages.
+    message = F.concat(
+        F.lit("span '"), "span_name", F.lit("' duration "), _seconds(duration),
+        F.lit("s exceeds threshold "), _seconds(F.col("r.t")), F.lit("s"),
     )
+    return _hits(slow, "span_duration", "start_time_unix_nano", F.col("r.rule"), message)
 
 
-def _log_hits(known: _Rules, logs: DataFrame) -> DataFrame:
-    body, number = F.col("body"), F.col("severity_number")
-    return _hits(
-        known.attach(logs, "log_body", "log_severity"),
-        F.col("timestamp_unix_nano"),
-        lambda r: F.when(r["kind"] == "log_body", F.contains(body, r["pattern"])).otherwise(
-            number >= r["min_severity"]
-        ),
-        lambda r: F.when(
-            r["kind"] == "log_body",
-            F.concat(F.lit("log body contains '"), r["pattern"], F.lit("': "), _cut(body)),
-        ).otherwise(
-            F.concat(
-                F.lit("log severity "), number.cast("string"), F.lit(" >= "),
-                r["min_severity"].cast("string"), F.lit(": "), _cut(body),
-            )
-        ),
+def _patterns_in(patterns: list[str]):
+    """An Arrow function from bodies to the patterns they contain, in one pass over each body."""
+
+    def found(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for pattern in patterns:
+            if pattern:
+                automaton.add_word(pattern, pattern)
+        everywhere = [""] if "" in patterns else []
+        if len(automaton):
+            automaton.make_automaton()
+
+        def of(body: str | None) -> list[str] | None:
+            if body is None:
+                return None
+            matches = {p for _, p in automaton.iter(body)} if len(automaton) else ()
+            return everywhere + sorted(matches)
+
+        for series in bodies:
+            yield series.map(of, na_action=None)
+
+    return F.pandas_udf(found, "array<string>")
+
+
+def _body_hits(known: _Rules, logs: DataFrame) -> DataFrame:
+    rows = logs.select("timestamp_unix_nano", "body").where(F.col("body").isNotNull())
+    found = rows.withColumn("pattern", F.explode(_patterns_in(known.patterns())(F.col("body"))))
+    mine = F.broadcast(known.of("log_body").select("rule", "pattern"))  # at most MOST_RULE_BYTES
+    message = F.concat(
+        F.lit("log body contains '"), "pattern", F.lit("': "), _cut(F.col("body"))
     )
+    return _hits(found.join(mine, "pattern"), "log_body", "timestamp_unix_nano", F.col("rule"), message)
+
+
+def _severity_hits(known: _Rules, logs: DataFrame) -> DataFrame:
+    number = F.col("severity_number")
+    rows = logs.select("timestamp_unix_nano", "body", "severity_number")
+    loud = _explode_passed(
+        rows, known.list_of("log_severity", "min_severity"), lambda e: e["t"] <= number
+    )
+    message = F.concat(
+        F.lit("log severity "), number.cast("string"), F.lit(" >= "),
+        F.col("r.t").cast("string"), F.lit(": "), _cut(F.col("body")),
+    )
+    return _hits(loud, "log_severity", "timestamp_unix_nano", F.col("r.rule"), message)
 
 
 def _metric_hits(known: _Rules, metrics: DataFrame) -> DataFrame:
+    """Points meet the rules of their name: one row a name, with a sorted list for each comparison."""
     value = F.col("value")
-    return _hits(
-        known.attach(alertable_points(metrics), "metric", on="metric_name"),
-        F.col("timestamp_unix_nano"),
-        lambda r: compare(value, r["op"], r["threshold"]),
-        lambda r: F.concat(
-            F.lit("metric '"), r["metric_name"], F.lit("' value "), format_value(value),
-            F.lit(" triggered (threshold "), format_value(r["threshold"]), F.lit(")"),
-        ),
+    entry = F.struct(F.col("threshold").alias("t"), "rule", "op")
+    # What a list is sorted for: the side of the threshold that its comparisons look at.
+    side = F.when(F.col("op").isin(">", ">="), "above").when(F.col("op").isin("<", "<="), "under")
+    lists = known.of("metric").groupBy("metric_name", F.coalesce(side, F.lit("equal")).alias("side")).agg(
+        F.sort_array(F.collect_list(entry)).alias("rules")
+    )
+    points = alertable_points(metrics).select("timestamp_unix_nano", "metric_name", "value")
+    beside = points.join(F.broadcast(lists), "metric_name")  # at most MOST_RULE_BYTES
+    above = _explode_passed(
+        beside.where("side = 'above'"), F.col("rules"), lambda e: e["t"] <= value
     )
+    under = _explode_passed(
+        beside.where("side = 'under'"), F.col("rules"), lambda e: e["t"] < value, onward=True
+    )
+    # Only thresholds about as large as the value can differ from it by less than one epsilon.
+    low, high = value - 2 * EPSILON, value + 2 * EPSILON
+    near = beside.where("side = 'equal'").withColumn("_from", _below(F.col("rules"), lambda e: e["t"] < low))
+    near = near.withColumn("_to", _below(F.col("rules"), lambda e: e["t"] <= high))
+    near = near.where("_to > _from").withColumn(
+        "r", F.explode(F.slice("rules", F.col("_from") + 1, F.col("_to") - F.col("_from")))
+    ).drop("_from", "_to")
+    met = reduce(DataFrame.unionByName, [above, under, near]).where(
+        compare(value, F.col("r.op"), F.col("r.t"))
+    )
+    message = F.concat(
+        F.lit("metric '"), "metric_name", F.lit("' value "), format_value(value),
+        F.lit(" triggered (threshold "), format_value(F.col("r.t")), F.lit(")"),
+    )
+    return _hits(met, "metric", "timestamp_unix_nano", F.col("r.rule"), message)
 
 
 def _error_rate_hits(
     known: _Rules, traces: DataFrame, earlier_errors: DataFrame | None
 ) -> DataFrame:
-    def per_rule(errors: DataFrame) -> DataFrame:
-        return (
-            known.attach(errors, "error_rate").select(
-                "at", "r.rule", "r.max_count", "r.window_ns"
-            )
-        )
+    """Errors are counted once for each distinct window; its rules are a list by their limit."""
+    mine = known.of("error_rate")
+    windows = mine.agg(F.collect_set("window_ns")).scalar()
+
+    def per_window(times: DataFrame) -> DataFrame:
+        return times.select("at", F.explode(windows).alias("window_ns"))
 
     failed = traces.where(F.col("status_code") == 2)
-    errors = per_rule(failed.select(F.col("start_time_unix_nano").alias("at")))
-    history = None if earlier_errors is None else per_rule(earlier_errors.select("at"))
-    counted = error_counts(
-        errors, F.col("window_ns"), ["rule", "max_count", "window_ns"], history=history
-    )
-    return counted.where(F.col("errors_in_window") > F.col("max_count")).select(
-        "rule",
-        F.lit("error_rate").alias("kind"),
-        "at",
-        F.concat(
-            F.lit("error rate "), F.col("errors_in_window").cast("string"),
-            F.lit(" exceeds threshold "), F.col("max_count").cast("string"), F.lit(" in "),
-            _window_text(F.col("window_ns")), F.lit(" window"),
-        ).alias("message"),
+    errors = per_window(failed.select(F.col("start_time_unix_nano").alias("at")))
+    history = None if earlier_errors is None else per_window(earlier_errors.select("at"))
+    counted = error_counts(errors, F.col("window_ns"), ["window_ns"], history=history)
+    entry = F.struct(F.col("max_count").alias("t"), "rule")
+    lists = mine.groupBy("window_ns").agg(F.sort_array(F.collect_list(entry)).alias("rules"))
+    n = F.col("errors_in_window")
+    beside = counted.join(F.broadcast(lists), "window_ns")  # at most MOST_RULE_BYTES
+    over = _explode_passed(beside, F.col("rules"), lambda e: e["t"] < n)
+    message = F.concat(
+        F.lit("error rate "), n.cast("string"), F.lit(" exceeds threshold "),
+        F.col("r.t").cast("string"), F.lit(" in "), _window_text(F.col("window_ns")),
+        F.lit(" window"),
     )
+    return _hits(over, "error_rate", "at", F.col("r.rule"), message)
 
 
 # --- cooldown ---------------------------------------------------------------------------------

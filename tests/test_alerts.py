@@ -168,3 +168,50 @@ def test_messages_are_cut_by_bytes(spark):
         alerts._cut(F.col("body")).alias("m")
     )
     assert [r["m"] for r in row.collect()] == ["é" * 50 + "...", "x" * 99 + "...", "short"]
+
+
+def test_twenty_thousand_rules_of_each_kind(spark):
+    """Rows meet the rules they pass and no others, whatever the length of the list."""
+    n = 20_000
+    rules = [f"span_duration > {100 + i}ms" for i in range(n)]
+    rules += [f"log_body contains 'token-{i:05d}-'" for i in range(n)]
+    rules += [f"metric cpu > {i}" for i in range(n)] + [f"metric mem <= {i}.5" for i in range(n)]
+    rules += [f"metric disk = {i}" for i in range(n)]
+    rules += [f"error_rate > {i}/{m}m" for m in (1, 2) for i in range(n // 2)]
+    rules += ["log_severity >= WARN", "log_severity >= ERROR", "log_severity >= TRACE"]
+    rows = [{"duration": 103 * MS + 1, "start": 5}, {"duration": 100 * MS, "start": 6}]
+    rows += [{"status": 2, "duration": 1, "start": i * SECOND} for i in range(3)]
+    log_rows = [{"body": "a token-00007- and token-19999- token-00007-", "number": 13, "time": 1},
+                {"body": "token-7-", "number": 24, "time": 2}, {"body": None, "number": 0, "time": 3}]
+    metric_rows = [{"name": "cpu", "value": 2.0, "time": 1}, {"name": "mem", "value": 19997.5, "time": 2},
+                   {"name": "disk", "value": 12.0, "time": 3}, {"name": "disk", "value": 12.5, "time": 4},
+                   {"name": "other", "value": 1.0, "time": 5}]
+    got = [(r, at) for r, at, _ in hits_of(spark, rules, rows, log_rows, metric_rows)]
+    want = [(f"span_duration > {d}ms", 5) for d in (100, 101, 102, 103)]
+    want += [("log_body contains 'token-00007-'", 1), ("log_body contains 'token-19999-'", 1)]
+    want += [("log_severity >= WARN", 1), ("log_severity >= TRACE", 1)]
+    want += [(f"log_severity >= {s}", 2) for s in ("WARN", "ERROR", "TRACE")]
+    want += [("metric cpu > 0", 1), ("metric cpu > 1", 1), ("metric disk = 12", 3)]
+    want += [(f"metric mem <= {i}.5", 2) for i in (19997, 19998, 19999)]
+    want += [(f"error_rate > {i}/{m}m", at * SECOND) for m in (1, 2) for at in range(3) for i in range(at + 1)]
+    assert got == sorted(want)
+
+
+def test_comparisons_against_brute_force(spark):
+    """Ties, epsilons, infinities and not-a-numbers on both sides."""
+    values = [0.0, -0.0, 1.0, 1.0 + 1e-16, 1.0 + 3e-16, -5.0, 1e300, float("inf"), float("-inf"), float("nan"), 2.0]
+    texts = ["0", "1", "1.0000000000000002", "-5", "1e300", "Infinity", "-Infinity", "NaN", "2"]
+    rules = [f"metric m {op} {t}" for op in (">", "<", ">=", "<=", "=") for t in texts]
+    rows = [{"name": "m", "value": v, "time": i} for i, v in enumerate(values)]
+    got = {(r, at) for r, at, _ in hits_of(spark, rules, metric_rows=rows)}
+    parsed_rules = alerts.parse_rules(alerts.rules_frame(spark, rules)).collect()
+    for rule in parsed_rules:
+        met = points(spark, rows).where(alerts.compare(F.col("value"), F.lit(rule["op"]), F.lit(rule["threshold"])))
+        assert {r["timestamp_unix_nano"] for r in met.collect()} == {at for r, at in got if r == rule["rule"]}, rule["rule"]
+
+
+def test_patterns_inside_each_other(spark):
+    rules = [f"log_body contains '{p}'" for p in ("", "a", "ab", "b", "abc", "ü", "x")]
+    got = hits_of(spark, rules, log_rows=[{"body": "zabü", "time": 1}, {"body": "", "time": 2}, {"body": None, "time": 3}])
+    want = [(f"log_body contains '{p}'", 1) for p in ("", "a", "ab", "b", "ü")] + [("log_body contains ''", 2)]
+    assert [(r, at) for r, at, _ in got] == sorted(want)
