@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -15,26 +17,35 @@ DEFAULT_ROTATE_SECONDS = 3_600
 
 
 def fan_out(batch: DataFrame, targets: Mapping[str, Target], batch_id: int = 0) -> DataFrame:
-    """Write one batch to every target; a failing target does not stop the others.
+    """Write one batch to all targets at once; a failing or slow one does not hold up the others.
 
-    Returns one row per target: batch, target and error (NULL when it worked).
+    Every target has a thread and a scheduler pool of its own, so that with fair scheduling their
+    jobs share the executors. Returns one row per target: batch, target and error (NULL when it
+    worked), in the order of ``targets``.
     """
+    spark = batch.sparkSession
     own = not batch.is_cached  # a caller that keeps the batch keeps it
     held = batch.persist(StorageLevel.MEMORY_AND_DISK) if own else batch
-    outcomes = []
+
+    def attempt(name: str, write: Target) -> tuple[int, str, str | None]:
+        try:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"target-{name}")
+            write(held)
+            return batch_id, name, None
+        except Exception as error:  # any failure belongs to its target alone
+            return batch_id, name, str(error)
+
     try:
-        for name, write in targets.items():
-            try:
-                write(held)
-                outcomes.append((batch_id, name, None))
-            except Exception as error:  # any failure belongs to its target alone
-                outcomes.append((batch_id, name, str(error)))
+        with ThreadPoolExecutor(max_workers=max(1, len(targets))) as threads:
+            running = [
+                threads.submit(inheritable_thread_target(spark)(attempt), name, write)
+                for name, write in targets.items()
+            ]
+            outcomes = [done.result() for done in running]
     finally:
         if own:
             held.unpersist()
-    return batch.sparkSession.createDataFrame(
-        outcomes, "batch_id bigint, target string, error string"
-    )
+    return spark.createDataFrame(outcomes, "batch_id bigint, target string, error string")
 
 
 def records_per_file(rotate_bytes: int, bytes_per_record: int) -> int:

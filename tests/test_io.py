@@ -260,3 +260,27 @@ def test_bad_line_names_its_file(spark, tmp_path):
     tables = jsonl.import_files(spark, f"{tmp_path}/*.jsonl")
     with pytest.raises(Exception, match=r"invalid JSON line: not json in .*logs\.jsonl"):
         tables["logs"].collect()
+
+
+def test_slow_target_does_not_delay_the_others(spark):
+    import threading
+
+    from spanforge.sinks.targets import fan_out
+
+    written = threading.Event()
+
+    def slow(df):
+        assert written.wait(60), "the other target waited for this one"
+        df.count()
+
+    def fast(df):
+        df.count()
+        written.set()
+
+    def failing(df):
+        raise RuntimeError("gone")
+
+    batch = spark.range(5)
+    outcome = [tuple(r) for r in fan_out(batch, {"slow": slow, "bad": failing, "fast": fast}, 7).collect()]
+    assert outcome == [(7, "slow", None), (7, "bad", "gone"), (7, "fast", None)]
+    assert fan_out(batch, {}).count() == 0
