@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from spanforge.operators.ranking import sums_before
+
 Target = Callable[[DataFrame], None]
 
 DEFAULT_ROTATE_BYTES = 104_857_600
@@ -83,6 +85,27 @@ def write_rotating(
     ).text(path)
 
 
+def write_rotating_by_size(
+    lines: DataFrame,
+    path: str,
+    rotate_bytes: int = DEFAULT_ROTATE_BYTES,
+) -> None:
+    """Text lines as files per signal and interval, closed by their real size.
+
+    A file takes lines while those before it hold less than ``rotate_bytes`` in UTF-8 with their
+    line ends, so it is never larger than that and one line. Which file a line goes to follows from
+    the sum of the lines before it in its interval, ordered by their text, split over ranges; a
+    task writes whole files.
+    """
+    keys = ["signal", "interval_start"]
+    sized = lines.select(*keys, "value", (F.octet_length("value") + 1).cast("bigint").alias("_size"))
+    placed = sums_before(sized, keys, ["value"], "_size", "_before")
+    # div truncates a long exactly.
+    numbered = placed.withColumn("file", F.expr(f"_before div {int(rotate_bytes)}"))
+    whole = numbered.select(*keys, "file", "value").repartition(*keys, "file")
+    whole.write.mode("append").partitionBy(*keys, "file").text(path)
+
+
 def start_rotating(
     lines: DataFrame,
     path: str,

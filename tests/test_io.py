@@ -195,6 +195,23 @@ def test_rotation_by_size_and_time(spark, tmp_path):
     assert len(files) == 3
 
 
+def test_rotation_by_real_size(spark, tmp_path):
+    """No file is larger than the limit and one line, whatever the size of the records."""
+    values = ["x" * 50_000 + str(i) for i in range(30)] + [f"ü{i}" * 40 for i in range(300)] + ["same"] * 50
+    rows = [("traces" if i % 3 else "logs", 3600 * (i % 2), v) for i, v in enumerate(values)]
+    lines = spark.createDataFrame(rows, "signal string, interval_start long, value string")
+    limit = 60_000
+    targets.write_rotating_by_size(lines, str(tmp_path / "r"), limit)
+    back = spark.read.text(str(tmp_path / "r")).select("signal", "interval_start", "value")
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    files = list((tmp_path / "r").rglob("part-*"))
+    assert len(files) == len({f.parent for f in files})  # one file for each number
+    sizes = [f.stat().st_size for f in files]
+    assert max(sizes) <= limit + 50_003 and sum(sizes) == sum(len(v.encode()) + 1 for v in values)
+    # Each is closed no earlier than at its limit: fewer files than half-full ones would make.
+    assert len(files) <= sum(sizes) // limit + 4 + 1
+
+
 def test_rotation_of_a_stream(spark, tmp_path):
     df = spans(spark, [{"start": i * 3600 * SECOND} for i in range(3)])
     df.write.parquet(str(tmp_path / "in"))
