@@ -15,6 +15,7 @@ from spanforge.llm import (
     components, curriculum, decontaminate, exact_dedup, language, minhash_dedup, quality,
     substring_dedup, token_counts, token_records, url_filter,
 )
+from spanforge.llm.common import WordHashes
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -482,8 +483,6 @@ def test_decontaminate(spark, docs, rows, nothing):
 
 
 def test_fingerprint_index_finds_all_within_radius():
-    from spanforge.llm.common import WordHashes
-
     rng = np.random.default_rng(3)
     items = [(i, " ".join(f"w{rng.integers(10**6)}" for _ in range(30)).encode()) for i in range(50)]
     index = decontaminate.Index(items, WordHashes())
@@ -493,6 +492,58 @@ def test_fingerprint_index_finds_all_within_radius():
         assert (0, i) in list(index.candidates(np.packbits(bits)[None], 30))
 
 
+def test_fingerprint_blocks_turn_unrelated_pairs_away():
+    rng = np.random.default_rng(5)
+    index = decontaminate.Index([(i, " ".join(f"w{rng.integers(10**6)}" for _ in range(30)).encode()) for i in range(200)], WordHashes())
+    windows = decontaminate.fingerprints(rng.integers(0, 2**63, 4000).astype(np.uint64), 26)
+    passed = sum(len(w) for w, _, _ in index.passing(windows, 30))
+    assert passed <= 0.01 * len(windows) * 200
+    assert sum(decontaminate.ERRORS) + len(decontaminate.ERRORS) > decontaminate.RADIUS
+
+
+def test_decontaminate_against_all_windows():
+    """Every window of every text against every item; changed items lie around the threshold."""
+    rng, known = random.Random(11), WordHashes()
+    items = [[f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 5, 12, 40, 41, 90]))] for _ in range(60)]
+    items[7] = ["again", "and"] * 30
+    index = decontaminate.Index([(i, " ".join(w).encode()) for i, w in enumerate(items)], known)
+    bags = [Counter(zip(*(w[j:] for j in range(min(5, len(w)))))) for w in items]
+    found = wanted = 0
+    for _ in range(800):
+        i = rng.randrange(len(items))
+        text = list(items[i])
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(9)}"
+        text = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(30))] + text + ["end"] * rng.randrange(4)
+        want = {}
+        for k, w in enumerate(items):
+            size = min(5, len(w))
+            if not bags[k].keys() & set(zip(*(text[j:] for j in range(size)))):
+                continue
+            for at in range(max(0, len(text) - len(w)) + 1):
+                window = text[at : at + len(w)]
+                bag = Counter(zip(*(window[j:] for j in range(size))))
+                likeness = (bag & bags[k]).total() / (bag | bags[k]).total()
+                if likeness >= 0.75 and likeness > want.get(k, (0, 0))[0]:
+                    want[k] = (likeness, at)
+        got = index.matches(known.of([w.encode() for w in text]))
+        assert set(got) <= set(want)
+        wanted += len(want)
+        found += sum(got.get(k) == v for k, v in want.items())
+    assert wanted > 200 and found >= 0.99 * wanted
+
+
+def test_decontaminate_repetitive_text_takes_seconds():
+    words = [f"r{k}" for k in range(5)]
+    items = [(n, " ".join((words * 40)[: 20 + n % 60] + [f"i{n}"]).encode()) for n in range(2000)]
+    known = WordHashes()
+    index = decontaminate.Index(items, known)
+    begun = time.monotonic()
+    got = index.matches(known.of([w.encode() for w in words * 20_000]))
+    assert time.monotonic() - begun < 20
+    assert set(got) == set(range(2000)) and all(start < 5 for _, start in got.values())
+
+
 def test_url_filter(spark):
     urls = [None, "", "nohost", "http://Example.COM/en/a?x", "https://www.example.com/en/", "http://a.net/es/1#t",
             "http://net/fr/", "http://notcom/en/", "http://example.com", "ftp://x.org/p?q#r", "http://a.b.com?/en/",
