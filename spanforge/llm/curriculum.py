@@ -118,6 +118,15 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return takings.select("row", "size", "p.position", "p.words").orderBy("position", "row.doc_id")
 
 
+def whole_passes(mixed: DataFrame) -> DataFrame:
+    """The rows taken, in training order, once for each pass.
+
+    The pass that meets a source's target inside a document is rounded to a whole pass or none.
+    Documents without words are not taken.
+    """
+    return training_order(mixed).filter(2 * F.col("words") >= F.col("size")).select("row.*")
+
+
 def document_order(mixed: DataFrame) -> DataFrame:
     """One row for each document, range-sorted by its training positions; those not taken last.
 

@@ -25,18 +25,21 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import as_bytes, in_worker, small_batches, stored, table
 from spanforge.session import checkpoint_root
 
 END_ID = 1
+#: Characters of a text that deal out equal ids, and records that are read back at a time.
+DEALT, READ = 64, 20_000
 MEMO = 700_000
 PAYLOAD_HEAD, HEAD_SIZE = "<?qB", 10
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u8")])
@@ -228,11 +231,25 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def reading_order() -> list[Column]:
+    """Columns that sort a table read from files as its files hold it.
+
+    Spark numbers the files of an ordered result in its order; a large file is read in blocks,
+    each from its first row to its last.
+    """
+    number = F.regexp_extract(F.input_file_name(), r"part-(\d+)[^/]*$", 1).try_cast("long")
+    return [number, F.input_file_block_start(), F.monotonically_increasing_id()]
+
+
 def write_records(
-    docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID
+    docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, order: list[Column] | None = None
 ) -> DataFrame:
     """Write ``docs`` as record files below ``folder``; one row per file that counts:
-    ``shard, records_path, index_path, n_records, n_tokens``, shards in document order."""
+    ``shard, records_path, index_path, n_records, n_tokens``.
+
+    Shards and their records go by ``order``, then by ``doc_id`` and text. Without an order, equal
+    and null ids are dealt by the beginning of their text, so that they need not share a task.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer or default_tokenizer()
@@ -267,8 +284,11 @@ def write_records(
                 "n_records": [n_records], "n_tokens": [n_tokens],
             })
 
-    ordered = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "cast(text AS string) AS text")
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    keys = [k.alias(f"key{n}") for n, k in enumerate(order or [doc_id, F.substring(text, 1, DEALT)])]
+    names = [f"key{n}" for n in range(len(keys))]
+    ordered = docs.select(doc_id.alias("doc_id"), text.alias("text"), *keys)
+    ordered = ordered.repartitionByRange(*names).sortWithinPartitions(*names, "doc_id", "text").drop(*names)
     shape = "shard long, records_path string, index_path string, n_records long, n_tokens long"
     return stored(ordered.mapInArrow(write, shape), "shards")
 
@@ -298,9 +318,10 @@ def read_records(shards: DataFrame, folder: str) -> DataFrame:
         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
         for batch in batches:
             for shard in batch.to_pylist():
-                rows = list(rows_of(shard))
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                every = rows_of(shard)
+                while rows := list(islice(every, READ)):
+                    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -318,10 +339,10 @@ def read_indexed(index_path: str, records_path: str, folder: str, which: list[in
     return out
 
 
-def record_digests(docs: DataFrame) -> DataFrame:
+def record_digests(docs: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Write ``docs`` to a new folder of the shared storage and read the records back."""
     folder = f"{checkpoint_root(docs.sparkSession).rstrip('/')}/llm-records-{uuid.uuid4().hex}"
-    return read_records(write_records(docs, folder), folder)
+    return read_records(write_records(docs, folder, order=order), folder)
 
 
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
