@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanforge.llm import curriculum, decontaminate, minhash_dedup, quality, token_records
 from spanforge.llm.common import stored, table
@@ -37,13 +36,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The pass that meets a source's target inside a document is rounded to a whole pass or none.
     Documents without words are not taken.
     """
-    order = curriculum.training_order(curriculum.curriculum(docs))
-    return order.filter(2 * F.col("words") >= F.col("size")).select("row.*")
+    return curriculum.whole_passes(curriculum.curriculum(docs))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the documents as token records; one row for each record read back."""
-    return token_records.record_digests(docs)
+    """Write the documents as token records in the order they are read, which is that of training.
+
+    One row for each record read back.
+    """
+    return token_records.record_digests(docs, order=token_records.reading_order())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
