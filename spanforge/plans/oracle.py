@@ -745,6 +745,17 @@ WHERE contains(lower(metric_name), 'line.') OR contains(lower(service_name), 'li
 SELECT l.* EXCLUDE (attributes, resource), g.service_name AS root_service, g.root_span_name,
        g.span_count, g.duration_ns AS trace_duration_ns, g.start_time_unix_nano
 FROM logs l LEFT JOIN groups g ON l.trace_id = g.trace_id AND l.trace_id <> ''""", GROUPS))
+    add("logs_in_spans", _with("TL", """
+SELECT l.trace_id, l.timestamp_unix_nano, l.severity_number, l.body, l.service_name AS log_service,
+       t.span_id AS inside_span_id, t.span_name,
+       l.timestamp_unix_nano - t.start_time_unix_nano AS since_start_ns
+FROM (SELECT logs.* REPLACE (start_time_unix_nano
+             + timestamp_unix_nano % (2 * duration_ns + 1) AS timestamp_unix_nano)
+      FROM logs JOIN traces ON logs.trace_id = traces.trace_id AND parent_span_id = ''
+      WHERE logs.trace_id <> '') l
+JOIN traces t
+  ON l.trace_id = t.trace_id
+ AND l.timestamp_unix_nano BETWEEN t.start_time_unix_nano AND t.end_time_unix_nano"""))
     add("follow_traces", _with("T", """
 SELECT * FROM traces WHERE service_name = 'supplier-5' AND span_name = 'line.RF'"""))
     add("follow_logs", _with("L", """

@@ -12,8 +12,8 @@ from spanforge.functions import exposition as E
 from spanforge.functions import text as T
 from spanforge.functions.attributes import map_json, value_display
 from spanforge.operators import (
-    alerts, diff, latency, lookups, metrics, outliers, prometheus, retention, sampling,
-    services, status, traces,
+    alerts, diff, intervals, latency, lookups, metrics, outliers, prometheus, retention,
+    sampling, services, status, traces,
 )
 from spanforge.plans import fixtures as X
 from spanforge.plans import sql_texts
@@ -304,6 +304,20 @@ def logs_with_trace(t: Tables) -> DataFrame:
     return joined.drop("attributes", "resource")
 
 
+@query
+def logs_in_spans(t: Tables) -> DataFrame:
+    """Log records moved to around the time of their trace, with the spans they fall in."""
+    roots = t.traces.where(F.col("parent_span_id") == "").select(
+        "trace_id",
+        F.col("start_time_unix_nano").alias("begun"),
+        (2 * F.col("duration_ns") + 1).alias("reach"),
+    )
+    moved = t.logs.join(roots, "trace_id").withColumn(
+        "timestamp_unix_nano", F.col("begun") + F.pmod("timestamp_unix_nano", "reach")
+    )
+    return intervals.logs_in_spans(moved, t.traces)
+
+
 @query
 def follow_traces(t: Tables) -> DataFrame:
     """What a follower of landing batches gets, on all that has landed."""
