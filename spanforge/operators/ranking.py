@@ -107,7 +107,9 @@ def pick_ranks(
     with ``total`` rows contain a wanted one. The value is narrowed digit by digit: each pass
     counts map-side and keeps only the prefixes holding a wanted rank, so what is shuffled are
     counts. ``ties`` orders the rows of one value; they are looked at last, and only for the
-    kept values. Returns keys, value, ``ties``, ``rank_first``, ``rank_end`` and ``total``.
+    kept values, by ranges: a value that a million rows share is ordered in many tasks. With
+    ties, jobs run while the result is built. Returns keys, value, ``ties``, ``rank_first``,
+    ``rank_end`` and ``total``.
     """
     keys, ties = list(keys), list(ties)
     rows = with_digits(rows.select(*keys, value, *ties), F.col(value))
@@ -120,15 +122,17 @@ def pick_ranks(
         part = rows if kept is None else rows.join(kept, keys + parents)
         sizes = part.groupBy(*keys, *parents, *order, *carried).agg(F.count("*").alias("_n"))
         group = Window.partitionBy(*keys, *parents)
-        running = F.sum("_n").over(
-            group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
+        if order == ties:
+            sizes = sums_before(sizes, [*keys, *parents], ties, "_n", "_earlier")
+        else:
+            before = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+            sizes = sizes.withColumn("_earlier", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         if kept is None:
             sizes = sizes.withColumn("total", F.sum("_n").over(group)).withColumn(
                 "_start", F.lit(0).cast("bigint")
             )
-        ranged = sizes.withColumn("rank_end", F.col("_start") + running).withColumn(
-            "rank_first", F.col("rank_end") - F.col("_n")
+        ranged = sizes.withColumn("rank_first", F.col("_start") + F.col("_earlier")).withColumn(
+            "rank_end", F.col("rank_first") + F.col("_n")
         )
         hits = ranged.where(wanted(F.col("rank_first"), F.col("rank_end"), F.col("total")))
         prefix = [value] if value in order else parents + order
@@ -145,19 +149,11 @@ def ranks(
 ) -> DataFrame:
     """0-based rank of every row inside its keys, by a bigint ``at`` and then ``ties``.
 
-    Rows are ordered together only within one prefix (two digits) of ``at``; the prefixes
-    before it are counted.
+    Rows are ordered together only within one range of keys, ``at`` and ``ties``, so that neither
+    a hot key nor a value that many rows share fills one task.
     """
-    keys = list(keys)
-    digits = with_digits(df, F.col(at)).drop(_LOW)
-    offsets = _offsets(digits.withColumn("_w", F.lit(1).cast("bigint")), keys)
-    inside = Window.partitionBy(*keys, _TOP, _MID).orderBy(at, *ties)
-    return (
-        digits.withColumn("_place", F.row_number().over(inside) - 1)
-        .join(offsets, keys + [_TOP, _MID])
-        .withColumn(out, F.col("_base") + F.col("_place"))
-        .drop("_base", "_place", _TOP, _MID)
-    )
+    one = df.withColumn("_one", F.lit(1).cast("bigint"))
+    return sums_before(one, keys, [at, *ties], "_one", out).drop("_one")
 
 
 def sums_before(
