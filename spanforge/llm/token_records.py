@@ -21,6 +21,7 @@ empty table gives no files. Other columns are not looked at.
 from __future__ import annotations
 
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -29,6 +30,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -155,17 +157,21 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-MARKED = re.compile(rb"(.*[A-Za-z0-9])([!-/:-@\[-`{-~]+)", re.DOTALL)
-LETTERS = re.compile(rb"[A-Za-z]+")
+#: Marks that are cut off the end of a word, and where letters begin that may not be cut behind or
+#: folded: below it no version of the tables of letters differs, and letters do not combine.
+MARKS, FAR_LETTERS = string.punctuation, "\u0500"
+#: Words whose ids are laid out at a time.
+LAID_OUT = 500_000
 
 
 class Encoder:
-    """Token ids of texts as little-endian bytes, word by word with a bounded memory.
+    """Token ids of texts as little-endian bytes, by distinct words with a bounded memory.
 
     White space always ends a piece of this tokenizer, so that the ids of a text are those of
-    its words in a row. Marks behind an ASCII letter or digit are a piece of their own, and
-    ASCII letters are lower-cased, so that most words are known by their stem. A word that holds
-    an added token of the tokenizer is encoded whole.
+    its words in a row. Marks behind a letter or digit are a piece of their own, and letters are
+    lower-cased, so that most words are known by their stem. A word that holds an added token of
+    the tokenizer is encoded whole. Words are split, told apart and laid out in Arrow and numpy;
+    only those that differ within a call are looked at one by one.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -175,21 +181,23 @@ class Encoder:
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}  # stems and marks
+        self.words: dict[str, bytes] = {}
         added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         # Tokens may be told to match the normalised text; letters of either case cover that.
-        self.added = re.compile("|".join(map(re.escape, added)).encode(), re.IGNORECASE) if added else None
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        # No word of letters alone holds an added token.
+        self.marked = not any(t.isalpha() for t in added)
         pieces = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(pieces.values()) + 1, bool)
         self.ends[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Encode new words; those of letters alone in long lines, told apart by word ends."""
-        texts = [w.decode("utf-8") for w in words]
-        plain = [i for i, t in enumerate(texts) if t.isalpha()]
-        alone = [i for i, t in enumerate(texts) if not t.isalpha()]
+        plain = [w for w in words if w.isalpha()]
+        alone = [w for w in words if not w.isalpha()]
         groups = [plain[at : at + 1000] for at in range(0, len(plain), 1000)]
-        lines = self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in g) for g in groups], add_special_tokens=False)
+        lines = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
         for group, line in zip(groups, lines, strict=True):
             ids = np.array(line.ids, self.kind)
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
@@ -197,32 +205,60 @@ class Encoder:
                 alone += group
                 continue
             data = ids.tobytes()
-            for i, begin, end in zip(group, [0, *cuts], cuts, strict=False):
-                self.known[words[i]] = data[begin:end]
-        found = self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False)
-        for i, encoding in zip(alone, found, strict=True):
-            self.known[words[i]] = np.array(encoding.ids, self.kind).tobytes()
+            for word, begin, end in zip(group, [0, *cuts], cuts, strict=False):
+                self.known[word] = data[begin:end]
+        found = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
+        for word, encoding in zip(alone, found, strict=True):
+            self.known[word] = np.array(encoding.ids, self.kind).tobytes()
+
+    def parts(self, word: str) -> tuple[str, str]:
+        """The stem that a word is known by and the marks behind it; their ids in a row are its own."""
+        if self.marked and word.isascii() and word.isalpha():
+            return word.lower(), ""
+        if self.added and self.added.search(word):
+            return word, ""
+        stem = word.rstrip(MARKS)
+        last = stem[-1:]
+        if not ("0" <= last <= "9" or (last < FAR_LETTERS and last.lower().isalpha())):
+            return word, ""
+        marks = word[len(stem) :]
+        if stem.isalpha() and (stem.isascii() or max(stem) < FAR_LETTERS):
+            lower = stem.lower()
+            # Sigma is lower-cased by its place in a word, and a few letters become two.
+            if len(lower) == len(stem) and "\u03a3" not in stem:
+                stem = lower
+        return stem, marks
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.split() for text in texts]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        distinct = split.flatten().dictionary_encode()
+        words = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > MEMO:
             self.known.clear()
-        new = set().union(*split).difference(self.known)
-        parts = {}
-        for word in new:
-            if self.added and self.added.search(word):
-                parts[word] = word, b""
-                continue
-            marked = MARKED.fullmatch(word)
-            stem, marks = marked.groups() if marked else (word, b"")
-            if LETTERS.fullmatch(stem):
-                stem = stem.lower()
-            parts[word] = stem, marks
-        missing = {x for pair in parts.values() for x in pair if x not in self.known}
-        self.learn(list(missing))
-        for word, (stem, marks) in parts.items():
-            self.known[word] = self.known[stem] + self.known[marks]
-        return [b"".join(map(self.known.__getitem__, words)) + self.end for words in split]
+        if len(self.words) > MEMO // 2:
+            self.words.clear()
+        new = [(word, *self.parts(word)) for word in words if word not in self.words]
+        stems = {stem for _, stem, _ in new}.union({marks for _, _, marks in new})
+        self.learn(list(stems.difference(self.known)))
+        known = self.known
+        for word, stem, marks in new:
+            self.words[word] = known[stem] + known[marks]
+        pieces = list(map(self.words.__getitem__, words))
+        pool = np.frombuffer(b"".join(pieces), self.kind)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
+        starts = np.cumsum(lengths) - lengths
+        each = distinct.indices.to_numpy()
+        laid_out = []
+        for at in range(0, len(each), LAID_OUT):
+            some = each[at : at + LAID_OUT]
+            n = lengths[some]
+            places = np.repeat(starts[some] - (np.cumsum(n) - n), n)
+            places += np.arange(len(places))
+            laid_out.append(pool[places].tobytes())
+        data = b"".join(laid_out)
+        after = np.concatenate([[0], np.cumsum(lengths[each])])
+        cuts = (after[split.offsets.to_numpy()] * self.width).tolist()
+        return [data[a:b] + self.end for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def default_tokenizer() -> str:
@@ -259,7 +295,7 @@ def write_records(
         name = f"{place}/part-{shard:06d}-{uuid.uuid4().hex}"
         records = index = None
         at = n_records = n_tokens = 0
-        for batch in small_batches(batches, 1_000_000):
+        for batch in small_batches(batches, 2_000_000):
             if records is None:
                 store.create_dir(place, recursive=True)
                 records = store.open_output_stream(name + ".rec")

@@ -305,6 +305,28 @@ def test_added_tokens_inside_words():
     assert got[0] == [49407] and got[1][-1] == 49407 and got[2][0] == 49406
 
 
+def test_token_records_cut_marks_and_fold_letters_as_the_library_does():
+    rng = np.random.default_rng(5)
+    pieces = list("aBzÉñßΣσςİıŸЖжё9½²³ªº_'’.,!<|>-—。日本한\u0301\u0338\u200d\u0345\xa0\x1c😀ǅʹͺ") + [
+        "'s", "'LL", "E\u0301", "<|endoftext|>", "<|EndOfText|>", " ", "  ", "\n",
+    ]
+    texts = ["".join(pieces[i] for i in rng.integers(0, len(pieces), rng.integers(0, 12))) for _ in range(4000)]
+    encoder = token_records.Encoder(token_records.default_tokenizer(), 1)
+    got = [np.frombuffer(ids, encoder.kind)[:-1].tolist() for ids in encoder.encode([t.encode() for t in texts])]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_records_lay_out_long_texts_in_portions(monkeypatch):
+    monkeypatch.setattr(token_records, "LAID_OUT", 3)
+    monkeypatch.setattr(token_records, "MEMO", 2)
+    texts = ["a b c d e f g", "", " ", "h i", "a, B! c"]
+    encoder = token_records.Encoder(token_records.default_tokenizer(), 1)
+    for _ in range(2):
+        got = [np.frombuffer(ids, encoder.kind)[:-1].tolist() for ids in encoder.encode([t.encode() for t in texts])]
+        assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.encode([]) == []
+
+
 def test_curriculum(docs, rows, nothing):
     sizes = defaultdict(int)
     for r in rows:
