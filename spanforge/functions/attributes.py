@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.exposition import plain_decimal
 
+#: Tokens of JSON text. Every loop is possessive, so that a long string needs no deep stack.
+JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},:]|[^\s\[\]{},:"]++'
 EMPTY_MAP = "cast(map() as map<string,string>)"
 
 
@@ -52,8 +54,34 @@ def value_json(value: Column) -> Column:
     )
 
 
+def json_display(json: Column) -> Column:
+    """Display text of JSON text: lists as ``[a, b]``, objects as ``{k=v, l=w}``, at any depth.
+
+    Leaves are shown as :func:`value_display` shows them: strings without quotes, numbers with a
+    fraction or an exponent with six digits, ``null`` as nothing. The text is a row of tokens, each
+    of which is shown by itself, so that no nesting has to be followed. Members keep their
+    order. Text that is not JSON, or repeats a key within an object, is shown as it is.
+    """
+
+    def shown(token: Column) -> Column:
+        text = F.try_variant_get(F.try_parse_json(token), "$", "string")
+        number = F.format_string("%.6f", token.try_cast("double"))
+        return (
+            F.when(token == ",", ", ")
+            .when(token == ":", "=")
+            .when(token == "null", "")
+            .when(token.startswith('"'), text)
+            .when(token.rlike("^-?[0-9]") & token.rlike("[.eE]"), number)
+            .otherwise(token)
+        )
+
+    tokens = F.regexp_extract_all(json, F.lit(JSON_TOKEN), F.lit(0))
+    parts = F.array_join(F.transform(tokens, shown), "")
+    return F.when(F.try_parse_json(json).isNotNull(), parts).otherwise(json)
+
+
 def value_display(value: Column) -> Column:
-    """Display text: doubles with six digits, bytes as hex, nested values as rendered."""
+    """Display text: doubles with six digits, bytes as hex, lists and maps member by member."""
     return F.coalesce(
         value["string_value"],
         value["int_value"].cast("string"),
@@ -62,7 +90,7 @@ def value_display(value: Column) -> Column:
         ),
         value["bool_value"].cast("string"),
         bytes_hex(value["bytes_value"]),
-        value["json_value"],
+        json_display(value["json_value"]),
         F.lit(""),
     )
 

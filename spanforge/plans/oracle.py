@@ -491,10 +491,13 @@ FROM (SELECT unnest([slide, slide - {Q.HOUR_NS // 2}]) AS window_start_ns
 GROUP BY window_start_ns HAVING count(*) > {Q.MAX_ERRORS}"""
 
 DISPLAY = """
-SELECT span_id, unnest(['name', 'kind', 'eighth', 'failed', 'id', 'unset']) AS key,
+SELECT span_id, unnest(['name', 'kind', 'eighth', 'failed', 'id', 'list', 'map', 'unset']) AS key,
        unnest([span_name, kind::VARCHAR, printf('%.6f', kind::DOUBLE / 8),
-               (status_code = 2)::VARCHAR, span_id, '']) AS shown
-FROM traces"""
+               (status_code = 2)::VARCHAR, span_id, '[' || span_name || ', ' || kind || ']',
+               '{name=' || span_name || ', each=[' || inner_text || ', ' || inner_text || ']}',
+               '']) AS shown
+FROM (SELECT *, '{eighth=' || printf('%.6f', kind::DOUBLE / 8) || ', failed=' ||
+             (status_code = 2)::VARCHAR || '}' AS inner_text FROM traces)"""
 
 RULE_HITS = f"""
 hits AS (

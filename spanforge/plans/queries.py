@@ -659,12 +659,16 @@ def alert_messages(t: Tables) -> DataFrame:
 def attribute_display(t: Tables) -> DataFrame:
     """A value of every type, as shown beside its key."""
     c = F.col
+    inner = F.struct((c("kind") / 8.0).alias("eighth"), (c("status_code") == 2).alias("failed"))
+    nested = F.to_json(F.struct(c("span_name").alias("name"), F.array(inner, inner).alias("each")))
     typed = {
         "name": {"string_value": c("span_name")},
         "kind": {"int_value": c("kind").cast("bigint")},
         "eighth": {"double_value": c("kind") / 8.0},
         "failed": {"bool_value": c("status_code") == 2},
         "id": {"bytes_value": F.unhex("span_id")},
+        "list": {"json_value": F.to_json(F.array(c("span_name"), c("kind").cast("string")))},
+        "map": {"json_value": nested},
         "unset": {},
     }
     kinds = {

@@ -55,7 +55,23 @@ def test_attribute_values(spark):
         F.explode(F.col("s.spans")[0]["attributes"]).alias("kv")
     ).select("kv.key", A.value_display(F.col("kv.value")).alias("v"))
     assert [r["v"] for r in shown.collect()] == [
-        'q"x', "true", "7", "1.500000", "0aff", "[1,2]", "", "last"]
+        'q"x', "true", "7", "1.500000", "0aff", "[1, 2]", "", "last"]
+
+
+def test_nested_values_are_shown_member_by_member(spark):
+    long = "x\\n" * 50_000
+    cases = {
+        "[]": "[]", "{}": "{}", "[1,2.5,-3e2,true,null]": "[1, 2.500000, -300.000000, true, ]",
+        '{"a":{"b":[1,{"c":"d"}]},"e":"f"}': "{a={b=[1, {c=d}]}, e=f}",
+        '["[x, y]", "q\\"{:}", "\\u00e9\\\\", "1.5"]': '[[x, y], q"{:}, é\\, 1.5]',
+        f'["{long}"]': "[" + "x\n" * 50_000 + "]", "[" * 400 + "]" * 400: "[" * 400 + "]" * 400,
+        '"alone"': "alone", "[1,": "[1,", "no json": "no json", "12345678901234567890": "12345678901234567890",
+    }
+    got = spark.createDataFrame(list(cases.items()), "j string, want string").select(
+        "j", "want", A.json_display(F.col("j")).alias("got"))
+    for row in got.collect():
+        assert row["got"] == row["want"], row["j"][:80]
+    assert spark.range(1).select(A.json_display(F.lit(None).cast("string"))).first()[0] is None
 
 
 def test_service_name_must_be_text(spark):
