@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators import lookups, traces
 from spanforge.sources import store
-from spanforge.sources.sql import as_text, columns, sql, try_sql
+from spanforge.sources.sql import as_text, columns, run_sql, sql, try_sql
 
 
 def three(spark):
@@ -113,6 +113,27 @@ def test_sql(spark):
         store.register(spark, {"other": three(spark)})
 
 
+def test_sql_errors_in_rows_are_texts(spark, tmp_path):
+    store.register(spark, {"traces": three(spark)})
+    folder = str(tmp_path)
+    for text, part in [
+        ("SELECT nope FROM traces", "nope"),
+        ("SELEC 1", "SELEC"),
+        ("SELECT CAST(span_name AS INT) AS n FROM traces", "cannot be cast"),
+        ("SELECT 1 / (kind - kind) AS n FROM traces", "zero"),
+        ("SELECT raise_error('row of ' || service_name) AS n FROM traces", "row of"),
+    ]:
+        result, error = run_sql(spark, text, folder)
+        assert result is None and part.lower() in error.lower(), text
+    result, error = run_sql(
+        spark, "SELECT span_name, attributes['n'] AS n FROM traces ORDER BY span_name", folder)
+    assert error is None
+    assert sorted(tuple(r) for r in result.collect()) == [
+        ("alpha", "NULL"), ("beta", "1"), ("gamma", "NULL")]
+    empty, error = run_sql(spark, "SELECT span_name FROM traces WHERE false", folder)
+    assert error is None and empty.columns == ["span_name"] and empty.count() == 0
+
+
 def test_display_rows(spark):
     df = three(spark).withColumn("events_count", F.lit(1)).withColumn("links_count", F.lit(0))
     row = dicts(traces.display_rows(df.orderBy("span_name")))[0]
