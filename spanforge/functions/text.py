@@ -112,6 +112,16 @@ def severity_number(text: Column) -> Column:
     return out.otherwise(0)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many digits behind the point; halves of the double's own product go up.
+
+    Rounded before it is printed: printing alone rounds the shortest decimal text of the double, which
+    can be a half where the double lies below it.
+    """
+    unit = float(10**digits)
+    return F.format_string(f"%.{digits}f", F.floor(value * unit + 0.5) / unit)
+
+
 def _name_or_unknown(code: Column, names: list[str]) -> Column:
     table = F.array(*[F.lit(n) for n in names])
     return F.when(

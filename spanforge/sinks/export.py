@@ -73,7 +73,7 @@ def csv_traces(traces: DataFrame) -> DataFrame:
     return (
         export_traces(traces)
         .drop("status_message")
-        .withColumn("duration_ms", F.format_string("%.3f", "duration_ms"))
+        .withColumn("duration_ms", T.fixed(F.col("duration_ms"), 3))
     )
 
 

@@ -96,3 +96,9 @@ def test_value_json_of_doubles(spark):
     got = [r[0] for r in rows.select(value_json(rows["v"])).collect()]
     assert got[:3] == ["null"] * 3 and got[-1] == "null"
     assert [float(x) for x in got[3:6]] == [1e10, -2.5, 1e-7] and not any("E" in x for x in got[3:6])
+
+
+def test_fixed_digits_of_halves(spark):
+    # As printf('%.3f', floor(x * 1000 + 0.5) / 1000): 32.0725 * 1000 lies below its half.
+    shown = each(spark, "double", [32.0725, 130.2325, 0.0625, 0.0, 7.0], lambda c: T.fixed(c, 3))
+    assert shown == ["32.072", "130.232", "0.063", "0.000", "7.000"]

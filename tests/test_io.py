@@ -301,3 +301,9 @@ def test_slow_target_does_not_delay_the_others(spark):
     outcome = [tuple(r) for r in fan_out(batch, {"slow": slow, "bad": failing, "fast": fast}, 7).collect()]
     assert outcome == [(7, "slow", None), (7, "bad", "gone"), (7, "fast", None)]
     assert fan_out(batch, {}).count() == 0
+
+
+@pytest.mark.parametrize("shown", [export.csv_traces])
+def test_exported_durations_at_a_half(spark, shown):
+    t = spans(spark, [{"duration": 32_072_500}])
+    assert "32.072" in " ".join(str(v) for v in shown(t).first())
