@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.exposition import format_value
 from spanforge.functions.numbers import plus
-from spanforge.functions.text import NANOS, SEVERITY_FLOOR
+from spanforge.functions.text import NANOS, SEVERITY_FLOOR, fixed
 from spanforge.operators.ranking import counts_before
 from spanforge.session import cut_lineage
 
@@ -199,7 +199,7 @@ def parse_rules(rules: DataFrame) -> DataFrame:
 
 
 def _seconds(ns: Column) -> Column:
-    return F.format_string("%.3f", ns.cast("double") / 1e9)
+    return fixed(ns.cast("double") / 1e9, 3)
 
 
 def _cut(body: Column) -> Column:

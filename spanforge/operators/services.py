@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions import numbers as N
+from spanforge.functions.text import fixed
 from spanforge.session import cut_lineage
 
 
@@ -100,7 +101,7 @@ def mermaid_lines(edges: DataFrame) -> DataFrame:
     edge = F.concat(
         F.lit("    "), mermaid_id(caller), F.lit('["'), caller, F.lit('"] -->|'),
         F.col("call_count").cast("string"), F.lit(" calls, "),
-        F.format_string("%.1f", F.col("avg_duration_ms")), F.lit("ms avg| "),
+        fixed(F.col("avg_duration_ms"), 1), F.lit("ms avg| "),
         mermaid_id(callee), F.lit('["'), callee, F.lit('"]'),
     )
     return _fixed_line(edges, 0, "graph LR").unionByName(_lines(edges, 1, edge))
@@ -113,7 +114,7 @@ def text_lines(edges: DataFrame) -> DataFrame:
     edge = F.concat(
         F.lit("  "), F.col("caller_service"), F.lit(" --("),
         F.col("call_count").cast("string"), F.lit(" calls, avg "),
-        F.format_string("%.1f", F.col("avg_duration_ms")), F.lit("ms)--> "),
+        fixed(F.col("avg_duration_ms"), 1), F.lit("ms)--> "),
         F.col("callee_service"),
     )
     # The set of service names is the size of the printed line itself.

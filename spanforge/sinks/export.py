@@ -90,7 +90,7 @@ def text_traces(traces: DataFrame) -> DataFrame:
     return export_traces(traces).select(
         _line(
             c("time"), " ", c("service"), " ", c("span_name"), " ",
-            F.format_string("%.3f", c("duration_ms")), "ms trace_id=", c("trace_id"),
+            T.fixed(c("duration_ms"), 3), "ms trace_id=", c("trace_id"),
         )
     )
 

@@ -303,7 +303,7 @@ def test_slow_target_does_not_delay_the_others(spark):
     assert fan_out(batch, {}).count() == 0
 
 
-@pytest.mark.parametrize("shown", [export.csv_traces])
+@pytest.mark.parametrize("shown", [export.csv_traces, export.text_traces])
 def test_exported_durations_at_a_half(spark, shown):
     t = spans(spark, [{"duration": 32_072_500}])
     assert "32.072" in " ".join(str(v) for v in shown(t).first())
