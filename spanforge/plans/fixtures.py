@@ -325,9 +325,19 @@ def _scoped(items: str) -> Column:
     )
 
 
-def nested_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``resource_spans`` batches: up to 16 spans of one trace and one resource each."""
-    span = F.struct(
+def _pairs(values: dict[str, Column]) -> Column:
+    """An attribute list of texts under known keys: as ``from_map`` of their map."""
+    return F.array(
+        *[
+            F.struct(F.lit(k).alias("key"), _text_value(values[k]).alias("value"))
+            for k in sorted(values)
+        ]
+    )
+
+
+def _trace_batches(rows: DataFrame, attributes: list[str], resource: list[str]) -> DataFrame:
+    """Spans are collected as few plain fields and take their nested shape afterwards."""
+    plain = F.struct(
         F.unhex("trace_id").alias("trace_id"),
         F.unhex("span_id").alias("span_id"),
         F.unhex("parent_span_id").alias("parent_span_id"),
@@ -335,31 +345,54 @@ def nested_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kind",
         "start_time_unix_nano",
         "end_time_unix_nano",
-        A.from_map(F.col("attributes")).alias("attributes"),
-        F.expr(
-            "array_repeat(struct(start_time_unix_nano as time_unix_nano, 'step' as name), "
-            "line_no % 3)"
-        ).alias("events"),
-        F.expr(
-            "array_repeat(struct(unhex(trace_id) as trace_id, unhex(span_id) as span_id), "
-            "line_no % 2)"
-        ).alias("links"),
-        F.struct(
-            F.col("status_code").alias("code"), F.col("status_message").alias("message")
-        ).alias("status"),
+        "line_no",
+        "status_code",
+        "status_message",
+        *[F.col("attributes")[k].alias(k) for k in attributes],
     )
-    return (
-        spans(spark, sf_dir)
-        .select(
-            "trace_id",
+
+    def span(s: Column) -> Column:
+        start, line = s["start_time_unix_nano"], s["line_no"]
+        event = F.struct(start.alias("time_unix_nano"), F.lit("step").alias("name"))
+        link = F.struct(s["trace_id"].alias("trace_id"), s["span_id"].alias("span_id"))
+        own = ["trace_id", "span_id", "parent_span_id", "name", "kind", "start_time_unix_nano", "end_time_unix_nano"]
+        return F.struct(
+            *[s[c].alias(c) for c in own],
+            _pairs({k: s[k] for k in attributes}).alias("attributes"),
+            F.array_repeat(event, line % 3).alias("events"),
+            F.array_repeat(link, line % 2).alias("links"),
+            F.struct(s["status_code"].alias("code"), s["status_message"].alias("message")).alias("status"),
+        )
+
+    keys = {k: f"_r{i}" for i, k in enumerate(resource)}
+    grouped = (
+        rows.select(
+            "ingest_seq",
             F.expr(f"line_no div {SPANS_PER_BATCH}").alias("part"),
-            _resource(F.col("resource")).alias("resource"),
-            span.alias("span"),
+            *[F.col("resource")[k].alias(name) for k, name in keys.items()],
+            plain.alias("span"),
         )
-        .groupBy("trace_id", "part", "resource")
+        .groupBy("ingest_seq", "part", *keys.values())
         .agg(F.collect_list("span").alias("spans"))
-        .select("resource", _scoped("spans").alias("scope_spans"))
+        .withColumn("spans", F.transform("spans", span))
+    )
+    pairs = _pairs({k: F.col(name) for k, name in keys.items()})
+    return grouped.select(
+        F.struct(pairs.alias("attributes")).alias("resource"), _scoped("spans").alias("scope_spans")
+    )
+
+
+def nested_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``resource_spans`` batches: up to 16 spans of one trace and one resource each.
+
+    Roots and children never share a resource. Children are grouped where their window has put
+    them, by the key of their order, without a shuffle of whole spans.
+    """
+    roots = _trace_batches(root_spans(spark, sf_dir), ["priority"], ["service.name"])
+    children = _trace_batches(
+        child_spans(spark, sf_dir), ["flag", "part"], ["service.name", "supplier"]
     )
+    return roots.unionByName(children)
 
 
 def _text_value(text: Column) -> Column:

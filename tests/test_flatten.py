@@ -1,3 +1,7 @@
+import json
+import os
+
+import pytest
 from builders import (
     SECOND, dicts, log_batches, metric_batches, number_point, raw_log, raw_metric, raw_span,
     resource, span_batches,
@@ -130,3 +134,20 @@ def test_metrics_of_every_kind(spark):
     assert flags[("g", 0.0)] == (False, False)
     assert flags[("s", 3.0)] == (True, True)
     assert flags[("h", 7.0)] == (False, False)
+
+
+def test_nested_traces_do_not_shuffle_whole_spans(spark):
+    from spanforge.plans import fixtures
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("test data is not here")
+    nested = fixtures.nested_traces(spark, "/root/testdata/sf0.001")
+    plan = nested._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(trace_id" not in plan
+
+
+def test_json_text_with_something_to_escape(spark):
+    texts = ["plain", 'a"b', "a\\b", "a\nb\x01", "é x", "", "tab\t"]
+    batch = (resource(), [raw_span(attributes=[(f"k{i}{t}", t) for i, t in enumerate(texts)])])
+    row = flatten.flatten_traces(span_batches(spark, batch), extended=True).first()
+    assert json.loads(row["attributes_json"]) == {f"k{i}{t}": t for i, t in enumerate(texts)}
