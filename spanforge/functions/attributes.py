@@ -9,14 +9,18 @@ from spanforge.functions.exposition import plain_decimal
 
 #: Tokens of JSON text. Every loop is possessive, so that a long string needs no deep stack.
 JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},:]|[^\s\[\]{},:"]++'
+#: Characters that JSON text writes otherwise than they are.
+JSON_ESCAPED = r'["\\\x00-\x1F\x7F\u2028\u2029]'
 EMPTY_MAP = "cast(map() as map<string,string>)"
 
 
 def _json_string(text: Column) -> Column:
     # to_json of a one-element array is the quoted, escaped string between two brackets.
+    # Most texts have nothing to escape; a writer for each of them costs more than the rest of a row.
     rendered = F.to_json(F.array(text))
     inner = F.substring(rendered, F.lit(2), F.length(rendered) - 2)
-    return F.when(text.isNotNull(), inner)
+    plain = F.concat(F.lit('"'), text, F.lit('"'))
+    return F.when(text.rlike(JSON_ESCAPED), inner).otherwise(plain)
 
 
 def bytes_hex(value: Column) -> Column:
