@@ -90,11 +90,19 @@ def error_counts(
     """
     keys = list(keys)
     window = F.lit(window_ns) if isinstance(window_ns, int) else window_ns
-    counted = errors if history is None else errors.select(*keys, at).unionByName(
-        history.select(*keys, at)
+    counted = errors.select(*keys, at, window.alias("_window"), F.lit(True).alias("_asked"))
+    if history is not None:
+        counted = counted.unionByName(
+            history.select(*keys, at, F.lit(False).alias("_asked")), allowMissingColumns=True
+        )
+    # Counted once: the ordered counts read these times several times over, not the spans.
+    counted = cut_lineage(
+        counted.groupBy(*keys, at).agg(
+            F.count("*").alias("weight"), F.max("_window").alias("_window"), F.max("_asked").alias("_asked")
+        )
     )
-    events = counted.select(*keys, at, F.lit(1).cast("bigint").alias("weight"))
-    times = errors.select(*keys, at, window.alias("_window")).distinct()
+    events = counted.select(*keys, at, "weight")
+    times = counted.where("_asked").select(*keys, at, "_window")
     probes = times.select(
         *keys,
         F.col(at).alias("_time"),

@@ -215,3 +215,17 @@ def test_patterns_inside_each_other(spark):
     got = hits_of(spark, rules, log_rows=[{"body": "zabü", "time": 1}, {"body": "", "time": 2}, {"body": None, "time": 3}])
     want = [(f"log_body contains '{p}'", 1) for p in ("", "a", "ab", "b", "ü")] + [("log_body contains ''", 2)]
     assert [(r, at) for r, at, _ in got] == sorted(want)
+
+
+def test_errors_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    errors = spark.range(0, 50, numPartitions=2).select((F.col("id") % 10).alias("at")).mapInArrow(told, "at long")
+    counts = {r["at"]: r["errors_in_window"] for r in alerts.error_counts(errors, 2).collect()}
+    assert counts == {0: 5, 1: 10, **dict.fromkeys(range(2, 10), 15)}
+    assert seen.value == 50
