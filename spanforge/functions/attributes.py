@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.exposition import plain_decimal
 
 #: Tokens of JSON text. Every loop is possessive, so that a long string needs no deep stack.
-JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},:]|[^\s\[\]{},:"]++'
+JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{}]++|[,:]|[^\s\[\]{},:"]++'
 #: Characters that JSON text writes otherwise than they are.
 JSON_ESCAPED = r'["\\\x00-\x1F\x7F\u2028\u2029]'
 EMPTY_MAP = "cast(map() as map<string,string>)"
@@ -68,7 +68,9 @@ def json_display(json: Column) -> Column:
     """
 
     def shown(token: Column) -> Column:
-        text = F.try_variant_get(F.try_parse_json(token), "$", "string")
+        parsed = F.try_variant_get(F.try_parse_json(token), "$", "string")
+        plain = F.substring(token, F.lit(2), F.length(token) - 2)
+        text = F.when(token.contains("\\"), parsed).otherwise(plain)
         number = F.format_string("%.6f", token.try_cast("double"))
         return (
             F.when(token == ",", ", ")

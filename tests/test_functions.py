@@ -102,3 +102,15 @@ def test_fixed_digits_of_halves(spark):
     # As printf('%.3f', floor(x * 1000 + 0.5) / 1000): 32.0725 * 1000 lies below its half.
     shown = each(spark, "double", [32.0725, 130.2325, 0.0625, 0.0, 7.0], lambda c: T.fixed(c, 3))
     assert shown == ["32.072", "130.232", "0.063", "0.000", "7.000"]
+
+
+def test_json_display_of_brackets_and_quotes(spark):
+    import re
+
+    from spanforge.functions.attributes import JSON_TOKEN, json_display
+
+    # Neighbouring brackets are one token; texts without a backslash are shown without parsing.
+    assert re.findall(JSON_TOKEN, '[["a"]]') == ["[[", '"a"', "]]"]
+    texts = ['[["a",{"k":[]}],[]]', '{"q":"[x]{\\"y\\"}","e":"","u":"é\\u00e9","n":[1,0.5,null]}', '["\\\\"]']
+    assert each(spark, "string", texts, json_display) == [
+        "[[a, {k=[]}], []]", '{q=[x]{"y"}, e=, u=éé, n=[1, 0.500000, ]}', "[\\]"]
