@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 from spanforge.operators.ranking import sums_before
+from spanforge.operators.trees import number_whole_traces
 from spanforge.session import cut_lineage, drop_cut
 
+WHOLE_SPANS = 100_000  # spans of a trace that are numbered in one task
+
 
 def trace_groups(traces: DataFrame) -> DataFrame:
     """One row per trace: its root (or earliest) span, span count and total duration.
@@ -156,6 +159,26 @@ def span_tree(traces: DataFrame, keep_orphans: bool = False) -> DataFrame:
     makes them further roots, flagged ``orphan``. When several spans share an id, children hang
     under the earliest of them. Copies of a span share a position. Cycles are dropped.
 
+    Traces of at most ``WHOLE_SPANS`` spans are dealt out by trace once and numbered in Arrow
+    batches. Of larger ones there are fewer than one in ``WHOLE_SPANS`` spans; they are told apart by
+    a broadcast and numbered by pointer doubling, in no single task. All columns of ``traces`` travel
+    along, so leave out those that are not needed.
+    """
+    large = cut_lineage(
+        traces.groupBy(F.col("trace_id").alias("_trace")).agg(F.count("*").alias("_spans"))
+        .where(F.col("_spans") > WHOLE_SPANS).select("_trace")
+    )
+    if large.isEmpty():
+        return number_whole_traces(traces, keep_orphans)
+    is_large = F.col("trace_id").eqNullSafe(F.col("_trace"))
+    small = traces.join(F.broadcast(large), is_large, "left_anti")
+    rest = traces.join(F.broadcast(large), is_large, "left_semi")
+    return number_whole_traces(small, keep_orphans).unionByName(_large_trees(rest, keep_orphans))
+
+
+def _large_trees(traces: DataFrame, keep_orphans: bool) -> DataFrame:
+    """:func:`span_tree` of traces of any size, spread over tasks.
+
     Only spans with children are followed up the tree, by pointer doubling in about log2(depth)
     rounds, once for depths and subtree sizes and once for positions: a span lies behind its
     parent and the subtrees of its earlier siblings. All state is a few numbers for each span,

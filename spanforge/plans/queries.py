@@ -352,10 +352,9 @@ def trace_groups(t: Tables) -> DataFrame:
 
 @query
 def span_tree(t: Tables) -> DataFrame:
-    tree = traces.in_tree_order(traces.span_tree(t.traces))
-    return tree.select(
-        "trace_id", "span_id", "parent_span_id", "depth", "position", "subtree_size", "orphan"
-    )
+    ids = ["trace_id", "span_id", "parent_span_id"]
+    tree = traces.in_tree_order(traces.span_tree(t.traces.select(*ids, "start_time_unix_nano")))
+    return tree.select(*ids, "depth", "position", "subtree_size", "orphan")
 
 
 @query

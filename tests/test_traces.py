@@ -143,6 +143,37 @@ def test_trees_against_recursion(spark, keep_orphans):
     assert len(got) == len(expected) + sum(r in expected for r in rows[:40])
 
 
+@pytest.mark.parametrize("keep_orphans", [False, True])
+def test_trees_of_large_traces_are_those_of_small_ones(spark, keep_orphans, monkeypatch):
+    """Whole traces in a task, larger ones spread over tasks, and both in one table."""
+    df = spark.sql("""
+        SELECT concat('t', t) AS trace_id, concat('s', i) AS span_id, i % 7 * 10 + i AS start_time_unix_nano,
+               CASE WHEN i = 0 AND t % 3 > 0 THEN '' WHEN i % 9 = 8 THEN 'missing' WHEN i % 9 = 7 THEN concat('s', i)
+                    ELSE concat('s', (i * 5 + t) % (i + 1)) END AS parent_span_id, map('k', i) AS attributes
+        FROM (SELECT explode(sequence(1, 30)) AS t) LATERAL VIEW explode(sequence(0, t)) AS i""")
+    got = []
+    for most in (100_000, 15, 0):
+        monkeypatch.setattr(traces, "WHOLE_SPANS", most)
+        got.append(sorted(map(str, traces.span_tree(df, keep_orphans).collect())))
+    assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_span_tree_numbers_whole_traces_in_one_shuffle(spark, monkeypatch):
+    """Batches end anywhere; ids are compared as they are, not by hashes, and rows move once."""
+    from spanforge.operators import trees
+
+    monkeypatch.setattr(trees, "ROWS", 10)
+    df = spark.range(3000).selectExpr(
+        "string(id div 25) AS trace_id", "string(id % 25) AS span_id", "id % 25 AS start_time_unix_nano",
+        "IF(id % 25 = 0, '', string((id % 25 - 1) div 2)) AS parent_span_id")
+    tree = traces.span_tree(df)
+    plan = tree._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    wrong = "depth != int(log2(start_time_unix_nano + 1)) OR (position = 0) != (parent_span_id = '')"
+    assert tree.count() == 3000 and tree.where(wrong).isEmpty()
+    assert tree.where("subtree_size = 25").count() == 120
+
+
 def test_waterfall(spark):
     df = spans(spark, [
         {"trace": "a", "span": "1", "start": 100, "duration": 1000},
