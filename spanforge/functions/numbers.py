@@ -40,3 +40,9 @@ def exact_sum(value: Column) -> Column:
 def exact_mean(value: Column) -> Column:
     """Mean of a bigint column from its exact sum."""
     return exact_sum(value).cast("double") / F.count(value).cast("double")
+
+
+def exact_mean_of_counted(value: Column, times: Column) -> Column:
+    """As :func:`exact_mean` where every row stands for ``times`` rows."""
+    total = joined(F.sum(high(value) * times), F.sum(low(value) * times))
+    return total.cast("double") / F.sum(F.when(value.isNotNull(), times)).cast("double")

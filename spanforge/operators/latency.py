@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.functions.numbers import exact_mean
+from spanforge.functions.numbers import exact_mean_of_counted
 from spanforge.operators.ranking import pick_ranks
+from spanforge.session import cut_lineage
 
 PERCENTILES = (50, 95, 99)
 DEFAULT_BUCKETS = 20
@@ -32,6 +33,11 @@ def nearest_rank(percent: int, total: Column) -> Column:
     return F.floor(position + 0.5).cast("bigint")
 
 
+def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """How often (``_n``) each duration of a key occurs, as a stored table."""
+    return cut_lineage(rows.groupBy(*keys, "duration_ns").agg(F.count("*").alias("_n")))
+
+
 def latency_stats(
     traces: DataFrame,
     span_name: str | None = None,
@@ -42,10 +48,11 @@ def latency_stats(
     """Count, min, max, mean and nearest-rank percentiles in ms, per key.
 
     The percentiles are exact. They come from :func:`pick_ranks`, which never orders all
-    durations of one key in one task.
+    durations of one key in one task. The spans are read once, into a table of how often each
+    duration occurs; that is all the passes over digits read.
     """
     keys = list(keys)
-    rows = _selected(traces, span_name, service, since).select(*keys, "duration_ns")
+    counted = _counted(_selected(traces, span_name, service, since), keys)
 
     def wanted(first: Column, end: Column, total: Column) -> Column:
         found = F.lit(False)
@@ -54,7 +61,7 @@ def latency_stats(
             found = found | ((index >= first) & (index < end))
         return found
 
-    picked = pick_ranks(rows, keys, "duration_ns", wanted)
+    picked = pick_ranks(counted, keys, "duration_ns", wanted, weight="_n")
     ms = F.col("duration_ns").cast("double") / 1e6
     percentiles = picked.groupBy(*keys).agg(
         *[
@@ -68,11 +75,11 @@ def latency_stats(
             for p in PERCENTILES
         ]
     )
-    totals = rows.groupBy(*keys).agg(
-        F.count("*").alias("samples"),
+    totals = counted.groupBy(*keys).agg(
+        F.sum("_n").alias("samples"),
         (F.min("duration_ns").cast("double") / 1e6).alias("min_ms"),
         (F.max("duration_ns").cast("double") / 1e6).alias("max_ms"),
-        (exact_mean(F.col("duration_ns")) / 1e6).alias("mean_ms"),
+        (exact_mean_of_counted(F.col("duration_ns"), F.col("_n")) / 1e6).alias("mean_ms"),
     )
     return totals.join(percentiles, keys)
 
@@ -91,11 +98,10 @@ def latency_histogram(
     value first, so only distinct durations meet the bounds of their key.
     """
     keys = list(keys)
-    rows = _selected(traces, span_name, service, since)
     ms = F.col("duration_ns").cast("double") / 1e6
-    counted = rows.groupBy(*keys, "duration_ns").agg(F.count("*").alias("_n"))
+    counted = _counted(_selected(traces, span_name, service, since), keys)
     bounds = (
-        rows.groupBy(*keys)
+        counted.groupBy(*keys)
         .agg(F.min("duration_ns").alias("_low"), F.max("duration_ns").alias("_high"))
         .withColumn("_min", F.col("_low").cast("double") / 1e6)
         .withColumn("_max", F.col("_high").cast("double") / 1e6)

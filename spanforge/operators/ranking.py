@@ -100,6 +100,7 @@ def pick_ranks(
     value: str,
     wanted: Callable[[Column, Column, Column], Column],
     ties: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """Rows holding wanted ranks when each key's rows are ordered by a bigint ``value``.
 
@@ -108,11 +109,13 @@ def pick_ranks(
     counts map-side and keeps only the prefixes holding a wanted rank, so what is shuffled are
     counts. ``ties`` orders the rows of one value; they are looked at last, and only for the
     kept values, by ranges: a value that a million rows share is ordered in many tasks. With
-    ties, jobs run while the result is built. Returns keys, value, ``ties``, ``rank_first``,
+    ties, jobs run while the result is built. With ``weight`` a row stands for that many. ``rows``
+    are read once in every pass, so let them be a stored table. Returns keys, value, ``ties``, ``rank_first``,
     ``rank_end`` and ``total``.
     """
     keys, ties = list(keys), list(ties)
-    rows = with_digits(rows.select(*keys, value, *ties), F.col(value))
+    each = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    rows = with_digits(rows.select(*keys, value, *ties, each.alias("_each")), F.col(value))
     passes = [([], [_TOP]), ([_TOP], [_MID]), ([_TOP, _MID], [value])]
     if ties:
         passes.append(([value], ties))
@@ -120,7 +123,7 @@ def pick_ranks(
     for parents, order in passes:
         carried = [] if kept is None else ["_start", "total"]
         part = rows if kept is None else rows.join(kept, keys + parents)
-        sizes = part.groupBy(*keys, *parents, *order, *carried).agg(F.count("*").alias("_n"))
+        sizes = part.groupBy(*keys, *parents, *order, *carried).agg(F.sum("_each").alias("_n"))
         group = Window.partitionBy(*keys, *parents)
         if order == ties:
             sizes = sums_before(sizes, [*keys, *parents], ties, "_n", "_earlier")

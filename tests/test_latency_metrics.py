@@ -157,3 +157,15 @@ def test_parent_child_multiplies_copies(spark):
     df = spans(spark, rows * 2 + [{"span": "d", "parent": "p", "name": "D", "duration": 4}])
     got = [(r["parent"], r["child"]) for r in dicts(status.parent_child(df, k=5))]
     assert got == [("P", "C")] * 4 + [("P", "D")]
+
+
+def test_latency_reads_the_spans_once(spark, tmp_path):
+    """Passes over digits read a table of counted durations; weights stand for the rows."""
+    rows = [{"span": str(i), "service": "s", "name": "n", "duration": (i % 7) * MS} for i in range(50)]
+    spans(spark, rows).write.parquet(str(tmp_path / "spans"))
+    df = spark.read.parquet(str(tmp_path / "spans"))
+    for found in (latency.latency_stats(df), latency.latency_histogram(df)):
+        assert found.inputFiles() and all("/cut-" in f for f in found.inputFiles())
+    (row,) = dicts(latency.latency_stats(df))
+    assert (row["samples"], row["min_ms"], row["max_ms"], row["p50_ms"], row["p99_ms"]) == (50, 0.0, 6.0, 3.0, 6.0)
+    assert row["mean_ms"] == sum(i % 7 for i in range(50)) / 50
