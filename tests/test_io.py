@@ -307,3 +307,28 @@ def test_slow_target_does_not_delay_the_others(spark):
 def test_exported_durations_at_a_half(spark, shown):
     t = spans(spark, [{"duration": 32_072_500}])
     assert "32.072" in " ".join(str(v) for v in shown(t).first())
+
+
+def test_import_reads_lines_of_any_types_alike(spark):
+    """Lines with the expected types are read in one pass, others field by field, with one result."""
+    odd = ['"x"', "5", "5.50", "1e3", "true", "null", "[1]", '{"a": 1}', "99999999999"]
+    rows = []
+    for i, (a, b) in enumerate((a, b) for a in odd for b in odd):
+        rows.append(f'{{"service": "s{i}", "kind": {a}, "duration_ms": {b}, "more": 1}}')
+        rows.append(f'{{"service": "t{i}", "kind": {a}, "duration_ms": {b}, "a b": [1]}}')  # never the one pass
+    df = spark.createDataFrame([(r,) for r in rows], "value string")
+    fields = [f.strip().split(" ") for f in jsonl._FIELDS["traces"].split(",")]
+    usual = df.where(jsonl._as_expected(F.try_parse_json("value"), fields)).count()
+    assert usual == 3 * 5  # kinds 5, null and 99999999999 beside 5, 5.50, 1e3, null and 99999999999
+    got = {r["service"]: (r["kind"], r["duration_ms"]) for r in jsonl._parsed(df, "traces").select("r.*").collect()}
+    assert all(got[f"s{i}"] == got[f"t{i}"] for i in range(len(rows) // 2))
+    assert got["s11"] == (5, 5.5) and got["s0"] == (None, None)
+
+
+def test_import_does_not_write_its_lines_twice(spark):
+    lines = export.json_lines(spark.range(3).selectExpr("string(id) AS service", "id AS kind"))
+    found = jsonl.import_traces(lines)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("StructsToJsonEvaluator") == 1
+    assert sorted(r["service_name"] for r in found.collect()) == ["0", "1", "2"]
+    blank = spark.createDataFrame([("  ",), ('{"service": "a"}',), ("",)], "value string")
+    assert [r["service_name"] for r in jsonl.import_traces(blank).collect()] == ["a"]
