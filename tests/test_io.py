@@ -332,3 +332,11 @@ def test_import_does_not_write_its_lines_twice(spark):
     assert sorted(r["service_name"] for r in found.collect()) == ["0", "1", "2"]
     blank = spark.createDataFrame([("  ",), ('{"service": "a"}',), ("",)], "value string")
     assert [r["service_name"] for r in jsonl.import_traces(blank).collect()] == ["a"]
+
+
+def test_export_all_reads_each_line_once(spark):
+    from spanforge.plans.queries import queries
+
+    found = queries()["export_all"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and plan.count("json_tuple") == 1
