@@ -84,7 +84,9 @@ def root_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def child_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Lines are sorted once, by their window: the join hashes the orders of its partition instead.
     orders = table(spark, sf_dir, "orders").select("o_orderkey", ns("o_orderdate").alias("base"))
+    orders = orders.hint("shuffle_hash")
     line = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
         "l_quantity", "l_extendedprice", "l_discount", "l_tax",

@@ -140,3 +140,12 @@ def test_display_rows(spark):
     assert (row["time"], row["duration"], row["kind"], row["status"]) == (
         "00:00:01.000", "1.00ms", "INTERNAL", "UNSET")
     assert MS == 1_000_000
+
+
+def test_derived_children_are_sorted_once(spark):
+    """The join with their orders hashes, so that only the window that numbers lines sorts them."""
+    from spanforge.plans import fixtures
+
+    children = fixtures.child_spans(spark, "/root/testdata/sf0.001")
+    plan = children._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
