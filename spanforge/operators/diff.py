@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanforge.operators.ranking import ranks
+from spanforge.session import cut_lineage
 
 PAIR_ID = "pair_id"
+WHOLE_SPANS = 100_000  # spans of a pair that are ranked in one task
 
 
 def one_pair(traces: DataFrame, trace_a: str, trace_b: str) -> DataFrame:
@@ -39,6 +42,12 @@ def percent_change(a: Column, b: Column, when_zero: Column) -> Column:
     return F.when(a == 0, when_zero).otherwise((b - a).cast("double") / base * 100.0)
 
 
+def _ranked_whole(spans: DataFrame, keys: list[str]) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy("start_time_unix_nano", "span_id")
+    position = (F.row_number().over(order) - 1).cast("bigint").alias("position")
+    return spans.repartition(F.col(PAIR_ID)).select("*", position)
+
+
 def trace_diff(
     traces: DataFrame, pairs: DataFrame, threshold: float | None = None
 ) -> DataFrame:
@@ -46,13 +55,26 @@ def trace_diff(
 
     ``pairs`` has ``pair_id, trace_a, trace_b``, one row or many. Status is ``matched``,
     ``removed`` (only in A) or ``added`` (only in B). With a threshold, ``exceeds_threshold``
-    marks matched spans whose change in percent is larger.
+    marks matched spans whose change in percent is larger. Pairs of more than ``WHOLE_SPANS`` spans
+    are ranked by ranges, spread over tasks; the others are dealt out by pair, once for both the
+    ranks and the meeting of the sides.
     """
     keys = [PAIR_ID, "side", "service_name", "span_name"]
     spans = _sides(traces, pairs).select(
         *keys, "span_id", "start_time_unix_nano", "duration_ns"
     )
-    ranked = ranks(spans, keys, "start_time_unix_nano", ["span_id"], out="position")
+    large = cut_lineage(
+        _sides(traces.select("trace_id"), pairs).groupBy(F.col(PAIR_ID).alias("_pair"))
+        .agg(F.count("*").alias("_spans")).where(F.col("_spans") > WHOLE_SPANS).select("_pair")
+    )
+    if large.isEmpty():
+        ranked = _ranked_whole(spans, keys)
+    else:
+        is_large = F.col(PAIR_ID).eqNullSafe(F.col("_pair"))
+        rest = spans.join(large, is_large, "left_semi")
+        ranked = _ranked_whole(spans.join(large, is_large, "left_anti"), keys).unionByName(
+            ranks(rest, keys, "start_time_unix_nano", ["span_id"], out="position")
+        )
     on = [PAIR_ID, "service_name", "span_name", "position"]
 
     # Both sides meet in one aggregate: a position holds at most one span of each side.

@@ -174,6 +174,23 @@ def test_span_tree_numbers_whole_traces_in_one_shuffle(spark, monkeypatch):
     assert tree.where("subtree_size = 25").count() == 120
 
 
+def test_diff_of_large_pairs_is_that_of_small_ones(spark, monkeypatch):
+    """Pairs ranked in a task and by ranges; small ones are shuffled once for ranks and sides."""
+    df = spark.sql("""
+        SELECT concat('t', t) AS trace_id, lpad(string(i), 3, '0') AS span_id, concat('n', i % 3) AS span_name,
+               's' AS service_name, i div 5 AS start_time_unix_nano, i * 7 % 11 AS duration_ns
+        FROM (SELECT explode(sequence(1, 12)) AS t) LATERAL VIEW explode(sequence(1, t * 3)) AS i""")
+    pairs = spark.sql("SELECT id AS pair_id, concat('t', id) AS trace_a, concat('t', id * 2) AS trace_b FROM range(1, 9)")
+    got = []
+    for most in (100_000, 30, 0):
+        monkeypatch.setattr(diff, "WHOLE_SPANS", most)
+        found = diff.trace_diff(df, pairs, 10.0)
+        got.append(sorted(map(str, found.collect())))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert most < 100_000 or ("Window" in plan and "_range" not in plan)
+    assert len(got[0]) > 100 and got[0] == got[1] == got[2]
+
+
 def test_waterfall(spark):
     df = spans(spark, [
         {"trace": "a", "span": "1", "start": 100, "duration": 1000},
