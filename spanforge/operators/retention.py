@@ -28,20 +28,20 @@ def retain_traces(
     Pinned traces (``pins`` has ``trace_id``) and those first seen at or after ``new_from``
     stay whatever the number; they count towards it. The spans are read once into a narrow
     table of arrivals; the oldest surviving trace is found in it by counting, so neither all
-    traces nor the kept ones pass through one task.
+    traces nor the kept ones pass through one task. Spans that arrived before every trace kept
+    by its age can only belong to a pinned one, so only the later ones meet all kept traces.
     """
     arrivals = spans.groupBy("trace_id").agg(F.min(arrival).cast("bigint").alias("first"))
-    safe = F.lit(False)
-    if new_from is not None:
-        safe = safe | (F.col("first") >= new_from)
+    pinned = F.lit(False)
     if pins is not None:
-        pinned = pins.select("trace_id", F.lit(True).alias("_pinned")).distinct()
-        arrivals = arrivals.join(pinned, "trace_id", "left")
-        safe = safe | F.coalesce(F.col("_pinned"), F.lit(False))
+        held = pins.select("trace_id", F.lit(True).alias("_pinned")).distinct()
+        arrivals = arrivals.join(held, "trace_id", "left")
+        pinned = F.coalesce(F.col("_pinned"), F.lit(False))
+    safe = pinned if new_from is None else pinned | (F.col("first") >= new_from)
     arrivals = cut_lineage(
         arrivals.select(
             "trace_id", (F.lit(MAX_LONG) - F.col("first")).alias("age"), safe.alias("safe"),
-            F.lit(0).alias("all"),
+            pinned.alias("pinned"), F.lit(0).alias("all"),
         )
     )
     # Rank of the last trace that still fits beside the safe ones.
@@ -50,8 +50,20 @@ def retain_traces(
     last = pick_ranks(others, ["all"], "age", _row_at(room), ["trace_id"])
     cutoff = last.select(F.struct("age", "trace_id").alias("c")).scalar()
     fits = F.coalesce(F.struct("age", "trace_id") <= cutoff, room >= 0)
-    kept = arrivals.where(F.col("safe") | fits).select("trace_id")
-    return spans.join(kept, "trace_id", "left_semi")
+    kept = cut_lineage(arrivals.where(F.col("safe") | fits).select("trace_id", "age", "pinned"))
+    oldest = kept.where(~F.col("pinned")).agg(
+        F.coalesce(F.lit(MAX_LONG) - F.max("age"), F.lit(MAX_LONG))
+    ).first()[0]
+    at = F.col(arrival).cast("bigint")
+    # IN is a filter, and so moves under the windows and joins that spans may come from; a join
+    # would not. A span without an arrival may be of any trace.
+    in_kept = F.col("trace_id").isin(kept.select("trace_id"))
+    late = spans.where(((at >= oldest) | at.isNull()) & in_kept)
+    if pins is None:
+        return late
+    stay = cut_lineage(kept.where("pinned").select("trace_id"))
+    early = spans.where((at < oldest) & F.col("trace_id").isin(stay))
+    return late.unionByName(early)
 
 
 def retain_batches(records: DataFrame, keep: int, batch: str = "batch_id") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from builders import (
@@ -6,6 +7,7 @@ from builders import (
     raw_span, resource, span_batches, spans,
 )
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanforge.operators import retention, sampling
 from spanforge.sources import flatten
@@ -89,6 +91,21 @@ def test_retain_against_brute_force(spark):
             == expected
 
 
+def test_spans_are_filtered_under_the_windows_they_come_from(spark):
+    order = [f"t{i}" for i in range(40)]
+    rows = [(t, i, 0) for i, t in enumerate(order)]
+    # Late spans of an old trace and of a pinned one, and spans whose arrival is not known.
+    rows += [("t1", 99, 1), ("t2", 99, 1), ("t39", None, 1), ("t2", None, 2), ("t3", None, 1)]
+    df = spark.createDataFrame(rows, "trace_id string, ingest_seq bigint, j int")
+    n = F.row_number().over(Window.partitionBy("trace_id").orderBy("j"))
+    kept = retention.retain_traces(df.withColumn("n", n), 4, pins(spark, "t2"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"Window \[|LeftSemi", plan) == ["Window [", "LeftSemi"] * 2
+    ids = {"t2", "t37", "t38", "t39"}
+    assert sorted((r["trace_id"], r["j"], r["n"]) for r in kept.collect()) == sorted(
+        (t, j, j + 1) for t, _, j in rows if t in ids)
+
+
 def test_retain_batches(spark):
     df = spark.createDataFrame([(b, i) for b in (3, 1, 2, 9) for i in range(3)],
                                "batch_id int, i int")
