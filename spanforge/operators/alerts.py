@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.exposition import format_value
 from spanforge.functions.numbers import plus
 from spanforge.functions.text import NANOS, SEVERITY_FLOOR, fixed
+from spanforge.operators import chains
 from spanforge.operators.ranking import counts_before
 from spanforge.session import cut_lineage
 
@@ -452,66 +453,6 @@ def _error_rate_hits(
 # --- cooldown ---------------------------------------------------------------------------------
 
 
-def _chain(times: DataFrame, cooldown_ns: int) -> DataFrame:
-    """Per hit: its rank ``pos``, the rank ``to`` of the fire it would cause next, ``starts``.
-
-    A hit without another one in the cooldown before it always fires: it starts a chain. The
-    link into the next chain's start is left out, so chains are disjoint.
-    """
-    events = times.withColumn("weight", F.lit(1).cast("bigint"))
-    roles = {
-        "own": F.col("at"),
-        "next": plus(F.col("at"), cooldown_ns),
-        "since": F.col("at") - cooldown_ns + 1,
-    }
-    probes = times.select(
-        "rule",
-        F.col("at").alias("time"),
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(r).alias("role"), at.alias("at")) for r, at in roles.items()]
-            )
-        ).alias("p"),
-    ).select("rule", "time", "p.role", "p.at")
-
-    def role(name: str) -> Column:
-        return F.max(F.when(F.col("role") == name, F.col("before")))
-
-    placed = cut_lineage(
-        counts_before(events, probes, ["rule"])
-        .groupBy("rule", "time")
-        .agg(role("own").alias("pos"), role("next").alias("to"), role("since").alias("since"))
-        .withColumn("starts", F.col("since") == F.col("pos"))
-        .drop("since")
-    )
-    inner = placed.where(~F.col("starts")).select("rule", F.col("pos").alias("to"), "starts")
-    linked = placed.join(inner.withColumnRenamed("starts", "_no"), ["rule", "to"], "left")
-    return linked.select(
-        "rule", "time", "pos", F.when(F.col("_no").isNotNull(), F.col("to")).alias("to"), "starts"
-    )
-
-
-def _fires_by_doubling(times: DataFrame, cooldown_ns: int) -> DataFrame:
-    """Follow all chains of all rules at once, doubling the step each round."""
-    chain = cut_lineage(_chain(times, cooldown_ns))
-    reached = chain.where("starts").select("rule", "pos")
-    jump = chain.where(F.col("to").isNotNull()).select("rule", "pos", "to")
-    while True:
-        stepped = cut_lineage(
-            reached.join(jump, ["rule", "pos"]).select("rule", F.col("to").alias("pos"))
-        )
-        if stepped.isEmpty():
-            break
-        reached = reached.unionByName(stepped)
-        onward = jump.select("rule", F.col("pos").alias("to"), F.col("to").alias("_far"))
-        jump = cut_lineage(
-            jump.join(onward, ["rule", "to"]).select("rule", "pos", F.col("_far").alias("to"))
-        )
-    return chain.join(reached, ["rule", "pos"], "left_semi").select(
-        "rule", F.col("time").alias("at")
-    )
-
-
 def cooldown(
     hits: DataFrame,
     cooldown_ns: int = COOLDOWN_NS,
@@ -520,10 +461,11 @@ def cooldown(
     """The (rule, at) pairs that fire: after a fire the same rule is silent for the cooldown.
 
     ``last_fired`` (rule, fired_at) carries fires from earlier batches. Hits are reduced to
-    distinct times. No rule is held in one task: every hit is linked to the fire it would cause
-    next, and the chains are followed by doubling the step, in log2 rounds.
+    distinct times. No rule is held in one task, and only the hits that can be the first fire of
+    a chunk of their rule are followed from chunk to chunk (:mod:`spanforge.operators.chains`).
     """
-    times = hits.select("rule", "at").distinct()
+    known = F.col("rule").isNotNull() & F.col("at").isNotNull()
+    times = hits.select("rule", F.col("at").cast("bigint").alias("at")).where(known).distinct()
     if last_fired is not None:
         earlier = last_fired.groupBy("rule").agg(F.max("fired_at").alias("_last"))
         times = (
@@ -531,7 +473,8 @@ def cooldown(
             .where(F.col("_last").isNull() | (F.col("at") >= plus(F.col("_last"), cooldown_ns)))
             .select("rule", "at")
         )
-    return _fires_by_doubling(cut_lineage(times), cooldown_ns)
+    # Times are distinct: without a cooldown each of them fires.
+    return chains.fires(cut_lineage(times), max(cooldown_ns, 1))
 
 
 def alert_rows(

@@ -4,7 +4,8 @@ import pytest
 from builders import MS, SECOND, dicts, logs, points, spans
 from pyspark.sql import functions as F
 
-from spanforge.operators import alerts
+from spanforge.operators import alerts, chains, ranking
+from spanforge.session import cut_lineage
 
 MINUTE = 60 * SECOND
 
@@ -135,6 +136,49 @@ def test_cooldown(spark):
         t for t in greedy([t for t in per_rule["hot"] if t >= 6 * MINUTE], MINUTE)]
 
 
+def test_cooldown_in_chunks(spark):
+    rng = random.Random(16)
+    top = (1 << 63) - 1
+    per_rule = {
+        "dense": sorted({rng.randrange(3_000) for _ in range(900)}),
+        "even": list(range(0, 4_000, 7)),
+        "gaps": sorted({rng.randrange(50) + 1_000 * i for i in range(30) for _ in range(5)}),
+        "ends": [-top, -5, 0, top - 3],
+        "once": [5],
+    }
+    rows = [(r, t) for r, ts in per_rule.items() for t in ts]
+    times = spark.createDataFrame(rows, "rule string, at bigint")
+    for silence, most in ((100, 7), (13, 1), (2_500, 50)):
+        got = {}
+        for r in chains.fires(times, silence, most).collect():
+            got.setdefault(r["rule"], []).append(r["at"])
+        assert {k: sorted(v) for k, v in got.items()} == {
+            k: greedy(v, silence) for k, v in per_rule.items()}, (silence, most)
+
+
+def test_cooldown_of_nothing_and_of_no_length(spark):
+    hits = spark.createDataFrame(
+        [("a", 1), ("a", 1), ("a", 2), ("b", 2), (None, 3), ("b", None)], "rule string, at bigint")
+    every = {(r["rule"], r["at"]) for r in alerts.cooldown(hits, 0).collect()}
+    assert every == {("a", 1), ("a", 2), ("b", 2)}
+    assert alerts.cooldown(hits.where("false"), 5).count() == 0
+
+
+def test_cooldown_follows_no_link_per_hit(spark, monkeypatch):
+    stored = []
+
+    def counted(df):
+        stored.append(df)
+        return cut_lineage(df)
+
+    for module in (alerts, ranking, chains):
+        monkeypatch.setattr(module, "cut_lineage", counted)
+    hits = spark.range(4_000).select(F.lit("r").alias("rule"), F.col("id").alias("at"))
+    assert alerts.cooldown(hits, 10).count() == 400
+    # One link and one step between chunks, whatever the number of fires in them.
+    assert len(stored) <= 4 + 2 * 3
+
+
 def test_same_event_twice_fires_once(spark):
     rows = [{"duration": 2 * SECOND}, {"duration": 2 * SECOND}]
     frame = alerts.parse_rules(alerts.rules_frame(spark, ["span_duration > 1s"]))
